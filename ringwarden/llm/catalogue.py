@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
+from ringwarden.llm.decontaminate import ORACLE_OP1, op1_decontaminate
 from ringwarden.llm.jaccard_join import ORACLE_OP7, op7_ngram_jaccard_join
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
 ORACLES = {
+    "op1_decontaminate": ORACLE_OP1,
     "op7_ngram_jaccard_join": ORACLE_OP7,
 }
