@@ -38,26 +38,44 @@ def needed(size: Column, percent: int) -> Column:
     return F.ceil(size * percent / 100)
 
 
-def keyed_documents(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, key, n_words, n_shingles, grams); key: 128 bits of the lower-cased word sequence."""
-    tokens = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
-    return tokens.select(
-        "doc_id", F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("key"),
-        F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
+def keyed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, key, n_words, n_shingles, first_grams).
 
+    key: 128 bits of the lower-cased word sequence.  first_grams: the prefix of
+    the set by hash order; two sets that link have a common gram there.
+    """
+    split = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
+    cut = split.select("doc_id", F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("key"),
+                       F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
+    size = F.size("grams")
+    return cut.select("doc_id", "key", "n_words", F.when(F.col("n_words") >= n, size).otherwise(F.least("n_words", F.lit(1))).alias("n_shingles"),
+                      F.slice(F.sort_array("grams"), F.lit(1), (size - needed(size, percent) + 1).cast("int")).alias("first_grams"))
 
-def profiles(rows: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """(doc, size, grams): class representatives that may link, with their repeated n-grams in the global order.
 
-    ``rows`` has (doc, gram).  One exchange by n-gram serves the counts and the
-    rows; one by document gathers at most the n-grams of that document.
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows(doc, gram)`` of the grams that occur in several documents, with their count df.
+
+    Both branches want the same columns, so one exchange by gram serves both.
     """
     dealt = rows.repartition("gram")
-    counts = dealt.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    repeated = dealt.join(counts.hint("shuffle_hash"), "gram")
-    per_doc = repeated.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    reps = keyed.where("rep = doc_id").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"))
-    return per_doc.join(reps, "doc").where(F.size("grams") >= needed(F.col("size"), percent))
+    counts = dealt.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("doc").alias("least"))
+    counts = counts.where("df > 1 and least is not null").select("gram", "df")
+    return dealt.join(counts.hint("shuffle_hash"), "gram")
+
+
+def profiles(docs: DataFrame, reps: DataFrame, n: int, percent: int, stage: Staging) -> DataFrame:
+    """(doc, size, grams): class representatives that may link, with their repeated n-grams in the global order.
+
+    ``reps`` is (doc, size, first_grams).  Only documents that share a gram of
+    the hash-order prefix with another one are read again in full.
+    """
+    early = counted(unnest(reps, "first_grams", "gram", "doc"))
+    wanted = stage.save(early.select("doc").distinct(), "wanted")
+    texts = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    split = texts.select(F.col("doc_id").alias("doc"), words(ascii_lower(F.col("text"))).alias("w"))
+    rows = unnest(split.select("doc", shingle_hashes(F.col("w"), n).alias("grams")), "grams", "gram", "doc")
+    per_doc = counted(rows).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    return per_doc.join(reps.select("doc", "size"), "doc").where(F.size("grams") >= needed(F.col("size"), percent))
 
 
 def fragments(profile: DataFrame, n: int) -> DataFrame:
@@ -138,7 +156,8 @@ def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Stag
     return groups if groups is not None else sizes.select(F.col("doc").alias("id"), F.col("doc").alias("component")).limit(0)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, n_fragments: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, n_fragments: int = 4,
+                       repeated_ids: bool = False) -> DataFrame:
     """Group documents whose n-gram sets reach a Jaccard similarity of ``percent`` / 100.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the
@@ -147,21 +166,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, n_fragmen
     Returns ``(doc_id, n_shingles, class_id, component_id)``: class_id is the
     smallest doc_id with the same word sequence, component_id the smallest that
     links reach.  Null or empty texts have no set and stand alone; rows without
-    doc_id are dropped, rows that repeat a doc_id count as one document each and
-    share its component; other columns of ``docs`` are not read; an empty table
-    gives an empty result.
+    doc_id are dropped; doc_id must be unique, or ``repeated_ids`` set, which keeps
+    one row of each id at the cost of an exchange of the texts; other columns of
+    ``docs`` are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    stage = Staging(spark)
-    keyed = keyed_documents(docs.select("doc_id", "text").where("doc_id is not null"), n)
-    table = stage.save(keyed.select(
-        "doc_id", "key", F.when(F.col("n_words") >= n, F.size("grams"))
-        .otherwise(F.least("n_words", F.lit(1))).alias("n_shingles")), "keys")
+    stage = Staging(docs.sparkSession)
+    read = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]) if repeated_ids else (
+        docs.select("doc_id", "text").where("doc_id is not null"))
+    table = stage.save(keyed_documents(read, n, percent), "keys")
     classes = stage.save(table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
-    known = stage.save(table.join(classes, "key", "left").select(
+    known = stage.save(table.select("doc_id", "key", "n_shingles").join(classes, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")), "known")
-    rows = unnest(keyed.withColumnRenamed("doc_id", "doc"), "grams", "gram", "doc")
-    profile = stage.save(profiles(rows, known.dropDuplicates(["doc_id"]), percent), "profiles")
+    reps = stage.save(table.where("n_words >= " + str(n)).join(classes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"])
+                      .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "first_grams"), "reps")
+    profile = stage.save(profiles(read, reps, n, percent, stage), "profiles")
     cut = stage.save(fragments(profile, n_fragments), "fragments")
     groups = similar_groups(profile, cut, percent, stage)
     return (known.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
