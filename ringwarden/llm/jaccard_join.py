@@ -25,6 +25,9 @@ from ringwarden.llm.text import ascii_lower, documents, unnest, words
 from ringwarden.operators.components import connected_components
 from ringwarden.staging import Staging
 
+#: Share of the hash space whose n-grams decide which documents are counted in full.
+FIRST = 0.25
+
 
 def shingle_hashes(tokens: Column, n: int) -> Column:
     """Distinct 64-bit hashes of the n-grams of an array of words ([] if it has fewer)."""
@@ -41,15 +44,15 @@ def needed(size: Column, percent: int) -> Column:
 def keyed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, key, n_words, n_shingles, first_grams).
 
-    key: 128 bits of the lower-cased word sequence.  first_grams: the prefix of
-    the set by hash order; two sets that link have a common gram there.
+    key: 128 bits of the lower-cased word sequence.  first_grams: the part of the
+    set in the lowest FIRST of the hash space.
     """
     split = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
     cut = split.select("doc_id", F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("key"),
                        F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
     size = F.size("grams")
     return cut.select("doc_id", "key", "n_words", F.when(F.col("n_words") >= n, size).otherwise(F.least("n_words", F.lit(1))).alias("n_shingles"),
-                      F.slice(F.sort_array("grams"), F.lit(1), (size - needed(size, percent) + 1).cast("int")).alias("first_grams"))
+                      F.filter("grams", lambda g: g < F.lit(int(FIRST * 2 ** 64) - 2 ** 63)).alias("first_grams"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -63,19 +66,23 @@ def counted(rows: DataFrame) -> DataFrame:
     return dealt.join(counts.hint("shuffle_hash"), "gram")
 
 
-def profiles(docs: DataFrame, reps: DataFrame, n: int, percent: int, stage: Staging) -> DataFrame:
+def profiles(docs: DataFrame, table: DataFrame, reps: DataFrame, n: int, percent: int, stage: Staging) -> DataFrame:
     """(doc, size, grams): class representatives that may link, with their repeated n-grams in the global order.
 
-    ``reps`` is (doc, size, first_grams).  Only documents that share a gram of
-    the hash-order prefix with another one are read again in full.
+    A set that links misses at most ``size - needed`` of its grams in its partner,
+    so of any part of it all but that many are repeated.  The first part of the
+    hash space tells so for most documents; only those that pass are counted in full.
     """
-    early = counted(unnest(reps, "first_grams", "gram", "doc"))
-    wanted = stage.save(early.select("doc").distinct(), "wanted")
-    texts = docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    first = table.select(F.col("doc_id").alias("doc"), "first_grams")
+    repeated = counted(unnest(first, "first_grams", "gram", "doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("rep"))
+    spare = F.col("size") - needed(F.col("size"), percent)
+    wanted = stage.save(reps.join(repeated, "doc", "left").where(F.coalesce("rep", F.lit(0)) >= F.col("n_first") - spare)
+                        .select("doc", "size"), "wanted")
+    texts = docs.join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     split = texts.select(F.col("doc_id").alias("doc"), words(ascii_lower(F.col("text"))).alias("w"))
     rows = unnest(split.select("doc", shingle_hashes(F.col("w"), n).alias("grams")), "grams", "gram", "doc")
     per_doc = counted(rows).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    return per_doc.join(reps.select("doc", "size"), "doc").where(F.size("grams") >= needed(F.col("size"), percent))
+    return per_doc.join(wanted, "doc").where(F.size("grams") >= needed(F.col("size"), percent))
 
 
 def fragments(profile: DataFrame, n: int) -> DataFrame:
@@ -178,8 +185,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, n_fragmen
     known = stage.save(table.select("doc_id", "key", "n_shingles").join(classes, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")), "known")
     reps = stage.save(table.where("n_words >= " + str(n)).join(classes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"])
-                      .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "first_grams"), "reps")
-    profile = stage.save(profiles(read, reps, n, percent, stage), "profiles")
+                      .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.size("first_grams").alias("n_first")), "reps")
+    profile = stage.save(profiles(read, table, reps, n, percent, stage), "profiles")
+    stage.drop(table)
     cut = stage.save(fragments(profile, n_fragments), "fragments")
     groups = similar_groups(profile, cut, percent, stage)
     return (known.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
