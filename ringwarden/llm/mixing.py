@@ -27,6 +27,8 @@ from ringwarden.staging import Staging
 LABELLED_ROWS = 20_000
 #: Distinct tokens that the classifier looks at.
 FEATURES = 512
+#: A token counts if it is so many times as frequent in some domain as it is overall.
+MIN_LIFT = 2.0
 #: Runs of letters, and runs of other signs.
 TOKEN = r"\p{L}+|[^\p{L}\p{N}\s]+"
 
@@ -36,7 +38,7 @@ def _features(text: Column) -> Column:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], list[float], dict[str, list[float]]]:
-    """(domains, bias of each, weights of each token): Bernoulli naive Bayes on the most telling tokens."""
+    """(domains, log prior of each, log lifts of each token): naive Bayes over the most telling tokens that occur."""
     clean = labelled.select("doc_id", "domain").dropna().dropDuplicates(["doc_id"])
     bounded = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
     seen = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")
@@ -48,11 +50,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], list[f
     total = sum(per_domain.values())
     n = [F.coalesce(F.sum(F.when(F.col("domain") == d, 1)), F.lit(0)).alias(f"n{k}") for k, d in enumerate(names)]
     by_token = has.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *n).where(f"n >= 5 and n < {total}")
-    gain = [F.col(f"n{k}") * F.log((F.col(f"n{k}") + 0.5) * total / (F.col("n") * (per_domain[d] + 1))) for k, d in enumerate(names)]
-    top = by_token.withColumn("gain", reduce(Column.__add__, gain)).orderBy(F.desc("gain"), "token").limit(FEATURES).collect()
-    rate = {r["token"]: [(r[f"n{k}"] + 0.1) / (per_domain[d] + 0.2) for k, d in enumerate(names)] for r in top}
-    bias = [math.log(per_domain[d] / total) + sum(math.log(1 - p[k]) for p in rate.values()) for k, d in enumerate(names)]
-    return names, bias, {t: [math.log(x / (1 - x)) for x in p] for t, p in rate.items()}
+    lift = [(F.col(f"n{k}") + 0.1) * total / (F.col("n") * (per_domain[d] + 0.2)) for k, d in enumerate(names)]
+    gain = reduce(Column.__add__, [F.col(f"n{k}") * F.log(lift[k]) for k in range(len(names))])
+    telling = by_token.where(F.greatest(F.lit(0.0), *lift) >= MIN_LIFT).withColumn("gain", gain)
+    top = telling.orderBy(F.desc("gain"), "token").limit(FEATURES).collect()
+    bias = [math.log(per_domain[d] / total) for d in names]
+    return names, bias, {r["token"]: [math.log((r[f"n{k}"] + 0.1) * total / (r["n"] * (per_domain[d] + 0.2))) for k, d in enumerate(names)] for r in top}
 
 
 def posteriors(docs: DataFrame, model: tuple[list[str], list[float], dict[str, list[float]]]) -> DataFrame:
