@@ -2,13 +2,22 @@
 
 from ringwarden.llm.decontaminate import ORACLE_OP1, op1_decontaminate
 from ringwarden.llm.jaccard_join import ORACLE_OP7, op7_ngram_jaccard_join
+from ringwarden.llm.language_id import op6_language_id
+from ringwarden.llm.mixing import op3_mix_domains
+from ringwarden.llm.revisits import ORACLE_OP9, op9_resolve_revisits
+from ringwarden.llm.sharding import op2_balanced_shards
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_balanced_shards": op2_balanced_shards,
+    "op3_mix_domains": op3_mix_domains,
+    "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_resolve_revisits": op9_resolve_revisits,
 }
 
 ORACLES = {
     "op1_decontaminate": ORACLE_OP1,
     "op7_ngram_jaccard_join": ORACLE_OP7,
+    "op9_resolve_revisits": ORACLE_OP9,
 }
