@@ -6,11 +6,13 @@ from ringwarden.llm.language_id import op6_language_id
 from ringwarden.llm.mixing import op3_mix_domains
 from ringwarden.llm.revisits import ORACLE_OP9, op9_resolve_revisits
 from ringwarden.llm.sharding import op2_balanced_shards
+from ringwarden.llm.substring_dedup import ORACLE_OP5, op5_substring_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_balanced_shards": op2_balanced_shards,
     "op3_mix_domains": op3_mix_domains,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_resolve_revisits": op9_resolve_revisits,
@@ -18,6 +20,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": ORACLE_OP1,
+    "op5_substring_dedup": ORACLE_OP5,
     "op7_ngram_jaccard_join": ORACLE_OP7,
     "op9_resolve_revisits": ORACLE_OP9,
 }
