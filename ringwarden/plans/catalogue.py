@@ -1,5 +1,7 @@
 """Registered queries and their SQL."""
 
+from ringwarden.plans import calls
+
 ENTRY = "top_suspected"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**calls.QUERIES}
+ORACLES = {**calls.ORACLES}
