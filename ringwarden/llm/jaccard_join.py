@@ -27,6 +27,8 @@ from ringwarden.staging import Staging
 
 #: Share of the hash space whose n-grams decide which documents are counted in full.
 FIRST = 0.25
+#: Pairs across groups are looked at one by one (few are candidates) when they are at most so many times the prefix n-grams.
+LINEAR = 4096
 
 
 def shingle_hashes(tokens: Column, n: int) -> Column:
@@ -113,15 +115,17 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
 def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Staging) -> DataFrame:
     """(id, component) over documents that link to another one."""
     sizes = profile.select("doc", "size")
-    room = F.col("size") - needed(F.col("size"), percent) + 1 - (F.col("size") - F.size("grams"))
+    alone = F.col("size") - F.size("grams")  # grams of no other document stand before all others
+    room = F.col("size") - needed(F.col("size"), percent) + 1 - alone
     posts = stage.save(
-        profile.select("doc", "size", F.explode(F.slice("grams", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("g"))
-        .select(F.col("g.gram").alias("gram"), "doc", "size", F.col("doc").alias("comp")), "postings")
+        profile.select("doc", "size", alone.alias("alone"), F.posexplode(F.slice("grams", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("i", "g"))
+        .select(F.col("g.gram").alias("gram"), "doc", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("rest"), F.col("doc").alias("comp")), "postings")
     links, groups, tried = None, None, 0
-    few = 4 * posts.count()
+    few = LINEAR * posts.count()
 
-    def close(a: str, b: str) -> Column:
-        return F.col(a) * 100 >= F.col(b) * percent
+    # A common gram has at most ``rest`` grams from it on in each set; all common ones must be among those of the first.
+    least = F.ceil((F.col("sa") + F.col("sb")) * percent / (100 + percent))
+    possible = (F.col("ra") >= least) & (F.col("rb") >= least)
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = sizes.select(F.col("doc").alias("a"), F.col("size").alias("sa"))
@@ -132,24 +136,29 @@ def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Stag
 
     while True:
         in_group = posts.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"))
-        per_gram = in_group.groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        left = stage.save(per_gram.where("n * n > nn"), "open")
+        per_gram = in_group.groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max(F.struct("n", "comp")).alias("m"))
+        left = stage.save(per_gram.where("n * n > nn").select("gram", "n", "nn", F.col("m.comp").alias("major")), "open")
         rest = left.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()[0]
         if rest == 0:
             break
         last = rest <= few and tried > 0
         live = stage.save(posts.join(left.select("gram"), "gram", "left_semi"), "live")
         if last:
-            other = live.select("gram", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"))
-            mine = live.select("gram", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"))
-            both = mine.join(other, "gram").where("a < b and ca <> cb")
+            # Of two ends in different groups one at least is outside the list's largest group.  A pair counts in one list only.
+            first = F.slice("grams", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+            prefix = profile.select("doc", F.transform(first, lambda g: g["gram"]).alias("prefix"))
+            whole = live.join(prefix, "doc").join(left.select("gram", "major"), "gram").withColumn("minor", F.col("comp") != F.col("major"))
+            mine = whole.where("minor").select("gram", *[F.col(c).alias(n) for c, n in (("doc", "a"), ("size", "sa"), ("rest", "ra"), ("comp", "ca"), ("prefix", "pa"))])
+            other = whole.select("gram", "minor", *[F.col(c).alias(n) for c, n in (("doc", "b"), ("size", "sb"), ("rest", "rb"), ("comp", "cb"), ("prefix", "pb"))])
+            both = (mine.join(other, "gram").where("ca <> cb and (not minor or a < b)").where(possible)
+                    .where(F.array_min(F.array_intersect("pa", "pb")) == F.col("gram")))
         else:
             turn = F.struct(F.xxhash64("doc", F.lit(tried)).alias("turn"), F.col("doc").alias("a"),
-                            F.col("size").alias("sa"), F.col("comp").alias("ca"))
-            pivot = stage.save(live.groupBy("gram").agg(F.min(turn).alias("p")).select("gram", "p.a", "p.sa", "p.ca"), "pivots")
-            both = (live.withColumnsRenamed({"doc": "b", "size": "sb", "comp": "cb"}).join(pivot, "gram")
+                            F.col("size").alias("sa"), F.col("rest").alias("ra"), F.col("comp").alias("ca"))
+            pivot = stage.save(live.groupBy("gram").agg(F.min(turn).alias("p")).select("gram", "p.a", "p.sa", "p.ra", "p.ca"), "pivots")
+            both = (live.withColumnsRenamed({"doc": "b", "size": "sb", "rest": "rb", "comp": "cb"}).join(pivot, "gram")
                     .where("a <> b and ca <> cb"))
-        ordered = (both.where(close("sa", "sb") & close("sb", "sa"))
+        ordered = (both.where(possible)
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         found = stage.save(verified(stage.save(ordered, "pairs")), "links")
         links = found if links is None else links.unionByName(found)
@@ -159,7 +168,7 @@ def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Stag
             break
         kept = live.join(pivot.select("gram", F.col("a").alias("doc")), ["gram", "doc"], "left_anti")
         now = groups.select(F.col("id").alias("doc"), F.col("component").alias("c"))
-        posts = stage.save(kept.join(now, "doc", "left").select("gram", "doc", "size", F.coalesce("c", "comp").alias("comp")), "postings")
+        posts = stage.save(kept.join(now, "doc", "left").select("gram", "doc", "size", "rest", F.coalesce("c", "comp").alias("comp")), "postings")
     return groups if groups is not None else sizes.select(F.col("doc").alias("id"), F.col("doc").alias("component")).limit(0)
 
 
