@@ -1,7 +1,7 @@
 """Registered queries and their SQL."""
 
-from ringwarden.plans import calls
+from ringwarden.plans import calls, corpus
 
 ENTRY = "top_suspected"
-QUERIES = {**calls.QUERIES}
-ORACLES = {**calls.ORACLES}
+QUERIES = {**calls.QUERIES, **corpus.QUERIES}
+ORACLES = {**calls.ORACLES, **corpus.ORACLES}
