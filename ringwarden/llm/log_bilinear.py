@@ -168,11 +168,10 @@ def fit(encoded: DataFrame, unigram: np.ndarray, end: int) -> Parameters:
     for number, share in enumerate(ROUNDS):
         place = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(1000)) / 1000
         part = encoded.where((place >= done) & (place < done + share)).select("classes")
-        sent = spark.sparkContext.broadcast(p)
+        sent = spark.sparkContext.broadcast((p.r, p.q, p.c1, p.c2, p.b))
 
         def learn(frames: Iterator[pd.DataFrame], sent=sent, number=number) -> Iterator[pd.DataFrame]:
-            start = sent.value
-            trainer, seen = Trainer(Parameters(*[x.copy() for x in (start.r, start.q, start.c1, start.c2, start.b)]), unigram, number), 0
+            trainer, seen = Trainer(Parameters(*[x.copy() for x in sent.value]), unigram, number), 0
             for frame in frames:
                 rows = [np.frombuffer(x, np.int16) for x in frame["classes"]]
                 if not rows:
