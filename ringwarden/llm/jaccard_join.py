@@ -144,14 +144,14 @@ def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Stag
         last = rest <= few and tried > 0
         live = stage.save(posts.join(left.select("gram"), "gram", "left_semi"), "live")
         if last:
-            # Of two ends in different groups one at least is outside the list's largest group.  A pair counts in one list only.
+            # Of two ends in different groups one at least is outside the list's largest group.  A pair counts in the list of its first common gram.
             first = F.slice("grams", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
             prefix = profile.select("doc", F.transform(first, lambda g: g["gram"]).alias("prefix"))
             whole = live.join(prefix, "doc").join(left.select("gram", "major"), "gram").withColumn("minor", F.col("comp") != F.col("major"))
             mine = whole.where("minor").select("gram", *[F.col(c).alias(n) for c, n in (("doc", "a"), ("size", "sa"), ("rest", "ra"), ("comp", "ca"), ("prefix", "pa"))])
             other = whole.select("gram", "minor", *[F.col(c).alias(n) for c, n in (("doc", "b"), ("size", "sb"), ("rest", "rb"), ("comp", "cb"), ("prefix", "pb"))])
             both = (mine.join(other, "gram").where("ca <> cb and (not minor or a < b)").where(possible)
-                    .where(F.array_min(F.array_intersect("pa", "pb")) == F.col("gram")))
+                    .where(F.get(F.array_intersect("pa", "pb"), 0) == F.col("gram")))
         else:
             turn = F.struct(F.xxhash64("doc", F.lit(tried)).alias("turn"), F.col("doc").alias("a"),
                             F.col("size").alias("sa"), F.col("rest").alias("ra"), F.col("comp").alias("ca"))

@@ -71,7 +71,34 @@ def propagate(state: DataFrame, quotas: DataFrame, buckets: int, rounds: int, st
     return state
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def first_labels(groups: DataFrame, total: int, shards: int, buckets: int, stage: Staging) -> DataFrame:
+    """(group, shard, n) to start from: groups laid in a line that is cut into equal pieces.
+
+    A group that fills whole shards gets them first (there are at most ``shards``
+    such groups); the line of all others, and of what is left of those, is spread
+    over the other shards, so that each has room for its neighbours to move in.
+    """
+    spark, quota = groups.sparkSession, max(1, total // shards)
+    blocks, used, left = [], 0, []
+    for r in groups.where(F.col("copies") >= quota).orderBy(F.desc("copies"), "group").collect() if total >= shards else []:
+        whole = min(r["copies"] // quota, shards - 1 - used)
+        blocks += [(r["group"], used + k, quota) for k in range(whole)]
+        used += whole
+        left.append((r["group"], r["copies"] - whole * quota))
+    full = spark.createDataFrame(blocks, "group string, shard int, n long")
+    rest = spark.createDataFrame([x for x in left if x[1]], "group string, n long").unionByName(
+        groups.where(F.col("copies") < quota).select("group", F.col("copies").alias("n")) if total >= shards else groups.select("group", F.col("copies").alias("n")))
+    rest = stage.save(rest, "line")
+    length = rest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    piece = max(1, -(-length // (shards - used)))
+    at = _running(rest.withColumn("all", F.lit(0)), ["all"], "n", [F.col("group")], _slice(buckets, F.col("group")), "before")
+    lo, hi = F.floor(F.col("before") / piece), F.floor((F.col("before") + F.col("n") - 1) / piece)
+    cut = at.select("group", "before", "n", F.explode(F.sequence(lo, hi)).alias("k"))
+    size = F.least(F.col("before") + F.col("n"), (F.col("k") + 1) * piece) - F.greatest(F.col("before"), F.col("k") * piece)
+    return full.unionByName(cut.select("group", (F.col("k") + used).cast("int").alias("shard"), size.alias("n")))
+
+
+def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 6) -> DataFrame:
     """Give every row of ``docs`` a shard and a slot, counts at most one apart, copies together.
 
     Returns (row, doc_id, size, text_crc32, shard, slot): row is a gapless number
@@ -97,8 +124,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFra
     spread = _slice(buckets, F.col("doc_id"), F.lit(1))
     total_order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
     many = stage.save(rank_within(marked.where("copies > 1"), ["group"], total_order, spread, buckets, "nth"), "copies")
-    started = (many.select("group", _slice(shards, F.col("group"), F.floor(F.col("nth") / F.greatest(F.lit(1), F.lit(total // shards // 4)))).alias("shard"))
-               .groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")))
+    started = first_labels(by_group.where("copies > 1"), total, shards, buckets, stage)
     state = propagate(stage.save(started, "state"), quotas, buckets, rounds, stage)
 
     # No shard may hold more copies than its quota: what is over goes back to the free rows.
