@@ -111,7 +111,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], only_le
     stage = Staging(docs.sparkSession)
     model = fit_domains(docs, labelled)
     names = model[0]
-    want = np.array([max(0.0, weights.get(d, 0.0)) for d in names])
+    want = np.array([max(0.0, float(weights.get(d, 0))) for d in names])
     plain = docs.withColumn("n_tokens", F.size(words(F.col("text"))).cast("long"))
     if not names or want.sum() == 0:
         return (plain.withColumn("p", F.array().cast("array<double>")).withColumn("domain", F.lit(None).cast("string"))
