@@ -1,7 +1,8 @@
 """Registered queries and their SQL."""
 
-from ringwarden.plans import calls, corpus
+from ringwarden.plans import calls, corpus, transcripts
+from ringwarden.streaming import live
 
 ENTRY = "top_suspected"
-QUERIES = {**calls.QUERIES, **corpus.QUERIES}
-ORACLES = {**calls.ORACLES, **corpus.ORACLES}
+QUERIES = {**calls.QUERIES, **corpus.QUERIES, **transcripts.QUERIES, **live.QUERIES}
+ORACLES = {**calls.ORACLES, **corpus.ORACLES, **transcripts.ORACLES, **live.ORACLES}
