@@ -25,8 +25,8 @@ from ringwarden.llm.text import ascii_lower, documents, unnest, words
 from ringwarden.operators.components import connected_components
 from ringwarden.staging import Staging
 
-#: Share of the hash space whose n-grams decide which documents are counted in full.
-FIRST = 0.25
+#: Of the n-grams in the first part of the hash space so large a share must be repeated in a document that is counted in full.
+REPEATED = 0.4
 #: Pairs across groups are looked at one by one (few are candidates) when they are at most so many times the prefix n-grams.
 LINEAR = 4096
 
@@ -47,14 +47,15 @@ def keyed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, key, n_words, n_shingles, first_grams).
 
     key: 128 bits of the lower-cased word sequence.  first_grams: the part of the
-    set in the lowest FIRST of the hash space.
+    set in the lowest part of the hash space, the larger the less similar sets may be.
     """
+    first = min(0.9, (1 - percent / 100) / (1 - REPEATED))
     split = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
     cut = split.select("doc_id", F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("key"),
                        F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
     size = F.size("grams")
     return cut.select("doc_id", "key", "n_words", F.when(F.col("n_words") >= n, size).otherwise(F.least("n_words", F.lit(1))).alias("n_shingles"),
-                      F.filter("grams", lambda g: g < F.lit(int(FIRST * 2 ** 64) - 2 ** 63)).alias("first_grams"))
+                      F.filter("grams", lambda g: g < F.lit(int(first * 2 ** 64) - 2 ** 63)).alias("first_grams"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
