@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringwarden.functions.risk import risk
+from ringwarden.functions.rules import indicators
 from ringwarden.functions.transcripts import normalised, parsed_turns, phrase_hits, scored_calls
 from ringwarden.session import read_table
 
@@ -38,7 +40,23 @@ def stand_in_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.size("chunks").alias("chunks"), F.round("probability", 6).alias("probability"))
 
 
-QUERIES = {"custom_phrases": custom_phrases, "conversation_turns": conversation_turns, "stand_in_scores": stand_in_scores}
+#: What a caller says before the text of a document, by its id.
+LINES = ["Tôi mua hàng của bạn.", "Tôi gọi từ ngân hàng. Anh đọc mã OTP tôi vừa gửi.", "Chuyển tiền ngay nếu không tài khoản sẽ bị khóa.",
+         "Tôi là cán bộ công an. Anh liên quan đến đường dây rửa tiền.", "Cho tôi số tài khoản để tôi chuyển tiền.", "Chị không được nói với ai."]
+
+
+def rule_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of all documents, each after a caller's line chosen by its id; with the risk score of the stand-in scorer."""
+    line = F.element_at(F.array(*[F.lit(x) for x in LINES]), (F.col("doc_id") % len(LINES) + 1).cast("int"))
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", line, "text").alias("text"))
+    found = texts.select("id", F.size(F.split("text", " ")).alias("words"), indicators("text").alias("x"))
+    flat = found.select("id", "words", F.transform("x", lambda x: x["code"]).alias("codes"), F.transform("x", lambda x: x["severity"]).alias("severities"))
+    scored = flat.join(stand_in_scores(spark, sf_dir).select("id", "probability"), "id")
+    return scored.select("id", F.array_join("codes", ",").alias("codes"), F.array_join("severities", ",").alias("severities"),
+                         risk(F.col("codes"), F.col("severities"), F.col("probability"), F.col("words"))["score"].alias("score"))
+
+
+QUERIES = {"rule_indicators": rule_indicators, "custom_phrases": custom_phrases, "conversation_turns": conversation_turns, "stand_in_scores": stand_in_scores}
 ORACLES = {
     "custom_phrases": r"""WITH p AS (SELECT * FROM (VALUES (1, 'the of'), (2, 'the and'), (3, 'and the of'), (5, 'der die')) v(phrase_id, phrase)),
 d AS (SELECT doc_id AS id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[.!…]*\?[.!?…]*', ' || ', 'g'), '[.!…]+', ' | ', 'g'), '[^\p{L}\p{M}\p{N}_|]+', ' ', 'g')), ' ') AS w FROM documents),
