@@ -10,7 +10,7 @@ fragment, each fragment alone, and the partial counts are summed per pair.
 Documents with the same word sequence form a class, of which the smallest id
 takes part.  What is asked for is who reaches whom, so pairs whose ends are
 already known to be in one group need no count: each list of documents that
-share a prefix n-gram is first tried against one pivot a round, and every pair
+share a prefix n-gram is first tried against a few pivots a round, and every pair
 across groups that is left when such pairs are few is then tried alone.  No link
 between different groups is lost, and a list of thousands of near copies costs
 its length a round, not its square.
@@ -29,6 +29,10 @@ from ringwarden.staging import Staging
 REPEATED = 0.4
 #: Pairs across groups are looked at one by one (few are candidates) when they are at most so many times the prefix n-grams.
 LINEAR = 4096
+#: Rounds of pivots before that, unless no more pairs than prefix n-grams are left.
+ROUNDS = 3
+#: Pivots of a list in a round, at most.
+PIVOTS = 16
 
 
 def shingle_hashes(tokens: Column, n: int) -> Column:
@@ -81,7 +85,8 @@ def profiles(docs: DataFrame, table: DataFrame, reps: DataFrame, n: int, percent
     spare = F.col("size") - needed(F.col("size"), percent)
     wanted = stage.save(reps.join(repeated, "doc", "left").where(F.coalesce("rep", F.lit(0)) >= F.col("n_first") - spare)
                         .select("doc", "size"), "wanted")
-    texts = docs.join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    # The ids grow with the corpus, so they are merged and never broadcast.
+    texts = docs.join(wanted.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     split = texts.select(F.col("doc_id").alias("doc"), words(ascii_lower(F.col("text"))).alias("w"))
     rows = unnest(split.select("doc", shingle_hashes(F.col("w"), n).alias("grams")), "grams", "gram", "doc")
     per_doc = counted(rows).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
@@ -89,7 +94,7 @@ def profiles(docs: DataFrame, table: DataFrame, reps: DataFrame, n: int, percent
 
 
 def fragments(profile: DataFrame, n: int) -> DataFrame:
-    """(doc, frag, part): the documents cut at ``n - 1`` points of the global n-gram order."""
+    """(doc, parts): the documents cut at ``n - 1`` points of the global n-gram order, a list of grams for each fragment."""
     place = lambda x: x["df"] + (x["gram"] / F.lit(2.0 ** 64) + 0.5)
     cuts = profile.select(F.explode(F.transform("grams", place)).alias("place")).approxQuantile(
         "place", [k / n for k in range(1, n)], 0.01)
@@ -97,20 +102,18 @@ def fragments(profile: DataFrame, n: int) -> DataFrame:
 
     def part(k: int) -> Column:
         inside = F.filter("grams", lambda x: (place(x) >= edges[k]) & (place(x) < edges[k + 1]))
-        return F.struct(F.lit(k).alias("frag"), F.transform(inside, lambda x: x["gram"]).alias("part"))
+        return F.transform(inside, lambda x: x["gram"])
 
-    parts = [part(k) for k in range(len(edges) - 1)]
-    cut = profile.select("doc", F.explode(F.array(*parts)).alias("p")).select("doc", "p.*")
-    return cut.where(F.size("part") > 0)
+    return profile.select("doc", F.array(*[part(k) for k in range(len(edges) - 1)]).alias("parts"))
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """(a, b, overlap) of candidate pairs: partial counts by fragment, summed."""
-    left = cut.select(F.col("doc").alias("a"), "frag", F.col("part").alias("pa"))
-    right = cut.select(F.col("doc").alias("b"), "frag", F.col("part").alias("pb"))
-    partial = (pairs.join(left, "a").join(right, ["b", "frag"])
-               .select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("n")))
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("overlap"))
+    """(a, b, overlap) of candidate pairs: partial counts, each from one fragment alone, summed."""
+    left = cut.select(F.col("doc").alias("a"), F.col("parts").alias("pa"))
+    right = cut.select(F.col("doc").alias("b"), F.col("parts").alias("pb"))
+    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", partial.alias("partial"))
+            .select("a", "b", F.aggregate("partial", F.lit(0), lambda s, x: s + x).alias("overlap")))
 
 
 def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Staging) -> DataFrame:
@@ -142,7 +145,7 @@ def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Stag
         rest = left.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()[0]
         if rest == 0:
             break
-        last = rest <= few and tried > 0
+        last = tried > 0 and rest <= (few if tried >= ROUNDS else posts.count())
         live = stage.save(posts.join(left.select("gram"), "gram", "left_semi"), "live")
         if last:
             # Of two ends in different groups one at least is outside the list's largest group.  A pair counts in the list of its first common gram.
@@ -151,12 +154,15 @@ def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Stag
             whole = live.join(prefix, "doc").join(left.select("gram", "major"), "gram").withColumn("minor", F.col("comp") != F.col("major"))
             mine = whole.where("minor").select("gram", *[F.col(c).alias(n) for c, n in (("doc", "a"), ("size", "sa"), ("rest", "ra"), ("comp", "ca"), ("prefix", "pa"))])
             other = whole.select("gram", "minor", *[F.col(c).alias(n) for c, n in (("doc", "b"), ("size", "sb"), ("rest", "rb"), ("comp", "cb"), ("prefix", "pb"))])
+            # Of the prefix that ends first in the order all common grams are in the other one too, and it misses few.
+            common = F.array_intersect("pa", "pb")
+            enough = least - F.greatest(needed(F.col("sa"), percent), needed(F.col("sb"), percent)) + 1
             both = (mine.join(other, "gram").where("ca <> cb and (not minor or a < b)").where(possible)
-                    .where(F.get(F.array_intersect("pa", "pb"), 0) == F.col("gram")))
+                    .where((F.get(common, 0) == F.col("gram")) & (F.size(common) >= enough)))
         else:
-            turn = F.struct(F.xxhash64("doc", F.lit(tried)).alias("turn"), F.col("doc").alias("a"),
+            turn = F.struct(F.xxhash64("doc", "gram", F.lit(tried)).alias("turn"), F.col("doc").alias("a"),
                             F.col("size").alias("sa"), F.col("rest").alias("ra"), F.col("comp").alias("ca"))
-            pivot = stage.save(live.groupBy("gram").agg(F.min(turn).alias("p")).select("gram", "p.a", "p.sa", "p.ra", "p.ca"), "pivots")
+            pivot = stage.save(live.groupBy("gram", F.pmod(F.xxhash64("doc", F.lit(tried)), F.lit(PIVOTS)).alias("k")).agg(F.min(turn).alias("p")).select("gram", "p.a", "p.sa", "p.ra", "p.ca"), "pivots")
             both = (live.withColumnsRenamed({"doc": "b", "size": "sb", "rest": "rb", "comp": "cb"}).join(pivot, "gram")
                     .where("a <> b and ca <> cb"))
         ordered = (both.where(possible)
