@@ -94,7 +94,7 @@ def history_filtered(spark: SparkSession, sf_dir: str, level: str | None = "HIGH
     h = history(spark, sf_dir)
     return h.where(optional(
         F.col("risk_level") == level if level else None, F.col("source") == source if source else None,
-        F.col("created_at") >= F.lit(start).cast("timestamp") if start else None, F.col("created_at") < F.lit(end).cast("timestamp") if end else None,
+        F.col("created_at") >= F.lit(start).cast("timestamp_ntz") if start else None, F.col("created_at") < F.lit(end).cast("timestamp_ntz") if end else None,
         F.col("caller_number").contains(digits) if digits else None))
 
 
@@ -119,7 +119,7 @@ def daily_report(spark: SparkSession, sf_dir: str, today: str = TODAY, days: int
     """Calls by local day and level over the last ``days`` (1 to 365) days; days without calls appear."""
     days = max(1, min(365, days))
     spine = spark.range(days).select(F.date_sub(F.lit(today).cast("date"), F.col("id").cast("int")).alias("day"))
-    local = F.to_date(F.from_utc_timestamp("created_at", zone))
+    local = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("created_at")))
     calls = call_records(spark, sf_dir).select("id", local.alias("day")).where(F.col("day").between(F.date_sub(F.lit(today).cast("date"), days - 1), F.lit(today).cast("date")))
     risk = latest_risk(spark, sf_dir).select(F.col("call_id").alias("id"), "risk_level")
     return spine.join(calls.join(risk, "id", "left"), "day", "left").groupBy("day").agg(F.count("id").alias("calls"), *[F.count_if(F.col("risk_level") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW")])
@@ -317,5 +317,5 @@ FROM call_records WINDOW w AS (PARTITION BY user_id ORDER BY created_at, id))"""
 def call_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call before each call of a user and the whole minutes between."""
     w = Window.partitionBy("user_id").orderBy("created_at", "id")
-    gap = F.unix_timestamp("created_at") - F.unix_timestamp(F.lag("created_at").over(w))
+    gap = F.timestamp_diff("SECOND", F.lag("created_at").over(w), F.col("created_at"))
     return call_records(spark, sf_dir).select("user_id", "id", F.lag("id").over(w).alias("prev"), F.floor(gap / 60).alias("minutes"))

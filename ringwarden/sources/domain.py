@@ -35,7 +35,7 @@ def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("o_orderkey") % 3 == 0, "RECORDED").when(F.col("o_orderkey") % 3 == 1, "UPLOADED").otherwise("LIVE")
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
                     F.when(F.col("o_orderkey") % 11 != 0, phone(F.col("o_custkey"))).alias("caller_number"),
-                    source.alias("source"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+                    source.alias("source"), F.col("o_orderdate").alias("created_at"))
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "OTP_REQUEST"), F.when(F.col("l_returnflag") == "A", "MONEY_TRANSFER"),
         F.when(F.col("l_discount") > 0.05, "URGENCY"), F.when(F.col("l_quantity") > 30, "BANK_IMPERSONATION")))
     return li.select(
-        F.col("l_orderkey").alias("call_id"), F.col("l_shipdate").cast("timestamp").alias("created_at"), status.alias("status"), score.alias("risk_score"),
+        F.col("l_orderkey").alias("call_id"), F.col("l_shipdate").alias("created_at"), status.alias("status"), score.alias("risk_score"),
         F.when(score >= 60, "HIGH").when(score >= 30, "MEDIUM").when(score.isNotNull(), "LOW").alias("risk_level"),
         F.when(done, codes).alias("codes"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("supplier_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))

@@ -132,14 +132,15 @@ def value_level(value: Column) -> Column:
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of all event streams, one for each rise of a user's level."""
     levels = event_stream(spark, sf_dir).select(F.col("user_id").alias("call_id"), "at", F.col("event_id").alias("seq"), value_level(F.col("value")).alias("level"))
-    return drain(alerts_once(levels), "append", Staging(spark), "alerts")
+    return drain(alerts_once(levels), "append", Staging(spark), "alerts").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type; events more than ten minutes late are left out."""
     hours = (event_stream(spark, sf_dir).withWatermark("at", "10 minutes").groupBy(F.window("at", "1 hour").alias("w"), "event_type")
              .agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value")))
-    return drain(hours.select(F.col("w.start").alias("hour"), "event_type", "events", "value"), "complete", Staging(spark), "hours")
+    out = drain(hours.select(F.col("w.start").alias("hour"), "event_type", "events", "value"), "complete", Staging(spark), "hours")
+    return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 QUERIES = {"stream_alerts": stream_alerts, "stream_hours": stream_hours}
