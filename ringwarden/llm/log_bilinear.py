@@ -63,7 +63,7 @@ class Encoder:
     def miss(self, word: bytes) -> tuple[int, int]:
         rank = self.ranks.get(word, -1)
         own = rank if 0 <= rank < FREQUENT else FREQUENT + zlib.crc32(word[-3:]) % SPELLINGS
-        if len(self.met) > 500_000:
+        if len(self.met) > 150_000:
             self.met.clear()
         self.met[word] = found = (own, rank)
         return found
@@ -161,6 +161,22 @@ def log_tables(p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a1.astype(np.float32), a2.astype(np.float32), z.astype(np.float32)
 
 
+def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """Up to ``most`` rows of ``counts(word, c)``, the largest first.
+
+    A histogram of few classes of size tells from which size on the words are few
+    enough; only those come to the driver, however many tasks there are.
+    """
+    size = F.floor(F.log2("c") * 16).cast("int")
+    histogram = sorted(((r["size"], r["n"]) for r in counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, taken = 1 << 30, 0
+    for k, n in histogram:
+        if taken + n > most:
+            break
+        least, taken = k, taken + n
+    return counts.where(size >= least).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+
+
 def fit(encoded: DataFrame, unigram: np.ndarray, end: int) -> Parameters:
     """Train on ``encoded(doc_id, classes)``: each round mixes what the tasks have learned from their own documents."""
     spark, k = encoded.sparkSession, len(unigram)
@@ -173,17 +189,16 @@ def fit(encoded: DataFrame, unigram: np.ndarray, end: int) -> Parameters:
         def learn(frames: Iterator[pd.DataFrame], sent=sent, number=number) -> Iterator[pd.DataFrame]:
             trainer, seen = Trainer(Parameters(*[x.copy() for x in sent.value]), unigram, number), 0
             for frame in frames:
-                rows = [np.frombuffer(x, np.int16) for x in frame["classes"]]
-                if not rows:
-                    continue
-                joined = np.concatenate(rows).astype(np.int64)
-                begins = np.concatenate([[0], np.cumsum([len(x) for x in rows])[:-1]])
-                one, two = contexts(joined, begins, end)
-                order = trainer.rng.permutation(len(joined))
-                for lo in range(0, len(order), BATCH):
-                    at = order[lo:lo + BATCH]
-                    trainer.batch(one[at], two[at], joined[at])
-                seen += len(joined)
+                for lo in range(0, len(frame), 2000):
+                    rows = [np.frombuffer(x, np.int16) for x in frame["classes"].iloc[lo:lo + 2000]]
+                    joined = np.concatenate(rows).astype(np.int64)
+                    begins = np.concatenate([[0], np.cumsum([len(x) for x in rows])[:-1]])
+                    one, two = contexts(joined, begins, end)
+                    order = trainer.rng.permutation(len(joined))
+                    for first in range(0, len(order), BATCH):
+                        at = order[first:first + BATCH]
+                        trainer.batch(one[at], two[at], joined[at])
+                    seen += len(joined)
             if seen:
                 flat = np.frombuffer(trainer.p.pack(), np.float32)
                 yield pd.DataFrame({"at": np.arange(len(flat)), "x": flat.astype(float) * seen, "seen": seen})
@@ -217,7 +232,7 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
                        F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
     n, v, end, k = int(total["n"]), int(total["v"]), FREQUENT - 1, FREQUENT + SPELLINGS
     whole = n + 0.5 * (v + 1)
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(HELD - 1).toPandas()
+    top = most_frequent(counts.where(F.col("word") != END), HELD - 1)
     names = [*(w.encode() for w in top["word"][:end]), *[None] * max(0, end - len(top)), END.encode(), *(w.encode() for w in top["word"][end:])]
     held = np.array([*top["c"][:end], *[0] * max(0, end - len(top)), int(total["ends"]), *top["c"][end:]], float)
     ranks = {w: i for i, w in enumerate(names) if w is not None}
