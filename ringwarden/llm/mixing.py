@@ -102,7 +102,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], only_le
     one row of a repeated doc_id is used.  ``weights`` are the wanted shares of
     expected tokens; a learned domain without a weight gets 0, a weight without a
     learned domain is left out and the rest scaled to 1.  The sum of tokens stays
-    as it is, or with ``only_less`` falls so far that no domain has to grow.
+    as it is; with ``only_less`` the domain of the largest weight keeps its tokens,
+    others above their share of it fall to that, and those below stay as they are.
     p lists the posteriors of the learned domains in the order of their names.
     Null or empty texts have no tokens and the prior's posterior; with nothing to
     learn from, or no tokens at all, every rate is 1 and the domain null.
@@ -120,8 +121,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], only_le
     mass = soft.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[k]), F.lit(0.0)).alias(f"m{k}") for k in range(len(names))]).first()
     mass = np.array([float(x) for x in mass])
     want /= want.sum()
-    total = min((mass[k] / want[k] for k in range(len(names)) if want[k] > 0), default=0.0) if only_less else mass.sum()
-    rate = fit_rates(soft, want * total) if mass.sum() > 0 else F.lit(1.0)
+    main = int(want.argmax())
+    targets = np.minimum(want * mass[main] / want[main], mass) if only_less else want * mass.sum()
+    rate = fit_rates(soft, targets) if mass.sum() > 0 else F.lit(1.0)
     top = F.array_position("p", F.array_max("p"))
     return (soft.withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in names]), top.cast("int")))
             .withColumn("posterior", F.array_max("p")).withColumn("rate", rate))
