@@ -6,7 +6,9 @@ phrase of the benchmark.  Postings lie beside the other postings of their
 document, so building the index moves no row.  A phrase is looked up from its
 rarest terms: their lists, shifted by the term's offset in the phrase, are
 intersected on (document, start); a survivor is then compared with the words of
-its document.  Main path: DataFrame operations only.
+its document.  A document is known by a hash of its id and text, so null and
+repeated ids do no harm, and where hashes clash the comparison still decides.
+Main path: DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ def phrases(items: DataFrame, n: int) -> DataFrame:
             .select(F.xxhash64("terms").alias("phrase"), "terms", "items"))
 
 
+def row_key() -> Column:
+    """A number shared by rows with the same doc_id and text, never null."""
+    return F.xxhash64("doc_id", "text")
+
+
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, pos): postings of the texts for the rows of ``terms(term)``, pos from 0."""
     split = docs.select("doc_id", tokens().alias("w"))
@@ -57,24 +64,30 @@ def rarest_terms(wanted: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(wanted: DataFrame, index: DataFrame, stage: Staging, k: int = 3) -> DataFrame:
-    """(doc_id, phrase, start): starts at which the ``k`` rarest terms of a phrase stand in their places."""
+    """(doc_id, phrase, start): starts at which the ``k`` rarest terms of a phrase stand in their places.
+
+    A doc_id of several rows has several postings a place, so it may also get starts that hold no occurrence.
+    """
     probes = stage.save(rarest_terms(wanted, index, k), "probes")
     need = probes.groupBy("phrase").agg(F.count(F.lit(1)).alias("need"))
     probes = maybe_broadcast(probes.join(need, "phrase"), BROADCAST_ROWS * k)
     lists = index.join(probes, "term").select("doc_id", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "need").where("start >= 0")
     met = lists.groupBy("doc_id", "phrase", "start").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return met.where("n = need").select("doc_id", "phrase", "start")
+    return met.where("n >= need").select("doc_id", "phrase", "start")
 
 
 def phrase_matches(docs: DataFrame, wanted: DataFrame, index: DataFrame, stage: Staging) -> DataFrame:
-    """Every row of ``docs`` with (n_words, spans): spans lists start, length and items of each exact occurrence."""
+    """Every row of ``docs`` with (n_words, spans): spans lists start, length and items of each exact occurrence.
+
+    The doc_id of ``index`` is the ``row_key`` of ``docs``.
+    """
     found = candidates(wanted, index, stage).join(maybe_broadcast(wanted, BROADCAST_ROWS), "phrase")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias("found"))
-    both = docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", tokens().alias("w"), "found")
-    exact = F.filter(F.coalesce("found", F.array().cast(by_doc.schema["found"].dataType)),
-                     lambda c: F.slice("w", c["start"] + 1, F.size(c["terms"])) == c["terms"])
+    by_doc = found.groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("start", "terms", "items")).alias("_found"))
+    both = docs.withColumn("_row", row_key()).join(by_doc, "_row", "left").select(*docs.columns, tokens().alias("_w"), "_found")
+    exact = F.filter(F.coalesce("_found", F.array().cast(by_doc.schema["_found"].dataType)),
+                     lambda c: F.slice("_w", c["start"] + 1, F.size(c["terms"])) == c["terms"])
     spans = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("length"), c["items"].alias("items")))
-    return both.select("doc_id", F.size("w").cast("long").alias("n_words"), spans.alias("spans"))
+    return both.select(*docs.columns, F.size("_w").cast("long").alias("n_words"), spans.alias("spans"))
 
 
 def proximity_matches(wanted: DataFrame, index: DataFrame, slack: int) -> DataFrame:
@@ -95,6 +108,15 @@ def proximity_matches(wanted: DataFrame, index: DataFrame, slack: int) -> DataFr
             .where("n = need").select("phrase", "doc_id", "pos"))
 
 
+def occurrences(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """Every row of ``docs`` with all its columns, n_words and spans (see ``contamination``)."""
+    stage = Staging(docs.sparkSession)
+    wanted = stage.save(phrases(items.select("item_id", "text"), n), "phrases")
+    terms = wanted.select(F.explode("terms").alias("term")).distinct()
+    index = stage.save(build_index(docs.select(row_key().alias("doc_id"), "text"), terms), "index")
+    return phrase_matches(docs, wanted, index, stage)
+
+
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Which words of which documents lie in windows of benchmark items.
 
@@ -104,14 +126,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     every row of ``docs``; item_ids are the items with occurring windows.
     Null or empty texts have no words and no hits; null or empty items occur
     nowhere; items that share a text are all reported; rows that repeat a doc_id
-    each get the hits of their own text; columns other than doc_id, text and
-    item_id are not read; empty tables give no hits.
+    or have none each get the hits of their own text; columns other than doc_id,
+    text and item_id are not read; empty tables give no hits.
     """
-    stage = Staging(docs.sparkSession)
-    wanted = stage.save(phrases(items.select("item_id", "text"), n), "phrases")
-    terms = wanted.select(F.explode("terms").alias("term")).distinct()
-    index = stage.save(build_index(docs, terms), "index")
-    hit = phrase_matches(docs, wanted, index, stage)
+    hit = occurrences(docs.select("doc_id", "text"), items, n)
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"]))))
     return hit.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwarden.llm.decontaminate import contamination
+from ringwarden.llm.decontaminate import occurrences
 from ringwarden.llm.jaccard_join import jaccard_components
 from ringwarden.llm.language_id import identify
 from ringwarden.llm.mixing import label_domains, mix
@@ -32,8 +32,7 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten consecutive words of a benchmark item, or all of a shorter one."""
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    hit = contamination(docs.select("doc_id", "text"), items).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return occurrences(docs.select(*COLUMNS), items).where("size(spans) = 0").select(*COLUMNS)
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

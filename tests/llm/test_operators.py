@@ -118,6 +118,15 @@ def test_contamination_matches_brute_force(spark, odd_documents):
     assert all(not r.contaminated for r in contamination(odd_documents, bench.limit(0)).collect())
 
 
+def test_contamination_of_repeated_and_null_ids(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, "so " + item), (1, "so " + item), (2, item), (2, "a clean text"), (None, item + " so"), (None, item + " so"), (None, "ten one two"), (3, item)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    out = contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.contaminated, len(r.spans)) for r in out)
+    assert got == {(1, 13, 12, True, 3): 2, (2, 12, 12, True, 3): 1, (2, 3, 0, False, 0): 1, (None, 13, 12, True, 3): 2, (None, 3, 0, False, 0): 1, (3, 12, 12, True, 3): 1}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x green y blue"), (2, "red a b c d e f green blue"), (3, "blue green red")], "doc_id long, text string")
     wanted = phrases(spark.createDataFrame([(1, "red green blue")], "item_id long, text string"), 10)

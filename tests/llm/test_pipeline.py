@@ -52,6 +52,13 @@ def test_stages_follow_brute_force(spark, data):
     assert docs.groupBy("shard").count().count() == min(16, len(kept))
 
 
+def test_decontamination_of_repeated_and_null_ids(spark, data):
+    rows = [(1, ITEM), (1, ITEM), (2, ITEM), (2, "clean"), (None, ITEM), (None, "clean too")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, data[0]).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(2, "clean"), (None, "clean too")} and len(left) == 2
+
+
 def test_run_gives_the_same(spark, data):
     out = corpus_pipeline.run(spark, data[0])
     assert out.count() > 40 and out.select("doc_id").distinct().count() == out.count()
