@@ -6,8 +6,10 @@ together by least squares; codes are found by beam search; the vector's norm is
 stored with its code.  A query's inner products with all codewords form a lookup
 table, so the approximate score of a code is a sum of table entries times the
 stored norm.  Queries and codes meet in blocks (a block of queries by a chunk of
-rows); the best of a chunk are reranked exactly in double precision, and the best
-of all chunks are the result.
+rows).  The best codes of a chunk are scored exactly in double precision; then so
+is every row of the chunk that could still be among its best, which the length of
+what its code leaves out (stored with the code) tells.  The best of all chunks are
+the result, so no neighbour is missed.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ BEAM = 8
 #: Rows in a chunk and queries in a block, about.
 CHUNK = 4096
 BLOCK = 1024
-#: Best codes of a chunk that are reranked for a query.
+#: Best codes of a chunk that are scored first; they set the score that the others' bounds must reach.
 RERANK = 300
+#: Allowance for rounding in bounds, as a share of the lengths.
+ROUNDING = 1e-9
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -57,6 +61,14 @@ def encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return codes[np.arange(n), (residual ** 2).sum(axis=2).argmin(axis=1)]
 
 
+def _decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The sums of codewords that ``codes`` name, in double precision."""
+    total = books[0][codes[:, 0]].astype(np.float64)
+    for j in range(1, len(books)):
+        total += books[j][codes[:, j]]
+    return total
+
+
 def train(x: np.ndarray, rounds: int = 3) -> np.ndarray:
     """Codebooks (books x words x dim) for unit vectors."""
     rng = np.random.default_rng(8)
@@ -126,9 +138,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
                 v = np.stack(frame["embedding"].to_numpy())
                 norm = np.linalg.norm(v, axis=1)
                 codes = np.concatenate([encode(part, shared.value) for part in np.array_split(v / norm[:, None], len(v) // 2048 + 1)])
-                yield pd.DataFrame({"vec_id": frame["vec_id"], "embedding": frame["embedding"], "norm": norm, "code": [c.tobytes() for c in codes]})
+                yield pd.DataFrame({"vec_id": frame["vec_id"], "embedding": frame["embedding"], "norm": norm, "code": [c.tobytes() for c in codes],
+                                    "rest": np.linalg.norm(v - norm[:, None] * _decoded(codes, shared.value), axis=1)})
 
-    coded = stage.save(good.mapInPandas(index, "vec_id long, embedding array<double>, norm double, code binary"), "codes")
+    coded = stage.save(good.mapInPandas(index, "vec_id long, embedding array<double>, norm double, code binary, rest double"), "codes")
     chunks, blocks = coded.count() // CHUNK + 1, asked.count() // BLOCK + 1
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = coded.withColumn("chunk", place(chunks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -140,19 +153,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RE
         if not len(rows) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         rows = rows.sort_values("vec_id", kind="stable")
-        ids, v, norm = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), rows["norm"].to_numpy().astype(np.float32)
+        ids, v, norm, rest = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()), rows["norm"].to_numpy(), rows["rest"].to_numpy()
         code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), BOOKS).astype(np.int64)
-        out = []
+        wide, out = shared.value.astype(np.float64), []
         for query_id, query in zip(block["query_id"], block["query"]):
-            table = shared.value @ query.astype(np.float32)
+            table, length = wide @ query, np.linalg.norm(query)
             approx = table[0][code[:, 0]]
             for j in range(1, BOOKS):
                 approx = approx + table[j][code[:, j]]
-            at = _top(approx * norm, rerank + 1)
-            at = at[ids[at] != query_id]
-            exact = (v[at] * query).sum(axis=1)
-            best = np.lexsort((ids[at], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][best], "score": exact[best]}))
+            approx = np.where(ids == query_id, -np.inf, approx * norm)
+            exact = np.full(len(rows), -np.inf)
+            first = _top(approx, max(rerank, k))
+            first = first[ids[first] != query_id]
+            exact[first] = (v[first] * query).sum(axis=1)
+            if len(first) < len(rows):
+                reached = np.sort(exact[first])[-k] if len(first) >= k else -np.inf
+                could = approx + length * (rest + ROUNDING * norm) >= reached
+                could[first] = False
+                exact[could] = (v[could] * query).sum(axis=1)
+            at = np.flatnonzero((exact > -np.inf) & (ids != query_id))
+            best = at[np.lexsort((ids[at], -exact[at]))[:k]]
+            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": exact[best]}))
         return pd.concat(out)
 
     met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, schema)

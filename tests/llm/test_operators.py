@@ -242,6 +242,20 @@ def test_nearest_neighbours_recall_ties_and_odd_vectors(spark):
     assert aq.search(few, few).count() == 20
 
 
+def test_nearest_neighbours_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1800, 16))
+    x[600:] = x[0] + 0.01 * rng.normal(size=(1200, 16))
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = aq.search(table, table.where("vec_id % 60 = 0")).toPandas()
+    for q, g in out.groupby("query_id"):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        assert list(g.sort_values("rank").vec_id) == list(np.lexsort((np.arange(1800), -score))[:20])
+    assert out.query_id.nunique() == 30
+
+
 def test_language_model_is_a_distribution_and_beats_the_unigram(spark, odd_documents):
     rng = np.random.default_rng(1)
     pairs = [("aa", "bb"), ("cc", "dd"), ("ee", "ff")]
