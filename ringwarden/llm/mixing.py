@@ -29,6 +29,10 @@ LABELLED_ROWS = 20_000
 FEATURES = 512
 #: A token counts if it is so many times as frequent in some domain as it is overall.
 MIN_LIFT = 2.0
+#: With ``only_less``: the posterior of the main domain below which a document may count for another one, at most ...
+DOUBT = 0.01
+#: ... and the share of rows labelled as the main domain that may lie below it.
+LOST_SHARE = 0.01
 #: Runs of letters, and runs of other signs.
 TOKEN = r"\p{L}+|[^\p{L}\p{N}\s]+"
 
@@ -37,11 +41,15 @@ def _features(text: Column) -> Column:
     return words(text, TOKEN)
 
 
+def _bounded(labelled: DataFrame) -> DataFrame:
+    """The labelled rows that are used, one a doc_id."""
+    clean = labelled.select("doc_id", "domain").dropna().dropDuplicates(["doc_id"])
+    return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
+
+
 def fit_domains(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], list[float], dict[str, list[float]]]:
     """(domains, log prior of each, log lifts of each token): naive Bayes over the most telling tokens that occur."""
-    clean = labelled.select("doc_id", "domain").dropna().dropDuplicates(["doc_id"])
-    bounded = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    seen = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")
+    seen = docs.select("doc_id", "text").join(F.broadcast(_bounded(labelled)), "doc_id")
     per_domain = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(per_domain)
     if not names:
@@ -95,6 +103,20 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, steps: int = 30, tolerance:
     return rate
 
 
+def sure_members(soft: DataFrame, labelled: DataFrame, names: list[str], main: int) -> Column:
+    """Memberships in place of p: a document is wholly of its most likely domain where that is sure, else of the main one.
+
+    Sure means a posterior of the main domain below DOUBT, and below that of all
+    but LOST_SHARE of the rows that are labelled as the main domain.
+    """
+    known = soft.select("doc_id", F.col("p")[main].alias("q")).join(F.broadcast(_bounded(labelled)), "doc_id").where(F.col("domain") == names[main])
+    edge = known.agg(F.percentile_approx("q", LOST_SHARE, 1_000_000).alias("q")).first()["q"]
+    cut = DOUBT if edge is None else min(edge, DOUBT)
+    top = F.array_position("p", F.array_max("p")) - 1
+    own = F.when(F.col("p")[main] < cut, top).otherwise(F.lit(main))
+    return F.transform(F.array(*[F.lit(k) for k in range(len(names))]), lambda k: (k == own).cast("double"))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], only_less: bool = False) -> DataFrame:
     """Add n_tokens, p, domain, posterior and rate to the rows of ``docs``.
 
@@ -103,7 +125,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], only_le
     expected tokens; a learned domain without a weight gets 0, a weight without a
     learned domain is left out and the rest scaled to 1.  The sum of tokens stays
     as it is; with ``only_less`` the domain of the largest weight keeps its tokens,
-    others above their share of it fall to that, and those below stay as they are.
+    others above their share of it fall to that, and those below stay as they are;
+    there a document counts wholly for one domain, for another than the main one
+    only where ``sure_members`` says so, and tokens are those so counted.
     p lists the posteriors of the learned domains in the order of their names.
     Null or empty texts have no tokens and the prior's posterior; with nothing to
     learn from, or no tokens at all, every rate is 1 and the domain null.
@@ -118,15 +142,18 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], only_le
         return (plain.withColumn("p", F.array().cast("array<double>")).withColumn("domain", F.lit(None).cast("string"))
                 .withColumn("posterior", F.lit(None).cast("double")).withColumn("rate", F.lit(1.0)))
     soft = stage.save(posteriors(docs, model), "posteriors")
-    mass = soft.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[k]), F.lit(0.0)).alias(f"m{k}") for k in range(len(names))]).first()
-    mass = np.array([float(x) for x in mass])
     want /= want.sum()
     main = int(want.argmax())
+    soft = soft.withColumn("_p", F.col("p"))
+    if only_less:
+        soft = soft.withColumn("p", sure_members(soft, labelled, names, main))
+    mass = soft.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("p")[k]), F.lit(0.0)).alias(f"m{k}") for k in range(len(names))]).first()
+    mass = np.array([float(x) for x in mass])
     targets = np.minimum(want * mass[main] / want[main], mass) if only_less else want * mass.sum()
     rate = fit_rates(soft, targets) if mass.sum() > 0 else F.lit(1.0)
     top = F.array_position("p", F.array_max("p"))
-    return (soft.withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in names]), top.cast("int")))
-            .withColumn("posterior", F.array_max("p")).withColumn("rate", rate))
+    return (soft.withColumn("rate", rate).withColumn("p", F.col("_p")).drop("_p").withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in names]), top.cast("int")))
+            .withColumn("posterior", F.array_max("p")).select(*plain.columns, "p", "domain", "posterior", "rate"))
 
 
 def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,13 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thin the domains that are above their target share; a document most likely of the main domain stays for certain.
+    """Thin the domains that are above their target share, each document by its fitted rate.
 
-    The draw is a hash of doc_id, so it is the same in every run.
+    The rate is 1 where no domain but the main one is sure.  The draw is a hash of doc_id, so it is the same in every run.
     """
     rated = mix(docs.select(*COLUMNS), label_domains(spark, sf_dir), PIPELINE_WEIGHTS, only_less=True)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-    main = max(PIPELINE_WEIGHTS, key=PIPELINE_WEIGHTS.get)
-    return rated.where(F.col("domain").isNull() | (F.col("domain") == main) | (draw < F.col("rate"))).select(*COLUMNS)
+    return rated.where(draw < F.col("rate")).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

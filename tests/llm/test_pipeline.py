@@ -7,6 +7,8 @@ import sys
 import pytest
 
 import corpus_pipeline
+from ringwarden.llm.mixing import label_domains, mix
+from ringwarden.llm.stages import PIPELINE_WEIGHTS, keep_mixed
 from tests.llm.test_operators import brute_components, brute_contamination
 
 ITEM = "quick brown foxes jump over lazy dogs near the old river bank"
@@ -59,6 +61,19 @@ def test_decontamination_of_repeated_and_null_ids(spark, data):
     assert {(r.doc_id, r.text) for r in left} == {(2, "clean"), (None, "clean too")} and len(left) == 2
 
 
+def test_mixing_thins_to_targets_and_keeps_clean_documents(spark, tmp_path):
+    kinds = [("calm " * 20, 1, 0)] * 200 + [("calm " * 17 + "!! ## %%", 1, 0)] * 6 + [("!! ## %% junk " * 5, 0, 0)] * 200 + [("rude " * 20, 1, 1)] * 40
+    rows = [(i, text, "en", "s", 1) for i, (text, _, _) in enumerate(kinds)]
+    labels = [(i, quality, toxic) for i, (_, quality, toxic) in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in keep_mixed(spark, docs, str(tmp_path)).collect()}
+    assert set(range(206)) <= kept and len(kept) < 206 + 30
+    out = mix(docs, label_domains(spark, str(tmp_path)), PIPELINE_WEIGHTS, only_less=True).toPandas()
+    mass = [(g.rate * g.n_tokens).sum() for g in (out[out.doc_id < 206], out[(out.doc_id >= 206) & (out.doc_id < 406)], out[out.doc_id >= 406])]
+    assert [m / mass[0] for m in mass] == pytest.approx([1, 0.04 / 0.95, 0.01 / 0.95])
+
+
 def test_run_gives_the_same(spark, data):
     out = corpus_pipeline.run(spark, data[0])
     assert out.count() > 40 and out.select("doc_id").distinct().count() == out.count()
