@@ -1,38 +1,36 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The n-grams of all documents get one global order, rarest first.  Only n-grams
-that occur in two documents or more can add to an overlap, so only those are
-kept, and only documents in which they make up the wanted share.  The order is
-cut into fragments; each document is cut along with it.  A pair that shares an
-n-gram of both prefixes is a candidate; its overlap is counted fragment by
-fragment, each fragment alone, and the partial counts are summed per pair.
-
-Documents with the same word sequence form a class, of which the smallest id
-takes part.  What is asked for is who reaches whom, so pairs whose ends are
-already known to be in one group need no count: each list of documents that
-share a prefix n-gram is first tried against a few pivots a round, and every pair
-across groups that is left when such pairs are few is then tried alone.  No link
-between different groups is lost, and a list of thousands of near copies costs
-its length a round, not its square.
+that occur in two different word sequences can add to an overlap, so only those are
+kept, and only sequences in which they make up the wanted share.  The order is cut
+into fragments, and each document into segments along with it.  Two documents that
+share an n-gram of both prefixes are a candidate pair; each fragment counts the
+pair's partial overlap on its own segments, and the partial counts are summed per pair.
+
+Documents with the same word sequence form a class, of which one row takes part.
+What is asked for is who reaches whom, so pairs whose ends are already known to be
+in one group need no count.  In every round each list of documents that share a
+prefix n-gram is tried against its pivots, the documents with the smallest share of
+n-grams of their own, which are the middle of a group of near copies.  Then the
+groups grow together, documents that could link to no other group of their list go,
+and the number of pivots a list grows fourfold, until no list is left.  So a list
+of thousands of near copies costs about its length, no link between different
+groups is lost, and a list is done in logarithmically many rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringwarden.llm.text import ascii_lower, documents, unnest, words
+from ringwarden.llm.text import ascii_lower, documents, row_key, unnest, words
 from ringwarden.operators.components import connected_components
 from ringwarden.staging import Staging
 
 #: Of the n-grams in the first part of the hash space so large a share must be repeated in a document that is counted in full.
 REPEATED = 0.4
-#: Pairs across groups are looked at one by one (few are candidates) when they are at most so many times the prefix n-grams.
-LINEAR = 4096
-#: Rounds of pivots before that, unless no more pairs than prefix n-grams are left.
-ROUNDS = 3
-#: Pivots of a list in a round, at most.
-PIVOTS = 16
+#: Pivots of a list grow by this factor from round to round.
+GROWTH = 4
 
 
 def shingle_hashes(tokens: Column, n: int) -> Column:
@@ -42,173 +40,213 @@ def shingle_hashes(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
 
 
+def sequence_key(tokens: Column) -> Column:
+    """128 bits of a word sequence; null if it has no words."""
+    return F.when(F.size(tokens) > 0, F.md5(F.array_join(tokens, " ")))
+
+
 def needed(size: Column, percent: int) -> Column:
     """The least overlap of a set of ``size`` with any set that it may link to."""
     return F.ceil(size * percent / 100)
 
 
 def keyed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, key, n_words, n_shingles, first_grams).
+    """(doc_id, row, key, n_words, n_shingles, first_grams).
 
-    key: 128 bits of the lower-cased word sequence.  first_grams: the part of the
-    set in the lowest part of the hash space, the larger the less similar sets may be.
+    row: a hash of id and text.  key: 128 bits of the lower-cased word sequence.
+    first_grams: the part of the set in the lowest part of the hash space, the
+    larger the less similar sets may be.
     """
     first = min(0.9, (1 - percent / 100) / (1 - REPEATED))
-    split = docs.select("doc_id", words(ascii_lower(F.col("text"))).alias("w"))
-    cut = split.select("doc_id", F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("key"),
-                       F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
+    split = docs.select("doc_id", row_key().alias("row"), words(ascii_lower(F.col("text"))).alias("w"))
+    cut = split.select("doc_id", "row", sequence_key(F.col("w")).alias("key"), F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
     size = F.size("grams")
-    return cut.select("doc_id", "key", "n_words", F.when(F.col("n_words") >= n, size).otherwise(F.least("n_words", F.lit(1))).alias("n_shingles"),
+    return cut.select("doc_id", "row", "key", "n_words", F.when(F.col("n_words") >= n, size).otherwise(F.least("n_words", F.lit(1))).alias("n_shingles"),
                       F.filter("grams", lambda g: g < F.lit(int(first * 2 ** 64) - 2 ** 63)).alias("first_grams"))
 
 
+def sequence_classes(table: DataFrame) -> DataFrame:
+    """(unit, key, lead, n_words, size, first_grams): a row for each word sequence, numbered.
+
+    lead names its first row: (no id, doc_id, row), the least one.  The number holds
+    once the result is written.
+    """
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    one = table.where("key is not null").groupBy("key").agg(
+        F.min(lead).alias("lead"), F.first("n_words").alias("n_words"), F.first("n_shingles").alias("size"), F.first("first_grams").alias("first_grams"))
+    return one.withColumn("unit", F.monotonically_increasing_id())
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """``rows(doc, gram)`` of the grams that occur in several documents, with their count df.
 
     Both branches want the same columns, so one exchange by gram serves both.
     """
     dealt = rows.repartition("gram")
-    counts = dealt.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("doc").alias("least"))
-    counts = counts.where("df > 1 and least is not null").select("gram", "df")
+    counts = dealt.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("doc").alias("least"), F.max("doc").alias("most"))
+    counts = counts.where("least <> most").select("gram", "df")
     return dealt.join(counts.hint("shuffle_hash"), "gram")
 
 
-def profiles(docs: DataFrame, table: DataFrame, reps: DataFrame, n: int, percent: int, stage: Staging) -> DataFrame:
-    """(doc, size, grams): class representatives that may link, with their repeated n-grams in the global order.
+def profiles(docs: DataFrame, classes: DataFrame, n: int, percent: int, stage: Staging) -> DataFrame:
+    """(doc, size, grams): classes that may link, with their repeated n-grams in the global order; doc is the unit.
 
     A set that links misses at most ``size - needed`` of its grams in its partner,
     so of any part of it all but that many are repeated.  The first part of the
     hash space tells so for most documents; only those that pass are counted in full.
     """
-    first = table.select(F.col("doc_id").alias("doc"), "first_grams")
+    able = classes.where(F.col("n_words") >= n)
+    first = able.select(F.col("unit").alias("doc"), "first_grams")
     repeated = counted(unnest(first, "first_grams", "gram", "doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("rep"))
     spare = F.col("size") - needed(F.col("size"), percent)
-    wanted = stage.save(reps.join(repeated, "doc", "left").where(F.coalesce("rep", F.lit(0)) >= F.col("n_first") - spare)
-                        .select("doc", "size"), "wanted")
-    # The ids grow with the corpus, so they are merged and never broadcast.
-    texts = docs.join(wanted.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    split = texts.select(F.col("doc_id").alias("doc"), words(ascii_lower(F.col("text"))).alias("w"))
+    wanted = stage.save(
+        able.select(F.col("unit").alias("doc"), "key", "lead.row", "size", F.size("first_grams").alias("n_first")).join(repeated, "doc", "left")
+        .where(F.coalesce("rep", F.lit(0)) >= F.col("n_first") - spare).select("doc", "key", "row", "size"), "wanted")
+    # The rows grow with the corpus, so they are merged and never broadcast.
+    texts = docs.select("text", row_key().alias("row")).join(wanted.select("doc", "key", "row").hint("merge"), "row")
+    split = texts.select("doc", "key", words(ascii_lower(F.col("text"))).alias("w")).where(sequence_key(F.col("w")) == F.col("key"))
     rows = unnest(split.select("doc", shingle_hashes(F.col("w"), n).alias("grams")), "grams", "gram", "doc")
-    per_doc = counted(rows).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    return per_doc.join(wanted, "doc").where(F.size("grams") >= needed(F.col("size"), percent))
+    per_doc = counted(rows).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("grams"))
+    return per_doc.join(wanted.select("doc", "size"), "doc").where(F.size("grams") >= needed(F.col("size"), percent))
 
 
-def fragments(profile: DataFrame, n: int) -> DataFrame:
-    """(doc, parts): the documents cut at ``n - 1`` points of the global n-gram order, a list of grams for each fragment."""
+def segments(profile: DataFrame, n: int) -> DataFrame:
+    """(doc, fragment, grams): each document cut at ``n - 1`` points of the global n-gram order."""
     place = lambda x: x["df"] + (x["gram"] / F.lit(2.0 ** 64) + 0.5)
-    cuts = profile.select(F.explode(F.transform("grams", place)).alias("place")).approxQuantile(
-        "place", [k / n for k in range(1, n)], 0.01)
+    cuts = profile.select(F.explode(F.transform("grams", place)).alias("place")).approxQuantile("place", [k / n for k in range(1, n)], 0.01)
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
 
     def part(k: int) -> Column:
         inside = F.filter("grams", lambda x: (place(x) >= edges[k]) & (place(x) < edges[k + 1]))
         return F.transform(inside, lambda x: x["gram"])
 
-    return profile.select("doc", F.array(*[part(k) for k in range(len(edges) - 1)]).alias("parts"))
+    return (profile.select("doc", F.posexplode(F.array(*[part(k) for k in range(len(edges) - 1)])).alias("fragment", "grams"))
+            .where(F.size("grams") > 0))
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """(a, b, overlap) of candidate pairs: partial counts, each from one fragment alone, summed."""
-    left = cut.select(F.col("doc").alias("a"), F.col("parts").alias("pa"))
-    right = cut.select(F.col("doc").alias("b"), F.col("parts").alias("pb"))
-    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", partial.alias("partial"))
-            .select("a", "b", F.aggregate("partial", F.lit(0), lambda s, x: s + x).alias("overlap")))
+    """(a, b, overlap) of candidate pairs: every fragment counts its own segments, the partial counts are summed per pair."""
+    left = cut.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("left"))
+    right = cut.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("right"))
+    met = pairs.join(left, "a").join(right, ["b", "fragment"])
+    partial = met.select("a", "b", F.size(F.array_intersect("left", "right")).alias("partial"))
+    return partial.groupBy("a", "b").agg(F.sum("partial").alias("overlap"))
 
 
-def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Staging) -> DataFrame:
-    """(id, component) over documents that link to another one."""
-    sizes = profile.select("doc", "size")
+def prefix_postings(profile: DataFrame, percent: int) -> DataFrame:
+    """(gram, doc, size, most, own, comp): the prefix n-grams of each document.
+
+    most: the largest partner that the list of the gram could still join it to (a
+    common gram has at most ``rest`` grams from it on, and all common ones of a pair
+    must be among those of the first).  own: the share of grams of no other document.
+    """
     alone = F.col("size") - F.size("grams")  # grams of no other document stand before all others
     room = F.col("size") - needed(F.col("size"), percent) + 1 - alone
-    posts = stage.save(
-        profile.select("doc", "size", alone.alias("alone"), F.posexplode(F.slice("grams", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("i", "g"))
-        .select(F.col("g.gram").alias("gram"), "doc", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("rest"), F.col("doc").alias("comp")), "postings")
-    links, groups, tried = None, None, 0
-    few = LINEAR * posts.count()
-
-    # A common gram has at most ``rest`` grams from it on in each set; all common ones must be among those of the first.
-    least = F.ceil((F.col("sa") + F.col("sb")) * percent / (100 + percent))
-    possible = (F.col("ra") >= least) & (F.col("rb") >= least)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = sizes.select(F.col("doc").alias("a"), F.col("size").alias("sa"))
-        b = sizes.select(F.col("doc").alias("b"), F.col("size").alias("sb"))
-        return (overlaps(pairs, cut).join(a, "a").join(b, "b")
-                .where(F.col("overlap") * 100 >= percent * (F.col("sa") + F.col("sb") - F.col("overlap")))
-                .select("a", "b"))
+    prefix = F.slice("grams", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+    rest = F.col("size") - F.col("alone") - F.col("i")
+    return (profile.select("doc", "size", alone.alias("alone"), F.posexplode(prefix).alias("i", "g"))
+            .select(F.col("g.gram").alias("gram"), "doc", "size", (F.floor(rest * (100 + percent) / percent) - F.col("size")).alias("most"),
+                    (F.col("alone") / F.col("size")).alias("own"), F.col("doc").alias("comp")))
+
+
+def open_postings(posts: DataFrame) -> DataFrame:
+    """The rows of ``posts`` that could link to another group of their list.
+
+    Per list only the two best groups matter: a document's best partner is in the
+    best group, or in the second where the best one is its own.
+    """
+    groups = posts.groupBy("gram", "comp").agg(F.min("size").alias("size"), F.max("most").alias("most"))
 
+    def best(value: str, ascending: bool) -> DataFrame:
+        order = Window.partitionBy("gram").orderBy(F.col(value).asc() if ascending else F.col(value).desc(), "comp")
+        two = groups.select("gram", "comp", value, F.row_number().over(order).alias("k")).where("k <= 2")
+        pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+        return two.groupBy("gram").agg(pick(1, "comp").alias(f"{value}_of"), pick(1, value).alias(f"{value}_1"), pick(2, value).alias(f"{value}_2"))
+
+    def other(value: str) -> Column:
+        return F.when(F.col("comp") == F.col(f"{value}_of"), F.col(f"{value}_2")).otherwise(F.col(f"{value}_1"))
+
+    bounds = best("size", True).join(best("most", False), "gram").where("size_2 is not null")
+    return posts.join(bounds, "gram").where((other("size") <= F.col("most")) & (other("most") >= F.col("size"))).select(*posts.columns)
+
+
+def similar_groups(profile: DataFrame, cut: DataFrame, percent: int, stage: Staging) -> DataFrame | None:
+    """(id, component) over documents that link to another one; None if none does."""
+    posts = stage.save(prefix_postings(profile, percent), "postings")
+    sizes = profile.select("doc", "size")
+    links, groups, pivots = None, None, 1
     while True:
-        in_group = posts.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"))
-        per_gram = in_group.groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max(F.struct("n", "comp")).alias("m"))
-        left = stage.save(per_gram.where("n * n > nn").select("gram", "n", "nn", F.col("m.comp").alias("major")), "open")
-        rest = left.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()[0]
-        if rest == 0:
-            break
-        last = tried > 0 and rest <= (few if tried >= ROUNDS else posts.count())
-        live = stage.save(posts.join(left.select("gram"), "gram", "left_semi"), "live")
-        if last:
-            # Of two ends in different groups one at least is outside the list's largest group.  A pair counts in the list of its first common gram.
-            first = F.slice("grams", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
-            prefix = profile.select("doc", F.transform(first, lambda g: g["gram"]).alias("prefix"))
-            whole = live.join(prefix, "doc").join(left.select("gram", "major"), "gram").withColumn("minor", F.col("comp") != F.col("major"))
-            mine = whole.where("minor").select("gram", *[F.col(c).alias(n) for c, n in (("doc", "a"), ("size", "sa"), ("rest", "ra"), ("comp", "ca"), ("prefix", "pa"))])
-            other = whole.select("gram", "minor", *[F.col(c).alias(n) for c, n in (("doc", "b"), ("size", "sb"), ("rest", "rb"), ("comp", "cb"), ("prefix", "pb"))])
-            # Of the prefix that ends first in the order all common grams are in the other one too, and it misses few.
-            common = F.array_intersect("pa", "pb")
-            enough = least - F.greatest(needed(F.col("sa"), percent), needed(F.col("sb"), percent)) + 1
-            both = (mine.join(other, "gram").where("ca <> cb and (not minor or a < b)").where(possible)
-                    .where((F.get(common, 0) == F.col("gram")) & (F.size(common) >= enough)))
-        else:
-            turn = F.struct(F.xxhash64("doc", "gram", F.lit(tried)).alias("turn"), F.col("doc").alias("a"),
-                            F.col("size").alias("sa"), F.col("rest").alias("ra"), F.col("comp").alias("ca"))
-            pivot = stage.save(live.groupBy("gram", F.pmod(F.xxhash64("doc", F.lit(tried)), F.lit(PIVOTS)).alias("k")).agg(F.min(turn).alias("p")).select("gram", "p.a", "p.sa", "p.ra", "p.ca"), "pivots")
-            both = (live.withColumnsRenamed({"doc": "b", "size": "sb", "rest": "rb", "comp": "cb"}).join(pivot, "gram")
-                    .where("a <> b and ca <> cb"))
-        ordered = (both.where(possible)
-                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = stage.save(verified(stage.save(ordered, "pairs")), "links")
-        links = found if links is None else links.unionByName(found)
-        tried += 1
-        groups = connected_components(links, stage)
-        if last:
-            break
-        kept = live.join(pivot.select("gram", F.col("a").alias("doc")), ["gram", "doc"], "left_anti")
-        now = groups.select(F.col("id").alias("doc"), F.col("component").alias("c"))
-        posts = stage.save(kept.join(now, "doc", "left").select("gram", "doc", "size", "rest", F.coalesce("c", "comp").alias("comp")), "postings")
-    return groups if groups is not None else sizes.select(F.col("doc").alias("id"), F.col("doc").alias("component")).limit(0)
-
-
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, n_fragments: int = 4,
-                       repeated_ids: bool = False) -> DataFrame:
+        live = stage.save(open_postings(posts), "open")
+        stage.drop(posts)
+        if live.isEmpty():
+            return groups
+        central = Window.partitionBy("gram").orderBy("own", "doc")
+        pivot = stage.save(live.withColumn("k", F.row_number().over(central)).where(F.col("k") <= pivots)
+                           .select("gram", *[F.col(c).alias(f"p_{c}") for c in ("doc", "size", "most", "comp")]), "pivots")
+        met = live.join(pivot, "gram").where("comp <> p_comp and size <= p_most and p_size <= most")
+        pairs = stage.save(met.select(F.least("doc", "p_doc").alias("a"), F.greatest("doc", "p_doc").alias("b")).distinct(), "pairs")
+        a, b = sizes.select(F.col("doc").alias("a"), F.col("size").alias("sa")), sizes.select(F.col("doc").alias("b"), F.col("size").alias("sb"))
+        found = stage.save(overlaps(pairs, cut).join(a, "a").join(b, "b")
+                           .where(F.col("overlap") * 100 >= percent * (F.col("sa") + F.col("sb") - F.col("overlap"))).select("a", "b"), "links")
+        left = live.join(pivot.select("gram", F.col("p_doc").alias("doc")), ["gram", "doc"], "left_anti")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            groups = connected_components(links, stage)
+            now = groups.select(F.col("id").alias("doc"), F.col("component").alias("c"))
+            left = left.join(now, "doc", "left").withColumn("comp", F.coalesce("c", "comp")).drop("c")
+        posts = stage.save(left, "postings")
+        stage.drop(live, pivot, pairs)
+        pivots *= GROWTH
+
+
+def jaccard_groups(docs: DataFrame, n: int, percent: int, n_fragments: int, stage: Staging) -> DataFrame:
+    """(doc_id, row, n_shingles, lead): for every row of ``docs`` the first row (no_id, doc_id, row) of its group."""
+    read = docs.select("doc_id", "text")
+    table = stage.save(keyed_documents(read, n, percent), "keys")
+    classes = stage.save(sequence_classes(table), "classes")
+    profile = stage.save(profiles(read, classes, n, percent, stage), "profiles")
+    cut = stage.save(segments(profile, n_fragments), "segments")
+    groups = similar_groups(profile, cut, percent, stage)
+    leads = classes.select("unit", "key", "lead")
+    if groups is not None:
+        named = leads.join(groups.withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+        first = named.groupBy("component").agg(F.min("lead").alias("first"))
+        leads = named.join(first, "component").select("key", "lead", "first")
+    else:
+        leads = leads.select("key", "lead", F.col("lead").alias("first"))
+    alone = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    return table.select("doc_id", "row", "key", "n_shingles").join(leads, "key", "left").select(
+        "doc_id", "row", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("lead", alone).alias("class_lead"), F.coalesce("first", alone).alias("lead"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, n_fragments: int = 4) -> DataFrame:
     """Group documents whose n-gram sets reach a Jaccard similarity of ``percent`` / 100.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the
     distinct n-grams of the whole text, or the whole sequence if there are fewer
     words.  N-grams are compared by 64-bit hashes, whole sequences by 128 bits.
-    Returns ``(doc_id, n_shingles, class_id, component_id)``: class_id is the
-    smallest doc_id with the same word sequence, component_id the smallest that
-    links reach.  Null or empty texts have no set and stand alone; rows without
-    doc_id are dropped; doc_id must be unique, or ``repeated_ids`` set, which keeps
-    one row of each id at the cost of an exchange of the texts; other columns of
-    ``docs`` are not read; an empty table gives an empty result.
+    Returns ``(doc_id, n_shingles, class_id, component_id)`` for every row: class_id
+    is the smallest doc_id with the same word sequence, component_id the smallest
+    that links reach (null only where no row of the group has an id).  Null or empty
+    texts have no set and stand alone.  Rows with null or repeated ids take part
+    with their own texts; ties are by id.  Very long texts are one set like others.
+    Other columns of ``docs`` are not read; an empty table gives an empty result.
+    """
+    out = jaccard_groups(docs, n, percent, n_fragments, Staging(docs.sparkSession))
+    return out.select("doc_id", "n_shingles", F.col("class_lead.doc_id").alias("class_id"), F.col("lead.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, n_fragments: int = 4) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group of ``jaccard_components``.
+
+    The row with the least doc_id stays (rows without id come last; of equal ids
+    the one with the least hash of its text); of wholly repeated rows one stays.
+    Rows without words, each a group of its own, all stay unless they are repeated.
     """
     stage = Staging(docs.sparkSession)
-    read = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]) if repeated_ids else (
-        docs.select("doc_id", "text").where("doc_id is not null"))
-    table = stage.save(keyed_documents(read, n, percent), "keys")
-    classes = stage.save(table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
-    known = stage.save(table.select("doc_id", "key", "n_shingles").join(classes, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep")), "known")
-    reps = stage.save(table.where("n_words >= " + str(n)).join(classes.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"])
-                      .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.size("first_grams").alias("n_first")), "reps")
-    profile = stage.save(profiles(read, table, reps, n, percent, stage), "profiles")
-    stage.drop(table)
-    cut = stage.save(fragments(profile, n_fragments), "fragments")
-    groups = similar_groups(profile, cut, percent, stage)
-    return (known.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-            .select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"),
-                    F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")))
+    out = jaccard_groups(docs, n, percent, n_fragments, stage)
+    first = stage.save(out.where(F.col("row") == F.col("lead.row")).select(F.col("row").alias("_row")).distinct(), "first")
+    return docs.withColumn("_row", row_key()).join(first.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwarden.llm.decontaminate import occurrences
-from ringwarden.llm.jaccard_join import jaccard_components
+from ringwarden.llm.jaccard_join import representatives
 from ringwarden.llm.language_id import identify
 from ringwarden.llm.mixing import label_domains, mix
 from ringwarden.llm.sharding import assign_shards
@@ -23,10 +23,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group (five words, similarity 0.8)."""
-    groups = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep one document of each near-duplicate group (five words, similarity 0.8), that with the smallest id.
+
+    Null and repeated ids, null, empty and very long texts and repeated rows: see
+    ``representatives``.  An empty table gives an empty result.
+    """
+    return representatives(docs.select(*COLUMNS), n=5, percent=80)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from ringwarden.llm import additive_quantisation as aq
 from ringwarden.llm import log_bilinear as lbl
 from ringwarden.llm.decontaminate import build_index, contamination, phrases, proximity_matches
-from ringwarden.llm.jaccard_join import jaccard_components
+from ringwarden.llm.jaccard_join import jaccard_components, representatives
 from ringwarden.llm.language_id import identify
 from ringwarden.llm.mixing import mix
 from ringwarden.llm.quality_knn import score_quality
@@ -71,15 +71,43 @@ def test_jaccard_components_match_brute_force(spark, seed, edits):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 85)
 
 
-def test_jaccard_pivot_rounds_give_the_same(spark, monkeypatch):
-    from ringwarden.llm import jaccard_join
-
-    monkeypatch.setattr(jaccard_join, "LINEAR", 0)
-    rows = near_copies(5, 25, 60, 5)
+@pytest.mark.parametrize("n_docs,length,edits", [(25, 60, 5), (120, 60, 4), (240, 60, 4)])
+def test_jaccard_groups_of_several_sizes(spark, n_docs, length, edits):
+    rows = near_copies(5, n_docs, length, edits, words=90)
     out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in out} == {d: c for d, (_, c) in brute_components(rows, 4, 85).items()}
 
 
+def test_jaccard_pairs_grow_with_the_group(spark, monkeypatch):
+    from ringwarden.llm import jaccard_join
+
+    counts = []
+    whole = jaccard_join.overlaps
+
+    def counting(pairs, cut):
+        counts[-1] += pairs.count()
+        return whole(pairs, cut)
+
+    monkeypatch.setattr(jaccard_join, "overlaps", counting)
+    for n_docs in (200, 400):
+        counts.append(0)
+        rows = near_copies(9, n_docs, 80, 3)
+        assert jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).count() == n_docs
+    assert counts[1] <= 3 * counts[0] and counts[1] <= 4 * 400
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30 ", "x ")
+    rows = [(3, base), (3, base), (None, base), (None, near), (5, near), (5, "another text of its own"), (None, None), (None, "only of null ids here"), (None, "only of null ids here")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
+    assert got == {(3, 57, 3): 2, (None, 57, 3): 2, (5, 57, 3): 1, (5, 2, 5): 1, (None, 0, None): 1, (None, 2, None): 2}
+    left = representatives(docs, n=4, percent=85)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == {(3, base): 1, (5, "another text of its own"): 1, (None, None): 1, (None, "only of null ids here"): 1}
+
+
 def test_jaccard_odd_and_empty(spark, odd_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
     out = jaccard_components(odd_documents).collect()
