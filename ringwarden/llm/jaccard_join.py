@@ -40,11 +40,6 @@ def shingle_hashes(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
 
 
-def sequence_key(tokens: Column) -> Column:
-    """128 bits of a word sequence; null if it has no words."""
-    return F.when(F.size(tokens) > 0, F.md5(F.array_join(tokens, " ")))
-
-
 def needed(size: Column, percent: int) -> Column:
     """The least overlap of a set of ``size`` with any set that it may link to."""
     return F.ceil(size * percent / 100)
@@ -59,7 +54,7 @@ def keyed_documents(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """
     first = min(0.9, (1 - percent / 100) / (1 - REPEATED))
     split = docs.select("doc_id", row_key().alias("row"), words(ascii_lower(F.col("text"))).alias("w"))
-    cut = split.select("doc_id", "row", sequence_key(F.col("w")).alias("key"), F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
+    cut = split.select("doc_id", "row", F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).alias("key"), F.size("w").alias("n_words"), shingle_hashes(F.col("w"), n).alias("grams"))
     size = F.size("grams")
     return cut.select("doc_id", "row", "key", "n_words", F.when(F.col("n_words") >= n, size).otherwise(F.least("n_words", F.lit(1))).alias("n_shingles"),
                       F.filter("grams", lambda g: g < F.lit(int(first * 2 ** 64) - 2 ** 63)).alias("first_grams"))
@@ -82,7 +77,7 @@ def counted(rows: DataFrame) -> DataFrame:
 
     Both branches want the same columns, so one exchange by gram serves both.
     """
-    dealt = rows.repartition("gram")
+    dealt = rows.where("doc is not null").repartition("gram")
     counts = dealt.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("doc").alias("least"), F.max("doc").alias("most"))
     counts = counts.where("least <> most").select("gram", "df")
     return dealt.join(counts.hint("shuffle_hash"), "gram")
@@ -100,11 +95,12 @@ def profiles(docs: DataFrame, classes: DataFrame, n: int, percent: int, stage: S
     repeated = counted(unnest(first, "first_grams", "gram", "doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("rep"))
     spare = F.col("size") - needed(F.col("size"), percent)
     wanted = stage.save(
-        able.select(F.col("unit").alias("doc"), "key", "lead.row", "size", F.size("first_grams").alias("n_first")).join(repeated, "doc", "left")
-        .where(F.coalesce("rep", F.lit(0)) >= F.col("n_first") - spare).select("doc", "key", "row", "size"), "wanted")
+        able.select(F.col("unit").alias("doc"), "lead.doc_id", "lead.row", "size", F.size("first_grams").alias("n_first")).join(repeated, "doc", "left")
+        .where(F.coalesce("rep", F.lit(0)) >= F.col("n_first") - spare).select("doc", "doc_id", "row", "size"), "wanted")
     # The rows grow with the corpus, so they are merged and never broadcast.
-    texts = docs.select("text", row_key().alias("row")).join(wanted.select("doc", "key", "row").hint("merge"), "row")
-    split = texts.select("doc", "key", words(ascii_lower(F.col("text"))).alias("w")).where(sequence_key(F.col("w")) == F.col("key"))
+    own = wanted.select("doc", F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).hint("merge")
+    texts = docs.select("doc_id", "text", row_key().alias("row")).join(own, F.col("row").eqNullSafe(F.col("own_row")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    split = texts.select("doc", words(ascii_lower(F.col("text"))).alias("w"))
     rows = unnest(split.select("doc", shingle_hashes(F.col("w"), n).alias("grams")), "grams", "gram", "doc")
     per_doc = counted(rows).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("grams"))
     return per_doc.join(wanted.select("doc", "size"), "doc").where(F.size("grams") >= needed(F.col("size"), percent))
