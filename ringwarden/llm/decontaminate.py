@@ -1,14 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index stores one posting (term, doc_id, pos) for every token of the training
-texts whose term a benchmark item uses; other postings could not be read by any
-phrase of the benchmark.  Postings lie beside the other postings of their
-document, so building the index moves no row.  A phrase is looked up from its
-rarest terms: their lists, shifted by the term's offset in the phrase, are
-intersected on (document, start); a survivor is then compared with the words of
-its document.  A document is known by a hash of its id and text, so null and
-repeated ids do no harm, and where hashes clash the comparison still decides.
-Main path: DataFrame operations only.
+The index stores one posting (term, row, pos) for every token of the training
+texts whose term a benchmark item uses, and one of the end mark for every row, whose
+position is the number of words; other postings could not be read by any phrase of
+the benchmark.  Postings lie beside the other postings of their document, so
+building the index moves no row.  A phrase is looked up from its rarest terms: in
+every document that has them their lists, shifted by the terms' offsets in the phrase,
+are intersected (exact matches) and compared within the span of the phrase (proximity
+matches).  The few survivors are then compared with the words of their documents.
+A document is known by a hash of its id and text, so null and repeated ids do no
+harm, and where hashes clash the comparison still decides.  Main path: DataFrame
+operations only.
 """
 
 from __future__ import annotations
@@ -16,11 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwarden.llm.text import PLAIN, ascii_lower, documents, maybe_broadcast, unnest, words
+from ringwarden.llm.text import PLAIN, ascii_lower, documents, maybe_broadcast, row_key, unnest, words
 from ringwarden.staging import Staging
 
 #: A benchmark with more distinct terms or phrases than this is joined, not broadcast.
 BROADCAST_ROWS = 200_000
+#: Lists that are intersected before the comparison with the text.
+RAREST = 2
+#: Words that may stand between those of a phrase in a proximity match.
+SLACK = 5
+#: The term that stands behind the last word of every text; no word holds a space.
+END = " "
 
 
 def tokens(text: str = "text") -> Column:
@@ -37,20 +45,17 @@ def phrases(items: DataFrame, n: int) -> DataFrame:
             .select(F.xxhash64("terms").alias("phrase"), "terms", "items"))
 
 
-def row_key() -> Column:
-    """A number shared by rows with the same doc_id and text, never null."""
-    return F.xxhash64("doc_id", "text")
-
-
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, pos): postings of the texts for the rows of ``terms(term)``, pos from 0."""
-    split = docs.select("doc_id", tokens().alias("w"))
-    posted = split.select("doc_id", F.posexplode_outer("w").alias("pos", "term")).where("term is not null")
-    return posted.join(maybe_broadcast(terms, BROADCAST_ROWS), "term").select("term", "doc_id", "pos")
+def build_index(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, row, pos): postings of the texts for the terms of ``wanted`` and the end mark, pos from 0."""
+    terms = wanted.select(F.explode("terms").alias("term")).distinct()
+    ended = terms.unionByName(docs.sparkSession.createDataFrame([(END,)], "term string"))
+    split = docs.select(row_key().alias("row"), F.concat(tokens(), F.array(F.lit(END))).alias("w"))
+    posted = split.select("row", F.posexplode_outer("w").alias("pos", "term")).where("term is not null")
+    return posted.join(maybe_broadcast(ended, BROADCAST_ROWS), "term").select("term", "row", "pos")
 
 
 def rarest_terms(wanted: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(phrase, turn, term, offset): up to ``k`` positions of each phrase, rarest term first.
+    """(phrase, n_terms, turn, need, term, offset): up to ``k`` positions of each phrase, rarest term first.
 
     A phrase with a term that has no posting occurs nowhere and is left out.
     """
@@ -59,81 +64,111 @@ def rarest_terms(wanted: DataFrame, index: DataFrame, k: int) -> DataFrame:
     ranked = (spots.join(counts, "term", "left").groupBy("phrase")
               .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("s"))
               .where(F.col("s")[0]["n"] > 0))
-    return ranked.select("phrase", F.posexplode(F.slice("s", 1, k)).alias("turn", "x")).select(
-        "phrase", "turn", "x.term", "x.offset")
+    first = F.slice("s", 1, k)
+    return ranked.select("phrase", F.size("s").alias("n_terms"), F.size(first).alias("need"), F.posexplode(first).alias("turn", "x")).select(
+        "phrase", "n_terms", "need", "turn", "x.term", "x.offset")
 
 
-def candidates(wanted: DataFrame, index: DataFrame, stage: Staging, k: int = 3) -> DataFrame:
-    """(doc_id, phrase, start): starts at which the ``k`` rarest terms of a phrase stand in their places.
+def candidates(wanted: DataFrame, index: DataFrame, slack: int, stage: Staging) -> DataFrame:
+    """(row, phrase, starts, near): where the rarest terms of a phrase stand in a document.
 
-    A doc_id of several rows has several postings a place, so it may also get starts that hold no occurrence.
+    starts: begins at which all of them are in their places; near: places of the
+    rarest one with all others as near as the phrase is long, and ``slack`` words.
+    The lists of two terms meet by blocks of positions as wide as that, so a very
+    long document costs the length of its lists.
     """
-    probes = stage.save(rarest_terms(wanted, index, k), "probes")
-    need = probes.groupBy("phrase").agg(F.count(F.lit(1)).alias("need"))
-    probes = maybe_broadcast(probes.join(need, "phrase"), BROADCAST_ROWS * k)
-    lists = index.join(probes, "term").select("doc_id", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "need").where("start >= 0")
-    met = lists.groupBy("doc_id", "phrase", "start").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return met.where("n >= need").select("doc_id", "phrase", "start")
-
-
-def phrase_matches(docs: DataFrame, wanted: DataFrame, index: DataFrame, stage: Staging) -> DataFrame:
-    """Every row of ``docs`` with (n_words, spans): spans lists start, length and items of each exact occurrence.
-
-    The doc_id of ``index`` is the ``row_key`` of ``docs``.
+    probes = maybe_broadcast(stage.save(rarest_terms(wanted, index, RAREST), "probes"), BROADCAST_ROWS * RAREST)
+    reach = F.col("n_terms") - 1 + slack
+
+    def posted(turn: int) -> DataFrame:
+        own = probes.where(F.col("turn") == turn).select("phrase", "n_terms", "need", "term", "offset")
+        return index.join(own, "term").select("row", "phrase", "n_terms", "need", "pos", (F.col("pos") - F.col("offset")).alias("start"),
+                                              F.floor(F.col("pos") / (reach + 1)).alias("block"))
+
+    found, done = posted(0).withColumn("exact", F.lit(True)), None
+    for turn in range(1, RAREST):
+        alone = found.where(F.col("need") <= turn)
+        done = alone if done is None else done.unionByName(alone)
+        around = found.where(F.col("need") > turn).withColumn("block", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])))
+        other = posted(turn).select("row", "phrase", "block", F.col("pos").alias("pos_k"), F.col("start").alias("start_k"))
+        met = around.join(other, ["row", "phrase", "block"]).where(F.abs(F.col("pos") - F.col("pos_k")) <= reach)
+        own_block = F.floor(F.col("pos") / (reach + 1)).alias("block")
+        found = met.select("row", "phrase", "n_terms", "need", "pos", "start", own_block, (F.col("exact") & (F.col("start") == F.col("start_k"))).alias("exact"))
+    both = found if done is None else found.unionByName(done)
+    begin = F.when(F.col("exact") & (F.col("start") >= 0), F.col("start"))
+    return both.groupBy("row", "phrase").agg(F.collect_set(begin).alias("starts"), F.collect_set("pos").alias("near"))
+
+
+def holds_all(span: Column, terms: Column) -> Column:
+    """Whether a span of words holds every term as often as the phrase does."""
+    often = lambda w, t: F.size(F.filter(w, lambda x: x == t))
+    return F.forall(F.array_distinct(terms), lambda t: often(span, t) >= often(terms, t))
+
+
+def matches(docs: DataFrame, wanted: DataFrame, index: DataFrame, slack: int, stage: Staging) -> DataFrame:
+    """(row, spans, item_ids, near_ids): documents with exact or proximity matches, compared with their words.
+
+    spans lists start, length and phrase of each exact occurrence, item_ids the items
+    of these phrases, near_ids those with a phrase whose words all stand within its
+    length and ``slack`` words.  Only texts of documents with candidates are read again.
     """
-    found = candidates(wanted, index, stage).join(maybe_broadcast(wanted, BROADCAST_ROWS), "phrase")
-    by_doc = found.groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("start", "terms", "items")).alias("_found"))
-    both = docs.withColumn("_row", row_key()).join(by_doc, "_row", "left").select(*docs.columns, tokens().alias("_w"), "_found")
-    exact = F.filter(F.coalesce("_found", F.array().cast(by_doc.schema["_found"].dataType)),
-                     lambda c: F.slice("_w", c["start"] + 1, F.size(c["terms"])) == c["terms"])
-    spans = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("length"), c["items"].alias("items")))
-    return both.select(*docs.columns, F.size("_w").cast("long").alias("n_words"), spans.alias("spans"))
-
+    found = stage.save(candidates(wanted, index, slack, stage), "candidates")
+    texts = docs.select(row_key().alias("row"), "text").join(found.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    split = stage.save(texts.select("row", tokens().alias("w")), "texts")
+    met = found.join(split, "row").join(wanted, "phrase")
+    length = F.size("terms")
+    exact = F.filter("starts", lambda s: F.slice("w", s + 1, length) == F.col("terms"))
+    span = length + slack
+    first = lambda p: F.greatest(p - span + 1, F.lit(0))
+    close = F.exists("near", lambda p: F.exists(F.sequence(first(p), p), lambda s: holds_all(F.slice("w", s + 1, span), F.col("terms"))))
+    told = met.select("row", "phrase", "items", length.alias("length"), exact.alias("exact"), (F.size(exact) > 0).alias("occurs"), close.alias("close"))
+    hits = F.transform("exact", lambda s: F.struct(s.alias("start"), F.col("length").alias("length"), F.col("phrase").alias("phrase")))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return told.where("occurs or close").groupBy("row").agg(
+        F.array_sort(F.flatten(F.collect_list(hits))).alias("spans"), union(F.when(F.col("occurs"), F.col("items"))).alias("item_ids"), union(F.col("items")).alias("near_ids"))
+
+
+def look_up(docs: DataFrame, items: DataFrame, n: int, slack: int, stage: Staging) -> tuple[DataFrame, DataFrame]:
+    """(index, matches) of ``docs(doc_id, text)``, both stored."""
+    wanted = stage.save(phrases(items.select("item_id", "text"), n), "phrases")
+    index = stage.save(build_index(docs, wanted), "index")
+    return index, stage.save(matches(docs, wanted, index, slack, stage), "matches")
 
-def proximity_matches(wanted: DataFrame, index: DataFrame, slack: int) -> DataFrame:
-    """(phrase, doc_id, pos): places where all terms of a phrase stand near each other, in any order.
 
-    ``pos`` is a posting of the phrase's rarest term; every other distinct term
-    must have a posting at most ``len(terms) - 1 + slack`` words away from it.
-    """
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    width = wanted.select("phrase", (F.size("terms") - 1 + slack).alias("width"), F.array_distinct("terms").alias("t"))
-    spots = width.select("phrase", "width", F.size("t").alias("need"), F.explode("t").alias("term")).join(counts, "term")
-    rare = spots.groupBy("phrase").agg(F.min(F.struct("n", "term")).alias("r")).select("phrase", F.col("r.term").alias("rare"))
-    spots = maybe_broadcast(spots.join(rare, "phrase"), BROADCAST_ROWS)
-    here = index.join(spots, "term").select("phrase", "doc_id", "pos", "term", "width", "need", (F.col("term") == F.col("rare")).alias("is_rare"))
-    anchor = here.where("is_rare").select("phrase", "doc_id", F.col("pos").alias("at"))
-    near = here.join(anchor, ["phrase", "doc_id"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("width"))
-    return (near.groupBy("phrase", "doc_id", F.col("at").alias("pos")).agg(F.countDistinct("term").alias("n"), F.first("need").alias("need"))
-            .where("n = need").select("phrase", "doc_id", "pos"))
-
-
-def occurrences(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """Every row of ``docs`` with all its columns, n_words and spans (see ``contamination``)."""
+def uncontaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """The rows of ``docs`` with all their columns that hold no window of an item (see ``contamination``)."""
     stage = Staging(docs.sparkSession)
-    wanted = stage.save(phrases(items.select("item_id", "text"), n), "phrases")
-    terms = wanted.select(F.explode("terms").alias("term")).distinct()
-    index = stage.save(build_index(docs.select(row_key().alias("doc_id"), "text"), terms), "index")
-    return phrase_matches(docs, wanted, index, stage)
+    index, found = look_up(docs.select("doc_id", "text"), items, n, 0, stage)
+    stage.drop(index)
+    hit = found.where(F.size("spans") > 0).select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", row_key()).join(hit, "_row", "left_anti").drop("_row")
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = 10, slack: int = SLACK) -> DataFrame:
     """Which words of which documents lie in windows of benchmark items.
 
     Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters;
     a window is ``n`` consecutive words of an item, or all words of a shorter one.
-    Returns (doc_id, n_words, n_hit, n_items, item_ids, spans, contaminated) for
-    every row of ``docs``; item_ids are the items with occurring windows.
-    Null or empty texts have no words and no hits; null or empty items occur
-    nowhere; items that share a text are all reported; rows that repeat a doc_id
-    or have none each get the hits of their own text; columns other than doc_id,
-    text and item_id are not read; empty tables give no hits.
+    Returns (doc_id, n_words, n_hit, n_items, item_ids, spans, n_near, near_ids,
+    contaminated) for every row of ``docs``; item_ids are the items with occurring
+    windows, near_ids (n_near of them) those with a window whose words, each as often
+    as in it, stand in any order within its length and ``slack`` words; these do not
+    make a document contaminated.  Null or empty texts have no words and no hits;
+    null or empty items occur nowhere; items that share a text are all reported;
+    rows that repeat a doc_id or have none each get the hits of their own text, very
+    long texts are matched whole; columns other than doc_id, text and item_id are
+    not read; empty tables give no hits.
     """
-    hit = occurrences(docs.select("doc_id", "text"), items, n)
+    stage = Staging(docs.sparkSession)
+    read = docs.select("doc_id", "text")
+    index, found = look_up(read, items, n, slack, stage)
+    lengths = index.where(F.col("term") == END).groupBy("row").agg(F.max("pos").alias("n_words"))
+    both = read.select("doc_id", row_key().alias("row")).join(lengths, "row", "left").join(found, "row", "left")
+    none = {c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "item_ids", "near_ids")}
+    hit = both.select("doc_id", F.col("n_words").cast("long").alias("n_words"), *none.values())
     places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"]))))
-    return hit.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-                      ids.alias("item_ids"), "spans", (F.size("spans") > 0).alias("contaminated"))
+    return hit.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+                      "item_ids", "spans", F.size("near_ids").cast("long").alias("n_near"), "near_ids", (F.size("spans") > 0).alias("contaminated"))
 
 
 def items_digest(ids: Column) -> Column:
@@ -143,10 +178,10 @@ def items_digest(ids: Column) -> Column:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark contamination of all documents, windows of 10 words."""
+    """Benchmark contamination of all documents, windows of 10 words; n_near counts items matched by proximity."""
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return contamination(documents(spark, sf_dir), items).select(
-        "doc_id", "n_words", "n_hit", "n_items", items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
+        "doc_id", "n_words", "n_hit", "n_items", items_digest(F.col("item_ids")).alias("items_sha256"), "n_near", "contaminated")
 
 
 ORACLE_OP1 = r"""
@@ -166,8 +201,15 @@ s AS (
 h AS (SELECT s.doc_id, s.i, s.n, p.item_id FROM s JOIN p USING (g, n)),
 c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id),
+f AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
+a AS (SELECT g, t, min_by(x, (n, x)) AS rare FROM (SELECT DISTINCT g, string_split(g, ' ') AS t, unnest(string_split(g, ' ')) AS x FROM p) JOIN f USING (x) GROUP BY g, t),
+q AS (SELECT doc_id, w, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+z AS (SELECT q.doc_id, a.g, a.t, q.w, unnest(range(greatest(i - len(a.t) - 4, 1), i + 1)) AS s FROM a JOIN q ON q.x = a.rare),
+y AS (SELECT DISTINCT doc_id, g FROM z WHERE len(list_filter(t, lambda e:
+        len(list_filter(w[s:s + len(t) + 4], lambda o: o = e)) < len(list_filter(t, lambda o: o = e)))) = 0),
+v AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM y JOIN p USING (g) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(m.n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+       sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(v.n_near, 0)::BIGINT AS n_near, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN v USING (doc_id)
 """

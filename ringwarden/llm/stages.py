@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwarden.llm.decontaminate import occurrences
+from ringwarden.llm.decontaminate import uncontaminated
 from ringwarden.llm.jaccard_join import representatives
 from ringwarden.llm.language_id import identify
 from ringwarden.llm.mixing import label_domains, mix
@@ -32,9 +32,14 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold ten consecutive words of a benchmark item, or all of a shorter one."""
+    """Drop documents that hold ten consecutive words of a benchmark item, or all of a shorter one.
+
+    Null, empty and very long texts, null and repeated ids and repeated rows: see
+    ``contamination``; every row is judged by its own text.  An empty table gives an
+    empty result, an empty benchmark drops nothing.
+    """
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return occurrences(docs.select(*COLUMNS), items).where("size(spans) = 0").select(*COLUMNS)
+    return uncontaminated(docs.select(*COLUMNS), items)
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from ringwarden.llm import additive_quantisation as aq
 from ringwarden.llm import log_bilinear as lbl
-from ringwarden.llm.decontaminate import build_index, contamination, phrases, proximity_matches
+from ringwarden.llm.decontaminate import contamination
 from ringwarden.llm.jaccard_join import jaccard_components, representatives
 from ringwarden.llm.language_id import identify
 from ringwarden.llm.mixing import mix
@@ -155,11 +155,35 @@ def test_contamination_of_repeated_and_null_ids(spark):
     assert got == {(1, 13, 12, True, 3): 2, (2, 12, 12, True, 3): 1, (2, 3, 0, False, 0): 1, (None, 13, 12, True, 3): 2, (None, 3, 0, False, 0): 1, (3, 12, 12, True, 3): 1}
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x green y blue"), (2, "red a b c d e f green blue"), (3, "blue green red")], "doc_id long, text string")
-    wanted = phrases(spark.createDataFrame([(1, "red green blue")], "item_id long, text string"), 10)
-    index = build_index(docs, wanted.select(F.explode("terms").alias("term")).distinct())
-    assert {r.doc_id for r in proximity_matches(wanted, index, 2).collect()} == {1, 3}
+def brute_near(docs, items, slack, n=10):
+    rx = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    split = lambda t: re.findall(rx, ascii_lower(t or ""))
+    out = {}
+    for d, t in docs:
+        w, out[d] = split(t), set()
+        for i, item in items:
+            v = split(item)
+            for k in range(max(1, len(v) - n + 1)) if v else []:
+                want = Counter(v[k:k + n])
+                span = sum(want.values()) + slack
+                if any(not want - Counter(w[s:s + span]) for s in range(len(w))):
+                    out[d].add(i)
+    return out
+
+
+def test_proximity_matches_brute_force(spark):
+    docs = [(1, "red x green y blue"), (2, "red a b c d e f g h green blue"), (3, "blue green red"), (4, None), (5, "tick tock tick"), (6, "tock tick other"),
+            (7, "red red red " + "z " * 40 + "blue green x red"), (8, "one")]
+    items = [(1, "red green blue"), (2, "tick tick tock"), (3, "one"), (4, None)]
+    for slack in (0, 2, 5):
+        got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slack=slack).collect()
+        assert {r.doc_id: set(r.near_ids) for r in got} == brute_near(docs, items, slack)
+    rng = np.random.default_rng(11)
+    docs = [(d, " ".join(f"v{x}" for x in rng.integers(0, 12, 60))) for d in range(40)]
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 12, 6))) for i in range(12)]
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: set(r.near_ids) for r in got} == brute_near(docs, items, 5)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in got} == brute_contamination(docs, items)
 
 
 def test_shards_are_balanced_and_keep_copies(spark, odd_documents):
