@@ -17,7 +17,11 @@ PIPELINE_WEIGHTS = {"q1t0": 0.95, "q0t0": 0.04, "q1t1": 0.01}
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which one language makes up half of the words or more; ``und`` goes."""
+    """Keep documents in which one language makes up half of the words or more; ``und`` goes.
+
+    So null texts and texts without letters go; null and repeated ids, repeated rows
+    and very long texts are judged like others.  An empty table gives an empty result.
+    """
     found = identify(docs, docs.select("text", "lang"))
     return found.where("lang_pred <> 'und' and score >= 0.5").select(*COLUMNS)
 
@@ -45,13 +49,16 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Thin the domains that are above their target share, each document by its fitted rate.
 
-    The rate is 1 where no domain but the main one is sure.  The draw is a hash of doc_id, so it is the same in every run.
+    The draw is a hash of id and text, so it is the same in every run, null and
+    repeated ids are drawn by their own texts, and repeated rows share one draw.
+    Null, empty and very long texts: see ``mix``.  An empty table gives an empty
+    result; without labels every document stays.
     """
     rated = mix(docs.select(*COLUMNS), label_domains(spark, sf_dir), PIPELINE_WEIGHTS, only_less=True)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     return rated.where(draw < F.col("rate")).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a slot for every document that is left."""
+    """A shard and a slot for every row that is left, those with null or repeated ids too; see ``assign_shards``."""
     return assign_shards(docs.select("doc_id", "text")).select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on odd rows and on empty tables."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,9 @@ from ringwarden.llm import log_bilinear as lbl
 from ringwarden.llm.decontaminate import contamination
 from ringwarden.llm.jaccard_join import jaccard_components, representatives
 from ringwarden.llm.language_id import identify
-from ringwarden.llm.mixing import mix
+from ringwarden.llm.mixing import fit_domains, label_domains, mix, posteriors
+from ringwarden.llm.text import crc_mod
+from ringwarden.staging import Staging
 from ringwarden.llm.quality_knn import score_quality
 from ringwarden.llm.revisits import canonical_url, resolve_revisits
 from ringwarden.llm.sharding import assign_shards
@@ -219,6 +222,30 @@ def test_mixing_meets_targets(spark, odd_documents):
     assert {r.rate for r in mix(odd_documents, odd_documents.limit(0).select("doc_id", F.col("lang").alias("domain")), {"en": 1}).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_domain_posteriors_are_better_than_the_majority_and_calibrated(spark, sf):
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"), label_domains(spark, path)
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    model = fit_domains(docs, labels.where(~held), Staging(spark))
+    out = posteriors(docs.join(labels.where(held), "doc_id"), model).select("n_tokens", "p", "domain").toPandas()
+    p = np.stack(out.p)
+    assert (np.array(model.names)[p.argmax(axis=1)] == out.domain).mean() >= (out.domain == "q1t0").mean() + 0.1
+    want = np.array([out.n_tokens[out.domain == k].sum() for k in model.names]) / out.n_tokens.sum()
+    assert np.abs((p * out.n_tokens.to_numpy()[:, None]).sum(axis=0) / out.n_tokens.sum() - want).max() < 0.05
+
+
+def test_mixing_odd_labels_and_clashing_columns(spark):
+    rows = [(1, "calm words here", "x", 9.0), (1, "other words here", "y", 9.0), (None, "calm", "z", 9.0), (2, None, None, 9.0), (3, "", None, 9.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, rate double")
+    labels = spark.createDataFrame([(1, "b"), (1, "a"), (None, "a"), (2, None), (3, "b")], "doc_id long, domain string")
+    out = mix(docs, labels, {"a": 0.5, "b": 0.5})
+    assert out.columns == ["doc_id", "text", "n_tokens", "p", "domain", "posterior", "rate", "miss"]
+    assert out.count() == 5 and {r.domain for r in out.collect()} <= {"a", "b"}
+
+
 def test_quality_votes(spark, odd_documents):
     rows = [(i, ("CALM words in a row %d" if i % 2 else "!!LOUD!! ## %d ## !!") % i, i % 2) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
