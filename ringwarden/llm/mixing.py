@@ -88,37 +88,46 @@ def _bounded(labelled: DataFrame) -> DataFrame:
     return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
 
 
-def telling_features(seen: DataFrame, per_domain: dict[str, int]) -> list[str]:
-    """The features that tell domains apart, by the number of different surroundings that they have in each.
+def apart_from_chance(counts: DataFrame, per_domain: dict[str, int], stage: Staging, name: str) -> DataFrame:
+    """(feature, ratio): the rows of ``counts(feature, n, n0, n1, ...)`` that tell the domains apart.
 
-    A surrounding is the token with its neighbours where a feature first stands in a text.
+    ratio is the log-likelihood ratio of the counts against equal shares in all
+    domains; it must exceed what the best of so many features shows by chance.
     """
-    names, total = list(per_domain), sum(per_domain.values())
-    tokens = seen.select("doc_id", "domain", F.col("_tokens").alias("w"))
-    around = F.transform("w", lambda x, i: F.struct(x.alias("token"), (F.xxhash64(F.get("w", i - 1), x, F.get("w", i + 1)) % 2 ** 31).alias("around")))
-    places = tokens.select("doc_id", "domain", F.posexplode(around).alias("pos", "t")).select(
-        "doc_id", "domain", "t.token", (F.col("pos") * 2 ** 32 + F.pmod("t.around", F.lit(2 ** 32))).alias("at"))
-    firsts = places.groupBy("doc_id", "domain", "token").agg(F.min("at").alias("at"))
-    both = firsts.select("doc_id", "domain", "at", F.explode(F.array("token", stem(F.col("token")))).alias("feature")).where("feature is not null")
-    once = both.groupBy("doc_id", "domain", "feature").agg(F.min("at").alias("at")).select("domain", "feature", F.pmod("at", F.lit(2 ** 32)).alias("context"))
-    marks = seen.select("domain", F.explode("_marks").alias("feature"), F.xxhash64("doc_id").alias("context"))
-    counts = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(names)]
-    by_feature = (once.unionByName(marks).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *counts)
-                  .where(f"n >= 5 and n < {total}"))
+    total = sum(per_domain.values())
+    share = [n / total for n in per_domain.values()]
 
     def term(n: Column, expected: Column) -> Column:
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
 
-    share = [per_domain[d] / total for d in names]
-    ratio = reduce(Column.__add__, [term(F.col(f"n{k}"), F.col("n") * s) + term(per_domain[d] - F.col(f"n{k}"), (total - F.col("n")) * s)
-                                    for k, (d, s) in enumerate(zip(names, share))])
+    ratio = reduce(Column.__add__, [term(F.col(f"n{k}"), F.col("n") * s) + term(n - F.col(f"n{k}"), (total - F.col("n")) * s)
+                                    for k, (n, s) in enumerate(zip(per_domain.values(), share))])
     lift = F.greatest(F.lit(0.0), *[F.col(f"n{k}") / F.col("n") / s for k, s in enumerate(share)])
-    tried = by_feature.withColumn("ratio", ratio).withColumn("lift", lift)
-    tested = tried.count()
-    if not tested:
-        return []
-    top = tried.where((F.col("lift") >= MIN_LIFT) & (F.col("ratio") >= math.log(tested) + MARGIN))
-    return [r["feature"] for r in top.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature").collect()]
+    tried = stage.save(counts.where(f"n >= 5 and n < {total}").select("feature", ratio.alias("ratio"), lift.alias("lift")), name)
+    least = math.log(max(tried.count(), 1)) + MARGIN
+    return tried.where((F.col("lift") >= MIN_LIFT) & (F.col("ratio") >= least)).select("feature", "ratio")
+
+
+def telling_features(seen: DataFrame, per_domain: dict[str, int], stage: Staging) -> list[str]:
+    """The features that tell domains apart, both by documents and by the different surroundings that they have in each.
+
+    A surrounding is the token with its neighbours where a feature first stands in a text.
+    """
+    def counted(rows: DataFrame) -> DataFrame:
+        each = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{k}") for k, d in enumerate(per_domain)]
+        return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *each)
+
+    by_document = apart_from_chance(counted(seen.select("domain", F.explode("_features").alias("feature"))), per_domain, stage, "by-document")
+    held = F.broadcast(by_document.select("feature"))  # of at most LABELLED_ROWS texts
+    tokens = seen.select("doc_id", "domain", F.col("_tokens").alias("w"))
+    around = F.transform("w", lambda x, i: F.struct(x.alias("token"), F.xxhash64(F.get("w", i - 1), x, F.get("w", i + 1)).alias("around")))
+    places = tokens.select("doc_id", "domain", F.posexplode(around).alias("pos", "t")).select("doc_id", "domain", "pos", "t.*")
+    features = places.select("doc_id", "domain", "pos", "around", F.explode(F.array("token", stem(F.col("token")))).alias("feature")).join(held, "feature")
+    at = F.col("pos") * 2 ** 32 + F.pmod("around", F.lit(2 ** 32))  # the first place decides
+    once = features.groupBy("doc_id", "domain", "feature").agg(F.min(at).alias("at")).select("domain", "feature", F.pmod("at", F.lit(2 ** 32)).alias("context"))
+    marks = seen.select("domain", F.explode("_marks").alias("feature"), F.xxhash64("doc_id").alias("context")).join(held, "feature").select("domain", "feature", "context")
+    top = apart_from_chance(counted(once.unionByName(marks).distinct()), per_domain, stage, "by-surrounding")
+    return [r["feature"] for r in top.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()]
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, stage: Staging) -> Model:
@@ -132,7 +141,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, stage: Staging) -> Model:
     names, total = list(per_domain), sum(per_domain.values())
     if not names:
         return Model([], [], [], {})
-    found = telling_features(learn, per_domain)
+    found = telling_features(learn, per_domain, stage)
     prior = [math.log(per_domain[d] / total) for d in names]
     base, weights = [0.0] * len(names), {}
     if found:
