@@ -1,258 +1,249 @@
 """Explainable indicators of fraud in Vietnamese call transcripts.
 
-A rule is a pattern of words over the normal form of a text and a list of
-guards; a match counts unless a guard holds.  Patterns look at words, guards at
-the words around the match, inside its clause.  Hits are merged by indicator:
-the highest severity, up to three different pieces of evidence, the rules'
-ids.  Patterns are compiled once in a Python worker.
+A transcript is cut into clauses (rows with an array of words).  A lexicon names
+kinds of phrases; where a phrase stands in a clause is found by a join of word groups
+with the lexicon.  A rule is a row too: kinds that follow each other within so many
+words.  Its hits come from joins of these places clause by clause, its guards are
+expressions over the words around a hit.  Hits are merged by groupBy: the highest
+severity of an indicator, up to three pieces of evidence, the rules' names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from dataclasses import dataclass
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ringwarden.functions.transcripts import normal_form
+from ringwarden.functions.transcripts import normalised
 
 #: Indicator codes in the order of reports.
 CODES = ["OTP_REQUEST", "MONEY_TRANSFER", "BANK_IMPERSONATION", "AUTHORITY_IMPERSONATION", "URGENCY", "ACCOUNT_LOCK_THREAT", "SENSITIVE_INFORMATION",
          "LEGAL_THREAT", "HARM_THREAT", "SECRECY_DEMAND", "REMOTE_ACCESS_REQUEST", "FINANCIAL_BAIT", "UNUSUAL_PAYMENT", "CALL_HANDOFF", "COORDINATED_CALLERS"]
 #: Codes that put pressure on the person called.
-PRESSING = {"OTP_REQUEST", "MONEY_TRANSFER", "BANK_IMPERSONATION", "AUTHORITY_IMPERSONATION", "ACCOUNT_LOCK_THREAT", "LEGAL_THREAT", "HARM_THREAT",
-            "SECRECY_DEMAND", "REMOTE_ACCESS_REQUEST", "UNUSUAL_PAYMENT"}
-SEVERITY = {"LOW": 0, "MEDIUM": 1, "HIGH": 2}
+PRESSING = ["OTP_REQUEST", "MONEY_TRANSFER", "BANK_IMPERSONATION", "AUTHORITY_IMPERSONATION", "ACCOUNT_LOCK_THREAT", "LEGAL_THREAT", "HARM_THREAT",
+            "SECRECY_DEMAND", "REMOTE_ACCESS_REQUEST", "UNUSUAL_PAYMENT"]
+SEVERITIES = ["LOW", "MEDIUM", "HIGH"]
 MOST_EVIDENCE = 3
+#: Words of the longest phrase of the lexicon.
+LONGEST = 4
+
+#: Kinds of phrases, in everyday Vietnamese.
+LEXICON = {
+    "speaker": ["tôi", "em", "mình", "bên em", "bên tôi", "bên này", "chúng tôi", "chúng em", "đây là"],
+    "calls from": ["gọi từ", "gọi đến từ", "là nhân viên", "nhân viên", "bên"],
+    "officer of": ["gọi từ", "là cán bộ", "là điều tra viên", "bên"],
+    "bank": ["ngân hàng", "tổng đài ngân hàng", "vietcombank", "techcombank", "agribank", "bidv", "vietinbank"],
+    "police": ["công an", "cảnh sát", "viện kiểm sát", "tòa án", "cục thuế", "cơ quan điều tra"],
+    "give": ["đọc", "cho", "gửi", "cung cấp", "nhắn", "báo", "nói", "đưa", "xác nhận"],
+    "code": ["otp", "mã otp", "mã xác thực", "mã xác nhận", "mã bảo mật", "mã code"],
+    "type in": ["nhập"],
+    "page": ["vào đường link", "vào link", "vào trang"],
+    "password": ["mật khẩu", "mã pin", "số thẻ", "mã cvv", "tên đăng nhập"],
+    "papers": ["căn cước", "số căn cước", "chứng minh nhân dân", "cccd", "số cccd"],
+    "account number": ["số tài khoản"],
+    "must": ["phải", "cần", "hãy", "yêu cầu", "vui lòng"],
+    "pay": ["chuyển tiền", "chuyển khoản", "nộp tiền", "thanh toán", "đóng tiền", "nạp tiền", "gửi tiền"],
+    "now": ["ngay", "ngay lập tức", "lập tức", "gấp", "khẩn cấp", "trong hôm nay", "luôn bây giờ"],
+    "do": ["làm", "xử lý", "thực hiện", "bấm", "cài"],
+    "holding account": ["tài khoản tạm giữ", "tài khoản an toàn", "tài khoản kiểm tra"],
+    "account": ["tài khoản", "thẻ", "sim", "số điện thoại"],
+    "be": ["sẽ bị", "sắp bị", "bị", "sẽ không bị", "không bị", "chưa bị"],
+    "locked": ["khóa", "phong tỏa", "đóng băng", "cắt"],
+    "prosecution": ["lệnh bắt", "khởi tố", "truy tố", "lệnh truy nã", "bắt tạm giam"],
+    "involved": ["liên quan", "dính"],
+    "crime": ["rửa tiền", "ma túy", "vụ án", "đường dây"],
+    "do not": ["không được", "đừng", "tuyệt đối không"],
+    "tell": ["nói", "kể", "tiết lộ", "báo"],
+    "others": ["ai", "người nhà", "gia đình", "người khác"],
+    "remote tool": ["teamviewer", "anydesk", "ultraviewer", "điều khiển từ xa"],
+    "install": ["cài", "cài đặt", "tải"],
+    "app": ["ứng dụng", "phần mềm", "app"],
+    "open": ["bấm", "mở", "truy cập", "nhấn"],
+    "link": ["đường link", "link"],
+    "share": ["chia sẻ"],
+    "screen": ["màn hình"],
+    "prize": ["trúng thưởng", "trúng giải", "nhận quà tri ân"],
+    "profit": ["cam kết lợi nhuận", "lãi suất cao", "không rủi ro"],
+    "buy": ["mua"],
+    "top-up card": ["thẻ cào", "thẻ nạp", "thẻ điện thoại"],
+    "hand over": ["nối máy", "chuyển máy"],
+    "colleague": ["đồng nghiệp", "cán bộ", "cấp trên", "đồng chí"],
+}
+
+REQUEST = ["denied", "by speaker", "done", "own"]
+#: (rule, code, severity, kinds in order with the most words before each, place of the anchor, guards).
+RULES = [
+    ("read-code", "OTP_REQUEST", "HIGH", [("give", 0), ("code", 4)], 0, REQUEST),
+    ("code-into-page", "OTP_REQUEST", "HIGH", [("type in", 0), ("code", 3), ("page", 4)], 0, REQUEST),
+    ("must-pay", "MONEY_TRANSFER", "MEDIUM", [("must", 0), ("pay", 3)], 1, ["denied", "by speaker", "done", "offer", "asked"]),
+    ("pay-now", "MONEY_TRANSFER", "MEDIUM", [("pay", 0), ("now", 2)], 0, ["denied", "by speaker", "done", "offer", "asked"]),
+    ("pay-to-holding", "MONEY_TRANSFER", "HIGH", [("pay", 0), ("holding account", 4)], 0, ["denied", "by speaker", "done"]),
+    ("from-bank", "BANK_IMPERSONATION", "LOW", [("speaker", 0), ("calls from", 3), ("bank", 2)], 1, ["denied", "asked back"]),
+    ("hurry-pay", "URGENCY", "LOW", [("pay", 0), ("now", 2)], 0, ["denied", "by speaker", "done"]),
+    ("hurry-do", "URGENCY", "LOW", [("do", 0), ("now", 3)], 0, ["denied", "by speaker", "done"]),
+    ("account-locked", "ACCOUNT_LOCK_THREAT", "MEDIUM", [("account", 0), ("be", 5), ("locked", 2)], 0, ["own", "asked", "denied inside"]),
+    ("read-password", "SENSITIVE_INFORMATION", "HIGH", [("give", 0), ("password", 4)], 0, REQUEST),
+    ("read-papers", "SENSITIVE_INFORMATION", "MEDIUM", [("give", 0), ("papers", 4)], 0, REQUEST),
+    ("give-account-number", "SENSITIVE_INFORMATION", "LOW", [("give", 0), ("account number", 4)], 0, [*REQUEST, "to pay"]),
+    ("from-police", "AUTHORITY_IMPERSONATION", "LOW", [("speaker", 0), ("officer of", 3), ("police", 3)], 1, ["denied", "asked back"]),
+    ("prosecuted", "LEGAL_THREAT", "MEDIUM", [("prosecution", 0)], 0, ["denied", "asked"]),
+    ("involved-in-crime", "LEGAL_THREAT", "MEDIUM", [("involved", 0), ("crime", 4)], 0, ["denied"]),
+    ("tell-nobody", "SECRECY_DEMAND", "MEDIUM", [("do not", 0), ("tell", 2), ("others", 3)], 0, ["about secrets"]),
+    ("remote-tool", "REMOTE_ACCESS_REQUEST", "HIGH", [("remote tool", 0)], 0, ["denied"]),
+    ("install-app", "REMOTE_ACCESS_REQUEST", "MEDIUM", [("install", 0), ("app", 3)], 0, ["denied", "by speaker", "done"]),
+    ("open-link", "REMOTE_ACCESS_REQUEST", "MEDIUM", [("open", 0), ("link", 3)], 0, ["denied", "by speaker", "done"]),
+    ("share-screen", "REMOTE_ACCESS_REQUEST", "MEDIUM", [("share", 0), ("screen", 2)], 0, ["denied"]),
+    ("prize", "FINANCIAL_BAIT", "MEDIUM", [("prize", 0)], 0, ["denied", "asked"]),
+    ("sure-profit", "FINANCIAL_BAIT", "MEDIUM", [("profit", 0)], 0, ["denied"]),
+    ("buy-cards", "UNUSUAL_PAYMENT", "MEDIUM", [("buy", 0), ("top-up card", 3)], 0, ["denied", "by speaker"]),
+    ("handed-over", "CALL_HANDOFF", "LOW", [("hand over", 0), ("colleague", 3)], 0, ["denied"]),
+]
+#: Sharing the screen with any of these makes remote access HIGH.
+SCREEN_WITH = ["install-app", "open-link"]
 
-FIRST_PERSON = "tôi mình em cháu con tớ".split()
-SECOND_PERSON = ["anh", "chị", "bạn", "cô", "chú", "bác", "ông", "bà", "em", "cháu", "quý khách", "anh chị"]
-
-
-def one_of(*phrases: str) -> str:
-    """Any of the phrases, longer ones first."""
-    return "(?:" + "|".join(map(re.escape, sorted(phrases, key=len, reverse=True))) + ")"
-
-
-def skip(n: int) -> str:
-    """Up to ``n`` words of the same clause, as few as do."""
-    return r"(?:[^\s|]+ ){0,%d}?" % n
-
-
-WE = one_of("tôi", "em", "mình", "bên em", "bên tôi", "chúng tôi", "chúng em", "đây là", "bên này")
-YOU = one_of(*SECOND_PERSON)
-GIVE = one_of("đọc", "cho", "gửi", "cung cấp", "nhắn", "báo", "nói", "đưa", "xác nhận")
-OTP = one_of("otp", "mã otp", "mã xác thực", "mã xác nhận", "mã bảo mật", "mã code")
-BANK = one_of("ngân hàng", "tổng đài ngân hàng", "vietcombank", "techcombank", "agribank", "bidv", "vietinbank")
-POLICE = one_of("công an", "cảnh sát", "viện kiểm sát", "tòa án", "cục thuế", "cơ quan điều tra")
-MOVE = one_of("chuyển tiền", "chuyển khoản", "nộp tiền", "thanh toán", "đóng tiền", "nạp tiền", "gửi tiền")
-NOW = one_of("ngay", "ngay lập tức", "lập tức", "gấp", "khẩn cấp", "trong hôm nay", "luôn bây giờ", "ngay bây giờ")
-SECRET = one_of("mật khẩu", "mã pin", "số thẻ", "mã cvv", "tên đăng nhập", "số thẻ tín dụng")
-PAPERS = one_of("căn cước", "số căn cước", "chứng minh nhân dân", "cccd", "số cccd")
-
-
-@dataclass
-class Found:
-    """A match as words: the text's words, its first word, the anchor's, and the word after its last."""
-
-    words: list[str]
-    first: int
-    anchor: int
-    after: int
-
-    def before(self, n: int) -> list[str]:
-        """Up to ``n`` words of the clause before the anchor."""
-        cut = self.words[max(0, self.anchor - n):self.anchor]
-        for k in range(len(cut) - 1, -1, -1):
-            if cut[k].startswith("|"):
-                return cut[k + 1:]
-        return cut
-
-    def behind(self, n: int) -> list[str]:
-        """Up to ``n`` words of the clause after the match."""
-        cut = self.words[self.after:self.after + n]
-        for k, w in enumerate(cut):
-            if w.startswith("|"):
-                return cut[:k]
-        return cut
+_DENIALS = ["không", "đừng", "chớ", "chưa"]
+_CALMING = ["lo", "sợ", "ngại", "tắt", "cúp", "ngắt", "gác"]
+_SELF = ["tôi", "mình", "em", "cháu", "con", "tớ"]
+_MODAL = ["sẽ", "đang", "cũng", "phải", "muốn", "cần"]
 
-    def inside(self) -> list[str]:
-        return self.words[self.first:self.after]
 
+def _in(words: Column, some: list[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in some]))
 
-Guard = Callable[[Found], bool]
 
+def _before(n: int) -> Column:
+    return F.slice("words", F.greatest(F.col("anchor") - n + 1, F.lit(1)), F.least(F.col("anchor"), F.lit(n)))
 
-def negated(f: Found) -> bool:
-    """A denial shortly before, unless it is a condition."""
-    b = f.before(6)
-    return bool({"không", "đừng", "chớ", "chưa"} & set(b)) and "nếu" not in b
 
+def _after(n: int) -> Column:
+    return F.slice("words", F.col("after") + 1, n)
 
-def speaker_acts(f: Found) -> bool:
-    """The speaker means to do it himself."""
-    b = f.before(4)
-    while b and b[-1] in ("sẽ", "đang", "cũng", "phải", "muốn", "cần"):
-        b = b[:-1]
-    return bool(b) and b[-1] in FIRST_PERSON
 
+def _matched() -> Column:
+    return F.slice("words", F.col("first") + 1, F.col("after") - F.col("first"))
 
-def already_done(f: Found) -> bool:
-    """A report of something past."""
-    return bool(set(f.before(1)) & {"đã", "vừa", "mới"})
 
+def _phrase(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
-def own_thing(f: Found) -> bool:
-    """It is about something of the speaker's own."""
-    text = " ".join(f.inside() + f.behind(12))
-    return bool(re.search(r"(?<!\S)của (?:chính )?(?:tôi|mình)(?!\S)", text))
 
+def _denied() -> Column:
+    """A denial shortly before, but not a condition, nor a word of comfort (do not worry, do not hang up)."""
+    b = _before(6)
+    meant = F.filter(b, lambda w, i: w.isin(_DENIALS) & ~F.coalesce(F.get(b, i + 1).isin(_CALMING), F.lit(False)))
+    return (F.size(meant) > 0) & ~F.array_contains(b, "nếu")
 
-def offers(f: Found) -> bool:
-    """The speaker offers: let me ..."""
-    b = f.before(2)
-    return len(b) == 2 and b[0] == "để" and b[1] in (*FIRST_PERSON, "anh", "chị")
 
+#: Whether a hit does not count; of a hit with words (its clause), first, anchor, after and question.
+GUARDS: dict[str, Callable[[], Column]] = {
+    "denied": _denied,
+    "denied inside": lambda: _in(_matched(), ["không", "chưa"]),
+    "by speaker": lambda: F.coalesce(F.element_at(F.filter(F.concat(F.array(F.lit("")), _before(4)), lambda w: ~w.isin(_MODAL)), -1).isin(_SELF), F.lit(False)),
+    "done": lambda: _in(_before(1), ["đã", "vừa", "mới"]),
+    "own": lambda: _phrase(F.concat(_matched(), _after(12))).rlike(" của (chính )?(tôi|mình) "),
+    "offer": lambda: _phrase(_before(2)).rlike("^ để (tôi|mình|em|cháu|con|anh|chị) $"),
+    "asked": lambda: F.col("question"),
+    "asked back": lambda: _phrase(_after(3)).rlike("^ ([^ ]+ )?(à|hả|chứ|phải không|đúng không) "),
+    "to pay": lambda: _phrase(_after(10)).rlike(" để ([^ ]+ ){0,2}(chuyển|trả|gửi|thanh toán) "),
+    "about secrets": lambda: _phrase(F.col("words")).rlike(" (otp|mã|mật khẩu|pin|cvv) "),
+}
 
-def wants_to_pay(f: Found) -> bool:
-    """The asker wants to send money to the other."""
-    return bool(re.search(r"(?<!\S)để (?:\S+ ){0,2}?(?:chuyển|trả|thanh toán|gửi)(?!\S)", " ".join(f.behind(10))))
 
+def clauses(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, clause, words, question): the clauses of ``texts(keys, text)`` in their normal form."""
+    marked = texts.select(*keys, F.regexp_extract_all(normalised(F.col("text")), F.lit(r"[^|]+(\|\||\||$)"), F.lit(0)).alias("c"))
+    cut = marked.select(*keys, F.posexplode("c").alias("clause", "c"))
+    return cut.select(*keys, "clause", F.split(F.trim(F.regexp_replace("c", r"\|", "")), " ").alias("words"), F.col("c").endswith("||").alias("question")).where("words[0] <> ''")
 
-def in_question(f: Found) -> bool:
-    """The clause ends in a question mark."""
-    return next((w for w in f.words[f.after:] if w.startswith("|")), "") == "||"
 
+def places(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, first, after): where phrases of the lexicon stand; the lexicon is a table of fixed size."""
+    spark = parts.sparkSession
+    lexicon = spark.createDataFrame([(kind, p) for kind, some in LEXICON.items() for p in some], "kind string, phrase string")
+    leads = sorted({p.split()[0] for some in LEXICON.values() for p in some})
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(leads))
+    groups = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("words") - i)), lambda n: F.struct(
+        i.alias("first"), (i + n).alias("after"), F.array_join(F.slice("words", i + 1, n), " ").alias("phrase")))))
+    return parts.select(*keys, F.explode(groups).alias("g")).select(*keys, "g.*").join(F.broadcast(lexicon), "phrase").select(*keys, "kind", "first", "after")
 
-def asked_back(f: Found) -> bool:
-    """The other side asks whether it is so."""
-    return bool(re.match(r"(?:\S+ )?(?:à|hả|phải không|đúng không|chứ)(?!\S)", " ".join(f.behind(3))))
 
+def rule_hits(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rule, code, severity, evidence): hits of the rules in ``texts(keys, text)`` that no guard takes back.
 
-REQUEST = (negated, speaker_acts, already_done, own_thing)
-DEMAND = (negated, speaker_acts, already_done, offers, in_question)
+    Of the hits of a rule that begin at one word the shortest counts.  A null text has none.
+    """
+    spark = texts.sparkSession
+    at = [*keys, "clause"]
+    parts = clauses(texts, *keys)
+    found = places(parts, at)
+    steps = [(r[0], k, kind, gap, k == r[4], len(r[3]) == k + 1) for r in RULES for k, (kind, gap) in enumerate(r[3])]
+    table = spark.createDataFrame(steps, "rule string, step int, kind string, gap int, anchored boolean, last boolean")
+    so_far = found.join(F.broadcast(table.where("step = 0")), "kind").select(*at, "rule", "last", "first", "after", F.when(F.col("anchored"), F.col("first")).alias("anchor"))
+    whole = so_far.where("last").drop("last")
+    for k in range(1, max(len(r[3]) for r in RULES)):
+        nxt = found.join(F.broadcast(table.where(F.col("step") == k)), "kind").select(
+            *at, "rule", "gap", "anchored", F.col("last").alias("ends"), F.col("first").alias("then"), F.col("after").alias("until"))
+        met = so_far.where("not last").join(nxt, [*at, "rule"]).where("then >= after and then - after <= gap")
+        so_far = met.select(*at, "rule", F.col("ends").alias("last"), "first", F.col("until").alias("after"), F.when(F.col("anchored"), F.col("then")).otherwise(F.col("anchor")).alias("anchor"))
+        whole = whole.unionByName(so_far.where("last").drop("last"))
+    shortest = Window.partitionBy(*at, "rule", "first").orderBy("after", "anchor")
+    one = whole.withColumn("n", F.row_number().over(shortest)).where("n = 1").drop("n").join(parts, at)
+    about = spark.createDataFrame([(r[0], r[1], r[2], r[5]) for r in RULES], "rule string, code string, severity string, guards array<string>")
+    told = one.join(F.broadcast(about), "rule")
+    back = [F.array_contains("guards", name) & guard() for name, guard in GUARDS.items()]
+    refused = back[0]
+    for other in back[1:]:
+        refused = refused | other
+    return told.where(~refused).select(*keys, "rule", "code", "severity", F.array_join(_matched(), " ").alias("evidence"), "clause", "first")
+
+
+def _rank(severity: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
+
+
+def merged(hits: DataFrame, *keys: str) -> DataFrame:
+    """(keys, code, severity, evidence, rules): one row for each indicator, its evidence in the order of the text.
+
+    Screen sharing together with an installation or a link makes remote access HIGH,
+    by the further rule ``screen-and-access``.
+    """
+    firsts = hits.groupBy(*keys, "code", "evidence").agg(F.min(F.struct("clause", "first")).alias("place"))
+    evidence = firsts.groupBy(*keys, "code").agg(F.array_sort(F.collect_list(F.struct("place", "evidence"))).alias("e")).select(
+        *keys, "code", F.transform(F.slice("e", 1, MOST_EVIDENCE), lambda x: x["evidence"]).alias("evidence"))
+    rules = hits.groupBy(*keys, "code").agg(F.max(_rank(F.col("severity"))).alias("most"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    both = (F.col("code") == "REMOTE_ACCESS_REQUEST") & F.array_contains("rules", "share-screen") & _in(F.col("rules"), SCREEN_WITH)
+    level = F.when(both, "HIGH").otherwise(F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("most").cast("int")))
+    return rules.join(evidence, [*keys, "code"]).select(
+        *keys, "code", level.alias("severity"), "evidence", F.when(both, F.concat("rules", F.array(F.lit("screen-and-access")))).otherwise(F.col("rules")).alias("rules"))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """A pattern (the group ``verb`` is its anchor) with an indicator, a severity and guards."""
+def indicators(texts: DataFrame, key: str = "id") -> DataFrame:
+    """(key, code, severity, evidence, rules) of texts without speakers, ``texts(key, text)``."""
+    return merged(rule_hits(texts, key), key)
 
-    id: str
-    code: str
-    severity: str
-    pattern: str
-    guards: tuple[Guard, ...] = ()
 
+def conversation(turns: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(indicators, speakers) of ``turns(key, turn, speaker, text)``: each speaker is judged by their own words.
 
-RULES = [
-    Rule("OTP-1", "OTP_REQUEST", "HIGH", rf"(?P<verb>{GIVE}) {skip(4)}{OTP}", REQUEST),
-    Rule("OTP-2", "OTP_REQUEST", "HIGH", rf"(?P<verb>nhập) {skip(3)}{OTP} {skip(4)}{one_of('vào đường link', 'vào link', 'vào trang')}", REQUEST),
-    Rule("MT-1", "MONEY_TRANSFER", "MEDIUM", rf"{one_of('phải', 'cần', 'hãy', 'yêu cầu', 'vui lòng')} {skip(3)}(?P<verb>{MOVE})", DEMAND),
-    Rule("MT-2", "MONEY_TRANSFER", "MEDIUM", rf"(?P<verb>{MOVE}) {skip(2)}{NOW}", DEMAND),
-    Rule("MT-3", "MONEY_TRANSFER", "HIGH", rf"(?P<verb>{MOVE}) {skip(4)}{one_of('tài khoản tạm giữ', 'tài khoản an toàn', 'tài khoản kiểm tra')}", (negated, speaker_acts, already_done)),
-    Rule("BI-1", "BANK_IMPERSONATION", "LOW", rf"{WE} {skip(3)}(?P<verb>{one_of('gọi từ', 'gọi đến từ', 'là nhân viên', 'nhân viên', 'bên')}) {skip(2)}{BANK}", (negated, asked_back)),
-    Rule("U-1", "URGENCY", "LOW", rf"(?P<verb>{MOVE}) {skip(2)}{NOW}", (negated, speaker_acts, already_done)),
-    Rule("U-2", "URGENCY", "LOW", rf"(?P<verb>{one_of('làm', 'xử lý', 'thực hiện', 'bấm', 'cài')}) {skip(3)}{NOW}", (negated, speaker_acts, already_done)),
-    Rule("AL-1", "ACCOUNT_LOCK_THREAT", "MEDIUM", rf"{one_of('tài khoản', 'thẻ', 'sim', 'số điện thoại')} {skip(5)}{one_of('sẽ bị', 'sắp bị', 'bị')} {skip(2)}{one_of('khóa', 'phong tỏa', 'đóng băng', 'cắt')}", (own_thing, in_question)),
-    Rule("SI-1", "SENSITIVE_INFORMATION", "HIGH", rf"(?P<verb>{GIVE}) {skip(4)}{SECRET}", REQUEST),
-    Rule("SI-2", "SENSITIVE_INFORMATION", "MEDIUM", rf"(?P<verb>{GIVE}) {skip(4)}{PAPERS}", REQUEST),
-    Rule("SI-3", "SENSITIVE_INFORMATION", "LOW", rf"(?P<verb>{GIVE}) {skip(4)}số tài khoản", (*REQUEST, wants_to_pay)),
-    Rule("AU-1", "AUTHORITY_IMPERSONATION", "LOW", rf"{WE} {skip(3)}(?P<verb>{one_of('gọi từ', 'là cán bộ', 'là điều tra viên', 'bên')}) {skip(3)}{POLICE}", (negated, asked_back)),
-    Rule("LT-1", "LEGAL_THREAT", "MEDIUM", one_of("lệnh bắt", "khởi tố", "truy tố", "lệnh truy nã", "bắt tạm giam"), (negated, in_question)),
-    Rule("LT-2", "LEGAL_THREAT", "MEDIUM", rf"{one_of('liên quan', 'dính')} {skip(4)}{one_of('rửa tiền', 'ma túy', 'vụ án', 'đường dây')}", (negated,)),
-    Rule("SD-1", "SECRECY_DEMAND", "MEDIUM", rf"{one_of('không được', 'đừng', 'tuyệt đối không')} {skip(2)}{one_of('nói', 'kể', 'tiết lộ', 'báo')} {skip(3)}{one_of('ai', 'người nhà', 'gia đình', 'người khác')}"),
-    Rule("RA-1", "REMOTE_ACCESS_REQUEST", "HIGH", one_of("teamviewer", "anydesk", "ultraviewer", "điều khiển từ xa"), (negated,)),
-    Rule("RA-2", "REMOTE_ACCESS_REQUEST", "MEDIUM", rf"(?P<verb>{one_of('cài', 'cài đặt', 'tải')}) {skip(3)}{one_of('ứng dụng', 'phần mềm', 'app')}", (negated, speaker_acts, already_done)),
-    Rule("RA-3", "REMOTE_ACCESS_REQUEST", "MEDIUM", rf"(?P<verb>{one_of('bấm', 'mở', 'truy cập', 'nhấn')}) {skip(3)}{one_of('đường link', 'link')}", (negated, speaker_acts, already_done)),
-    Rule("RA-8", "REMOTE_ACCESS_REQUEST", "MEDIUM", rf"chia sẻ {skip(2)}màn hình", (negated,)),
-    Rule("FB-1", "FINANCIAL_BAIT", "MEDIUM", one_of("trúng thưởng", "trúng giải", "nhận quà tri ân"), (negated, in_question)),
-    Rule("FB-2", "FINANCIAL_BAIT", "MEDIUM", one_of("cam kết lợi nhuận", "lãi suất cao", "không rủi ro"), (negated,)),
-    Rule("UP-1", "UNUSUAL_PAYMENT", "MEDIUM", rf"(?P<verb>mua) {skip(3)}{one_of('thẻ cào', 'thẻ nạp', 'thẻ điện thoại')}", (negated, speaker_acts)),
-    Rule("CH-1", "CALL_HANDOFF", "LOW", rf"(?P<verb>{one_of('nối máy', 'chuyển máy')}) {skip(3)}{one_of('đồng nghiệp', 'cán bộ', 'cấp trên', 'đồng chí')}", (negated,)),
-]
-#: With screen sharing any of these makes remote access HIGH.
-SCREEN_WITH = {"RA-2", "RA-3"}
-_compiled: list[tuple[Rule, re.Pattern]] = []
-
-
-def scan(text: str | None) -> list[tuple[Rule, str]]:
-    """The matches that count, by rule, from left to right."""
-    if not _compiled:
-        _compiled.extend((r, re.compile(rf"(?<!\S)(?:{r.pattern})(?!\S)")) for r in RULES)
-    norm = normal_form(text)
-    words, out = norm.split(), []
-    at = lambda place: norm.count(" ", 0, place)
-    for rule, rx in _compiled:
-        for m in rx.finditer(norm):
-            anchor = m.start("verb") if "verb" in rx.groupindex else m.start()
-            found = Found(words, at(m.start()), at(anchor), at(m.end()) + 1)
-            if not any(g(found) for g in rule.guards):
-                out.append((rule, m[0]))
-    return out
-
-
-def merge(hits: list[tuple[Rule, str]]) -> list[dict]:
-    """Indicators of hits, in the order of CODES."""
-    by: dict[str, dict] = {}
-    for rule, evidence in hits:
-        x = by.setdefault(rule.code, {"code": rule.code, "severity": rule.severity, "evidence": [], "rule_ids": []})
-        x["severity"] = max(x["severity"], rule.severity, key=SEVERITY.get)
-        if evidence not in x["evidence"] and len(x["evidence"]) < MOST_EVIDENCE:
-            x["evidence"].append(evidence)
-        if rule.id not in x["rule_ids"]:
-            x["rule_ids"].append(rule.id)
-    remote = by.get("REMOTE_ACCESS_REQUEST")
-    if remote and "RA-8" in remote["rule_ids"] and SCREEN_WITH & set(remote["rule_ids"]):
-        remote["severity"] = "HIGH"
-        remote["rule_ids"].append("RA-10")
-    return sorted(by.values(), key=lambda x: CODES.index(x["code"]))
-
-
-def text_indicators(text: str | None) -> list[dict]:
-    """Indicators of a text without speakers."""
-    return merge(scan(text))
-
-
-def conversation_indicators(turns: list[dict] | None) -> dict:
-    """(indicators, speakers) of turns: each speaker is judged by his own words.
-
-    One who only asks for an account number while another asks for money is about
-    to be paid or to pay, so that hit goes.  Two speakers who put pressure on the
-    person called are coordinated.
+    One who only asks for an account number while another asks for money is about to
+    be paid or to pay, so that hit goes.  Two speakers who put pressure on the person
+    called are coordinated.  speakers is (key, speaker, turns, codes).
     """
-    hits: dict[str, list] = {}
-    count: dict[str, int] = {}
-    for t in [] if turns is None else turns:
-        hits.setdefault(t["speaker"], []).extend(scan(t["text"]))
-        count[t["speaker"]] = count.get(t["speaker"], 0) + 1
-    paid = {s for s, h in hits.items() if any(r.code == "MONEY_TRANSFER" for r, _ in h)}
-    for s, h in hits.items():
-        asked = {r.id for r, _ in h if r.code == "SENSITIVE_INFORMATION"}
-        if asked == {"SI-3"} and paid - {s}:
-            hits[s] = [x for x in h if x[0].id != "SI-3"]
-    own = {s: merge(h) for s, h in hits.items()}
-    pressing = [s for s, found in own.items() if any(x["code"] in PRESSING or (x["code"] == "SENSITIVE_INFORMATION" and x["severity"] != "LOW") for x in found)]
-    merged = merge([x for h in hits.values() for x in h])
-    if len(pressing) >= 2:
-        merged.append({"code": "COORDINATED_CALLERS", "severity": "MEDIUM", "evidence": ["speakers: " + ", ".join(pressing)], "rule_ids": ["CC-1"]})
-    return {"indicators": merged, "speakers": [{"speaker": s, "turns": count[s], "codes": [x["code"] for x in own[s]]} for s in hits]}
-
-
-INDICATOR = T.StructType([T.StructField("code", T.StringType()), T.StructField("severity", T.StringType()),
-                          T.StructField("evidence", T.ArrayType(T.StringType())), T.StructField("rule_ids", T.ArrayType(T.StringType()))])
-SPEAKER = T.StructType([T.StructField("speaker", T.StringType()), T.StructField("turns", T.IntegerType()), T.StructField("codes", T.ArrayType(T.StringType()))])
-
-
-@F.pandas_udf(T.ArrayType(INDICATOR))
-def indicators(texts: pd.Series) -> pd.Series:
-    """``text_indicators`` of a column."""
-    return texts.map(text_indicators)
-
-
-@F.pandas_udf(T.StructType([T.StructField("indicators", T.ArrayType(INDICATOR)), T.StructField("speakers", T.ArrayType(SPEAKER))]))
-def conversation(turns: pd.Series) -> pd.DataFrame:
-    """``conversation_indicators`` of a column of turns."""
-    return pd.DataFrame([conversation_indicators(t) for t in turns], columns=["indicators", "speakers"])
+    hits = rule_hits(turns, key, "turn", "speaker")
+    hits = hits.withColumn("clause", F.struct("turn", "clause"))
+    asks = F.collect_set(F.when(F.col("code") == "SENSITIVE_INFORMATION", F.col("rule"))).alias("asks")
+    each = hits.groupBy(key, "speaker").agg(asks, F.bool_or(F.col("code") == "MONEY_TRANSFER").alias("wants"))
+    wanting = each.groupBy(key).agg(F.count_if("wants").alias("wanting"))
+    only = (each.join(wanting, key).where(F.col("asks") == F.array(F.lit("give-account-number")))
+            .where(F.col("wanting") - F.col("wants").cast("int") > 0).select(key, "speaker", F.lit("give-account-number").alias("rule")))
+    left = hits.join(only, [key, "speaker", "rule"], "left_anti")
+    own = merged(left, key, "speaker")
+    pressing = own.where(F.col("code").isin(PRESSING) | ((F.col("code") == "SENSITIVE_INFORMATION") & (F.col("severity") != "LOW")))
+    many = pressing.groupBy(key).agg(F.array_sort(F.collect_set("speaker")).alias("s")).where(F.size("s") >= 2)
+    together = many.select(key, F.lit("COORDINATED_CALLERS").alias("code"), F.lit("MEDIUM").alias("severity"),
+                           F.array(F.concat(F.lit("speakers: "), F.array_join("s", ", "))).alias("evidence"), F.array(F.lit("coordinated")).alias("rules"))
+    codes = own.groupBy(key, "speaker").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    said = turns.groupBy(key, "speaker").agg(F.count(F.lit(1)).cast("int").alias("turns"))
+    speakers = said.join(codes, [key, "speaker"], "left").select(key, "speaker", "turns", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
+    return merged(left, key).unionByName(together), speakers

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,18 +52,44 @@ def risk_level(score: Column) -> Column:
     return F.when(score >= 60, "HIGH").when(score >= 30, "MEDIUM").when(score.isNotNull(), "LOW")
 
 
-#: Runs of anything but letters, digits and underscore, in any script.
+#: Runs of anything but letters, marks, digits and underscore, in any script.
 NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 
 
+@lru_cache(maxsize=1)
+def _compositions() -> str:
+    """JSON of every letter written with its marks apart, in each order of the marks, and the letter; Hangul is left out."""
+    pairs: dict[str, str] = {}
+    for letter in map(chr, range(0xC0, sys.maxunicode + 1)):
+        if unicodedata.decomposition(letter)[:1] in ("", "<") or "\uac00" <= letter <= "\ud7a3":
+            continue
+        apart = unicodedata.normalize("NFD", letter)
+        if unicodedata.normalize("NFC", apart) != letter or not 2 <= len(apart) <= 3:
+            continue
+        pairs[apart] = letter
+        pairs[apart[0] + apart[:0:-1]] = unicodedata.normalize("NFC", apart[0] + apart[:0:-1])
+        if len(apart) == 3:
+            for k in (1, 2):  # one mark already joined
+                pairs[unicodedata.normalize("NFC", apart[0] + apart[k]) + apart[3 - k]] = letter
+    return json.dumps(pairs)
+
+
+def composed(text: Column) -> Column:
+    """The text with letters and the marks after them as one letter each (NFC, but for Hangul); texts without marks are not touched."""
+    table = F.from_json(F.lit(_compositions()), "map<string,string>")
+    groups = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    joined = F.array_join(F.transform(groups, lambda g: F.when(F.length(g) > 1, F.coalesce(F.element_at(table, g), g)).otherwise(g)), "")
+    return F.when(text.rlike(r"\p{M}"), joined).otherwise(text)
+
+
 def duplicate_key(text: Column) -> Column:
-    """The words of a composed (NFC) text in lower case, one space apart."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
+    """The words of a text, composed and in lower case, one space apart."""
+    return F.trim(F.regexp_replace(F.lower(composed(text)), NOT_WORD, " "))
 
 
 def clean_text(text: Column) -> Column:
-    """Byte order marks dropped, white space of any kind collapsed, content kept."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "﻿", ""), r"(?U)\s+", " "))
+    """Composed, byte order marks dropped, white space of any kind collapsed, content kept."""
+    return F.trim(F.regexp_replace(F.regexp_replace(composed(text), "\ufeff", ""), r"(?U)\s+", " "))
 
 
 def transcript_style(text: Column) -> Column:

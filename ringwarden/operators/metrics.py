@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringwarden.functions.scalar import duplicate_key
+
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """Per key the values at 0-based place ``min(n - 1, floor(q * n))`` of the sorted column, as p<q in percent>.
@@ -70,5 +72,4 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
                 out.append(word_errors(r, (b or "").split()) / len(r) if r else None)
             yield pd.Series(out, dtype=float)
 
-    words = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " "))
-    return rate(words(reference), words(hypothesis))
+    return rate(duplicate_key(reference), duplicate_key(hypothesis))

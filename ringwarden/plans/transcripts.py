@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwarden.functions.risk import risk
-from ringwarden.functions.rules import indicators
-from ringwarden.functions.transcripts import normalised, parsed_turns, phrase_hits, scored_calls
+from ringwarden.functions.rules import CODES, indicators
+from ringwarden.functions.transcripts import normalised, phrase_hits, speaker_turns, scored_calls
 from ringwarden.session import read_table
 
 PHRASES = [(1, "the of"), (2, "the and"), (3, "and the of"), (4, "of"), (5, "der die")]
@@ -16,7 +16,7 @@ PHRASES = [(1, "the of"), (2, "the and"), (3, "and the of"), (4, "of"), (5, "der
 
 def custom_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which a phrase of an administrator stands without a negation."""
-    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), normalised("text").alias("norm"))
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), normalised(F.col("text")).alias("norm"))
     return phrase_hits(texts, spark.createDataFrame(PHRASES, "phrase_id int, phrase string"))
 
 
@@ -25,9 +25,9 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.initcap("role"), F.lit(": "), F.regexp_replace("text", r"[\n:]", " "))
     whole = (read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
              .select("conv_id", F.array_join(F.transform("t", lambda x: x["line"]), "\n").alias("text")))
-    turns = whole.select("conv_id", parsed_turns("text").alias("turns"))
-    return turns.select("conv_id", F.size(F.coalesce("turns", F.array().cast(turns.schema["turns"].dataType))).alias("turns"),
-                        F.size(F.array_distinct(F.transform("turns", lambda t: t["speaker"]))).alias("speakers"))
+    turns = whole.select("conv_id", speaker_turns(F.col("text")).alias("turns"))
+    said = turns.select("conv_id", F.coalesce("turns", F.array().cast(turns.schema["turns"].dataType)).alias("t"))
+    return said.select("conv_id", F.size("t").alias("turns"), F.size(F.array_distinct(F.transform("t", lambda t: t["speaker"]))).alias("speakers"))
 
 
 def stand_in_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def stand_in_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     def scorer(windows: pd.Series) -> pd.Series:
         return windows.map(lambda t: (sum(len(w) <= 3 for w in t.split()) / max(1, len(t.split()))) ** 2).astype(float)
 
-    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), normalised("text").alias("norm"))
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), normalised(F.col("text")).alias("norm"))
     out = scored_calls(texts, scorer)
     return out.select("id", F.size("chunks").alias("chunks"), F.round("probability", 6).alias("probability"))
 
@@ -45,22 +45,46 @@ LINES = ["Tôi mua hàng của bạn.", "Tôi gọi từ ngân hàng. Anh đọc
          "Tôi là cán bộ công an. Anh liên quan đến đường dây rửa tiền.", "Cho tôi số tài khoản để tôi chuyển tiền.", "Chị không được nói với ai."]
 
 
-def rule_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicators of all documents, each after a caller's line chosen by its id; with the risk score of the stand-in scorer."""
+def opened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): the documents, each after a caller's line chosen by its id."""
     line = F.element_at(F.array(*[F.lit(x) for x in LINES]), (F.col("doc_id") % len(LINES) + 1).cast("int"))
-    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", line, "text").alias("text"))
-    found = texts.select("id", F.size(F.split("text", " ")).alias("words"), indicators("text").alias("x"))
-    flat = found.select("id", "words", F.transform("x", lambda x: x["code"]).alias("codes"), F.transform("x", lambda x: x["severity"]).alias("severities"))
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", line, "text").alias("text"))
+
+
+def coded(texts: DataFrame) -> DataFrame:
+    """(id, codes, severities): the indicators of each text in the order of reports; [] where there is none."""
+    order = F.array_position(F.array(*[F.lit(c) for c in CODES]), F.col("code"))
+    rows = indicators(texts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order.alias("n"), "code", "severity"))).alias("x"))
+    none = F.array().cast("array<string>")
+    return texts.select("id").join(rows, "id", "left").select(
+        "id", F.coalesce(F.transform("x", lambda x: x["code"]), none).alias("codes"), F.coalesce(F.transform("x", lambda x: x["severity"]), none).alias("severities"))
+
+
+def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicator codes and severities of all documents, each after a caller's line."""
+    return coded(opened_texts(spark, sf_dir)).select("id", F.array_join("codes", ",").alias("codes"), F.array_join("severities", ",").alias("severities"))
+
+
+def rule_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rule_codes`` with the risk score of the stand-in scorer."""
+    texts = opened_texts(spark, sf_dir)
+    flat = coded(texts).join(texts.select("id", F.size(F.split("text", " ")).alias("words")), "id")
     scored = flat.join(stand_in_scores(spark, sf_dir).select("id", "probability"), "id")
     return scored.select("id", F.array_join("codes", ",").alias("codes"), F.array_join("severities", ",").alias("severities"),
                          risk(F.col("codes"), F.col("severities"), F.col("probability"), F.col("words"))["score"].alias("score"))
 
 
-QUERIES = {"rule_indicators": rule_indicators, "custom_phrases": custom_phrases, "conversation_turns": conversation_turns, "stand_in_scores": stand_in_scores}
+QUERIES = {"rule_codes": rule_codes, "rule_indicators": rule_indicators, "custom_phrases": custom_phrases, "conversation_turns": conversation_turns, "stand_in_scores": stand_in_scores}
 ORACLES = {
     "custom_phrases": r"""WITH p AS (SELECT * FROM (VALUES (1, 'the of'), (2, 'the and'), (3, 'and the of'), (5, 'der die')) v(phrase_id, phrase)),
 d AS (SELECT doc_id AS id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[.!…]*\?[.!?…]*', ' || ', 'g'), '[.!…]+', ' | ', 'g'), '[^\p{L}\p{M}\p{N}_|]+', ' ', 'g')), ' ') AS w FROM documents),
 s AS (SELECT * FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] || ' ' || w[i + 1] IN ('the of', 'the and', 'and the', 'der die')),
 m AS (SELECT s.id, p.phrase_id, string_split(array_to_string(w[greatest(i - 6, 1):i - 1], ' '), '|')[-1] AS before FROM s JOIN p ON array_to_string(w[i:i + len(string_split(p.phrase, ' ')) - 1], ' ') = p.phrase)
 SELECT DISTINCT id, phrase_id FROM m WHERE NOT list_has_any(string_split(before, ' '), ['không', 'đừng', 'chớ', 'chưa', 'never', 'not'])""",
+    "rule_codes": """SELECT doc_id AS id,
+CASE doc_id % 6 WHEN 1 THEN 'OTP_REQUEST,BANK_IMPERSONATION' WHEN 2 THEN 'MONEY_TRANSFER,URGENCY,ACCOUNT_LOCK_THREAT' WHEN 3 THEN 'AUTHORITY_IMPERSONATION,LEGAL_THREAT' WHEN 5 THEN 'SECRECY_DEMAND' ELSE '' END AS codes,
+CASE doc_id % 6 WHEN 1 THEN 'HIGH,LOW' WHEN 2 THEN 'MEDIUM,LOW,MEDIUM' WHEN 3 THEN 'LOW,MEDIUM' WHEN 5 THEN 'MEDIUM' ELSE '' END AS severities FROM documents""",
+    "conversation_turns": """SELECT conv_id, CASE WHEN sure >= 2 THEN turns ELSE 0 END::INT AS turns, CASE WHEN sure >= 2 THEN speakers ELSE 0 END::INT AS speakers FROM (
+SELECT conv_id, sum(n) FILTER (WHERE filled > 0) AS turns, count(*) FILTER (WHERE filled > 0) AS speakers, count(*) FILTER (WHERE n >= 2) AS sure
+FROM (SELECT conv_id, role, count(*) AS n, count(*) FILTER (WHERE trim(text) <> '') AS filled FROM conversations GROUP BY ALL) GROUP BY 1)""",
 }

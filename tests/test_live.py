@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ringwarden.functions.transcripts import normal_form, phrase_hits, split_turns
+from ringwarden.functions.transcripts import normalised, phrase_hits, speaker_turns
 from ringwarden.streaming.live import Segment
 
 
@@ -36,16 +37,21 @@ def test_utterances():
     assert run(quiet(3000), 640) == []
 
 
-def test_turns():
-    assert split_turns("A: xin chào. B: chào anh. A: tôi gọi từ ngân hàng. B: vâng.") == [
-        {"speaker": "A", "text": "xin chào."}, {"speaker": "B", "text": "chào anh."}, {"speaker": "A", "text": "tôi gọi từ ngân hàng."}, {"speaker": "B", "text": "vâng."}]
-    assert split_turns("Lưu ý: không chuyển tiền.") is None
-    assert split_turns(None) is None
+def test_turns(spark):
+    texts = ["A: xin chào. B: chào anh. A: tôi gọi từ ngân hàng. B: vâng.", "Lưu ý: không chuyển tiền.", None, "", "Khách: a\nShop: b: c\nkhách: d\nSHOP: e",
+             "A: lúc 9:30 nhé. B: ừ. A: \nB: vâng.", "A: một. A: hai. A: ba."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", speaker_turns(F.col("text")).alias("t")).orderBy("id")
+    got = [r.t and [(x.speaker, x.text) for x in r.t] for r in df.collect()]
+    assert got[0] == [("A", "xin chào."), ("B", "chào anh."), ("A", "tôi gọi từ ngân hàng."), ("B", "vâng.")]
+    assert got[1] is None and got[2] is None and got[3] is None and got[6] is None
+    assert got[4] == [("Khách", "a"), ("Shop", "b: c"), ("khách", "d"), ("SHOP", "e")]
+    assert got[5] == [("A", "lúc 9:30 nhé."), ("B", "ừ."), ("B", "vâng.")]
 
 
-def test_normal_form():
-    assert normal_form("Khoá TÀI khoản! Sao? đường linh") == "khóa tài khoản | sao || đường link"
-    assert normal_form(None) == ""
+def test_normal_form(spark):
+    texts = ["Khoá TÀI khoản! Sao? đường linh", None, "Kho\u0061\u0301 ti\u0065\u0302\u0300n tie\u0300\u0302n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", normalised(F.col("text")).alias("n")).orderBy("id")
+    assert [r.n for r in df.collect()] == ["khóa tài khoản | sao || đường link", "", "khóa tiền ti\u00e8\u0302n"]
 
 
 def test_phrases(spark):

@@ -2,12 +2,12 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-from ringwarden.functions.rules import CODES, RULES, conversation, indicators, text_indicators
-from ringwarden.functions.transcripts import parsed_turns
+from ringwarden.functions.rules import CODES, GUARDS, LEXICON, LONGEST, RULES, conversation, indicators
+from ringwarden.functions.transcripts import speaker_turns
 
+#: Sentences and the codes that they must give.
 CASES = [
     ("Tôi mua hàng của bạn.", set()),
     ("Cho tôi số tài khoản để tôi chuyển tiền.", set()),
@@ -18,30 +18,50 @@ CASES = [
     ("Không được đọc mã OTP cho ai.", set()),
     ("Anh hãy cài ứng dụng này rồi chia sẻ màn hình cho em.", {"REMOTE_ACCESS_REQUEST"}),
 ]
+#: Warnings and words of comfort.
+MORE = [
+    ("Tài khoản của anh sẽ không bị khóa.", set()),
+    ("Chị không được nói mã OTP cho ai.", set()),
+    ("Đừng tắt máy, chị đọc mã OTP cho em.", {"OTP_REQUEST"}),
+    ("Anh đừng lo, anh đọc mã OTP cho em.", {"OTP_REQUEST"}),
+    ("Chị không được nói với ai.", {"SECRECY_DEMAND"}),
+    (None, set()),
+]
 
 
-@pytest.mark.parametrize("text,want", CASES)
-def test_cases(text, want):
-    assert {x["code"] for x in text_indicators(text)} == want
-    spoken = re.sub(r"[^\w\s]", "", text.lower())
-    assert {x["code"] for x in text_indicators(spoken)} == want
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = {i: {} for i in range(len(texts))}
+    for r in indicators(df).collect():
+        out[r.id][r.code] = r
+    return out
 
 
-def test_severities_and_escalation():
-    high = lambda t: {x["code"] for x in text_indicators(t) if x["severity"] == "HIGH"}
-    assert high(CASES[2][0]) == set() and high(CASES[3][0]) == {"OTP_REQUEST"} and high(CASES[7][0]) == {"REMOTE_ACCESS_REQUEST"}
+def test_cases(spark):
+    written = [t for t, _ in CASES + MORE]
+    spoken = [re.sub(r"[^\w\s]", "", t.lower()) for t, _ in CASES]
+    out = found(spark, written + spoken)
+    assert [set(out[i]) for i in range(len(written))] == [w for _, w in CASES + MORE]
+    assert [set(out[len(written) + i]) for i in range(len(CASES))] == [w for _, w in CASES]
+    high = [{c for c, r in out[i].items() if r.severity == "HIGH"} for i in (2, 3, 7)]
+    assert high == [set(), {"OTP_REQUEST"}, {"REMOTE_ACCESS_REQUEST"}] and "screen-and-access" in out[7]["REMOTE_ACCESS_REQUEST"].rules
+    assert out[3]["OTP_REQUEST"].evidence == ["đọc mã otp"]
 
 
 def test_catalogue():
-    assert len({r.id for r in RULES}) == len(RULES) and {r.code for r in RULES} <= set(CODES)
-    assert text_indicators(None) == []
+    assert len({r[0] for r in RULES}) == len(RULES) and {r[1] for r in RULES} <= set(CODES)
+    assert all(kind in LEXICON for r in RULES for kind, _ in r[3]) and all(g in GUARDS for r in RULES for g in r[5])
+    assert max(len(p.split()) for some in LEXICON.values() for p in some) <= LONGEST
 
 
-def test_conversations_in_spark(spark):
+def test_conversations(spark):
     rows = [(1, "A: Tôi gọi từ công an. B: Vâng. C: Anh đọc mã OTP cho tôi. A: Anh nghe chưa. C: Nhanh lên."),
             (2, "A: Chị chuyển khoản ngay cho shop. B: Cho em số tài khoản. A: Vâng ạ. B: Cảm ơn chị.")]
-    df = spark.createDataFrame(rows, "id int, text string").select("id", indicators("text").alias("flat"), conversation(parsed_turns("text")).alias("c"))
-    out = {r.id: r for r in df.collect()}
-    assert "COORDINATED_CALLERS" in {x.code for x in out[1].c.indicators} and [s.speaker for s in out[1].c.speakers] == ["A", "B", "C"]
-    assert "SENSITIVE_INFORMATION" in {x.code for x in out[2].flat} and "SENSITIVE_INFORMATION" not in {x.code for x in out[2].c.indicators}
-    assert df.select(F.explode("flat")).count() > 0
+    df = spark.createDataFrame(rows, "id int, text string")
+    turns = df.select("id", F.posexplode(speaker_turns(F.col("text"))).alias("turn", "t")).select("id", "turn", "t.*")
+    whole, speakers = conversation(turns)
+    codes = {(r.id, r.code) for r in whole.collect()}
+    assert (1, "COORDINATED_CALLERS") in codes and (2, "SENSITIVE_INFORMATION") not in codes and (2, "MONEY_TRANSFER") in codes
+    assert (2, "SENSITIVE_INFORMATION") in {(r.id, r.code) for r in indicators(df).collect()}
+    told = {(r.id, r.speaker): (r.turns, r.codes) for r in speakers.collect()}
+    assert told[1, "B"] == (1, []) and told[1, "C"] == (2, ["OTP_REQUEST"]) and told[1, "A"][0] == 2
