@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwarden.llm.text import LOWER, UPPER, crc_mod, documents, words
+from ringwarden.llm.text import crc_mod, documents, words
 from ringwarden.staging import Staging
 
 #: Labelled rows that the classifier is fitted on, at most (by hash of the id); one in five of them calibrates it.
@@ -63,23 +63,22 @@ def stem(word: Column) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_tokens (words), _tokens, _marks and _features of the column ``text``.
+    """``docs`` with n_tokens (runs of letters and of other signs), _tokens, _marks and _features of the column ``text``.
 
     Features are the distinct tokens, beginnings of long words, and marks of style:
-    few different words, words said twice, repeated lines, capitals.  Step by step, so
+    few different tokens, tokens said twice, repeated lines, capitals.  Step by step, so
     that the optimiser computes each array once.
     """
-    left = lambda signs: F.length("text") - F.length(F.translate("text", signs, ""))
-    read = docs.withColumns({"_words": words(F.col("text")), "_tokens": words(F.col("text"), TOKEN),
-                             "_lines": F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != ""), "_caps": left(UPPER) > left(LOWER)})
-    read = read.withColumns({"n_tokens": F.size("_words").cast("long"), "_seen": F.array_distinct("_tokens"), "_kinds": F.size(F.array_distinct("_words")),
-                             "_twice": F.size(F.filter("_words", lambda x, i: x == F.get("_words", i - 1))), "_different": F.size(F.array_distinct("_lines"))})
-    marks = [F.when(F.col("_kinds") * 2 < F.col("n_tokens"), F.lit("=few")), F.when(F.col("_twice") * 20 > F.col("n_tokens"), F.lit("=twice")),
-             F.when(F.col("_different") < F.size("_lines"), F.lit("=lines")), F.when(F.col("_caps"), F.lit("=capitals"))]
-    stems = F.filter(F.transform("_seen", stem), lambda x: x.isNotNull())
+    read = docs.withColumns({"_tokens": words(F.col("text"), TOKEN), "_lines": F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")})
+    read = read.withColumns({"n_tokens": F.size("_tokens").cast("long"), "_seen": F.array_distinct("_tokens"), "_different": F.size(F.array_distinct("_lines")),
+                             "_twice": F.size(F.filter(F.arrays_zip("_tokens", F.slice("_tokens", 2, 1 << 30).alias("then")), lambda x: x["_tokens"] == x["then"]))})
+    capital = F.size(F.filter("_seen", lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x))))
+    marks = [F.when(F.size("_seen") * 4 < F.col("n_tokens"), F.lit("=few")), F.when(F.col("_twice") * 20 > F.col("n_tokens"), F.lit("=twice")),
+             F.when(F.col("_different") < F.size("_lines"), F.lit("=lines")), F.when(capital * 2 > F.size("_seen"), F.lit("=capitals"))]
+    stems = F.transform(F.filter("_seen", lambda x: F.length(x) >= LONG_WORD), stem)
     read = read.withColumns({"_marks": F.filter(F.array(*marks), lambda m: m.isNotNull()), "_stems": stems})
     read = read.withColumn("_features", F.concat("_seen", F.array_distinct("_stems"), "_marks"))
-    return read.drop("_words", "_lines", "_caps", "_seen", "_kinds", "_twice", "_different", "_stems")
+    return read.drop("_lines", "_seen", "_twice", "_different", "_stems")
 
 
 def _bounded(labelled: DataFrame) -> DataFrame:
@@ -184,7 +183,7 @@ def softened(model: Model) -> list[Column]:
 
 
 def posteriors(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` with n_tokens (words) and p, the posteriors of the model's domains."""
+    """Rows of ``docs`` with n_tokens and p, the posteriors of the model's domains."""
     scored = evidence(with_features(docs), model)
     return scored.withColumn("p", F.array(*softened(model))).select(*[f"`{c}`" for c in docs.columns if c not in ("n_tokens", "p")], "n_tokens", "p")
 
@@ -244,7 +243,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], only_le
     want = np.array([max(0.0, float(weights.get(d, 0))) for d in names])
     kept = [f"`{c}`" for c in docs.columns if c not in ("n_tokens", "p", "domain", "posterior", "rate", "miss")]
     if not names or want.sum() == 0:
-        return docs.select(*kept, F.size(words(F.col("text"))).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("p"),
+        return docs.select(*kept, F.size(words(F.col("text"), TOKEN)).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("p"),
                            F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(0.0).alias("miss"))
     soft = stage.save(posteriors(docs, model), "posteriors")
     want /= want.sum()
