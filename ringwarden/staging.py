@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A staged table cuts lineage like ``checkpoint()`` does, but is columnar and far
-smaller.  It lives under ``spark.checkpoint.dir`` (set one on the cluster); only
-where that setting is missing, as in tests, a folder of this machine is taken.
+smaller.  It lives under ``spark.checkpoint.dir``; only where that setting is
+missing and the master is local, as in tests, a folder of this machine is taken.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="ringwarden-")
