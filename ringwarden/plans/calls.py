@@ -202,12 +202,14 @@ def phone_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_records(spark, sf_dir).select("id", canonical_phone(raw).alias("phone"))
 
 
-@query("""SELECT call_id, bool_or(status = 'COMPLETED') AS completed, CASE WHEN bool_or(status = 'COMPLETED') THEN 'COMPLETED' WHEN bool_or(status = 'FAILED') THEN 'FAILED'
-WHEN bool_or(status = 'PROCESSING') THEN 'PROCESSING' ELSE 'PENDING' END AS state FROM analyses GROUP BY call_id""")
+@query("""SELECT call_id, bool_or(status = 'COMPLETED') AS completed, coalesce(arg_min(status, (created_at, line)) FILTER (WHERE status IN ('COMPLETED', 'FAILED')),
+CASE WHEN bool_or(status = 'PROCESSING') THEN 'PROCESSING' ELSE 'PENDING' END) AS state FROM analyses GROUP BY call_id""")
 def call_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state that a call's status events lead to; COMPLETED and FAILED are final."""
-    rank = F.element_at(F.create_map(*[x for k, s in enumerate(["PENDING", "PROCESSING", "FAILED", "COMPLETED"]) for x in (F.lit(s), F.lit(k))]), F.col("status"))
-    return analyses(spark, sf_dir).groupBy("call_id").agg(F.bool_or(F.col("status") == "COMPLETED").alias("completed"), F.max_by("status", rank).alias("state"))
+    """The state that a call's status events lead to; the first of COMPLETED and FAILED, by time, is final."""
+    final = F.when(F.col("status").isin("COMPLETED", "FAILED"), F.struct("created_at", "line", "status"))
+    grouped = analyses(spark, sf_dir).groupBy("call_id").agg(F.bool_or(F.col("status") == "COMPLETED").alias("completed"), F.min(final)["status"].alias("final"),
+                                                             F.bool_or(F.col("status") == "PROCESSING").alias("working"))
+    return grouped.select("call_id", "completed", F.coalesce("final", F.when(F.col("working"), "PROCESSING").otherwise("PENDING")).alias("state"))
 
 
 @query("""SELECT user_id, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM call_records) WHERE rn <= 10""")
