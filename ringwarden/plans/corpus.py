@@ -10,6 +10,7 @@ from ringwarden.functions.scalar import clean_text, duplicate_key, personal_data
 from ringwarden.operators.metrics import confusion, nearest_rank, word_error_rate
 from ringwarden.operators.near_duplicates import near_duplicate_clusters
 from ringwarden.session import read_table
+from ringwarden.staging import Staging
 
 QUERIES, ORACLES = {}, {}
 
@@ -180,7 +181,8 @@ def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count_if(F.col("label") == 0).alias("normal"), F.count_if(F.col("label") == 1).alias("phishing"), F.count(F.lit(1)).alias("total")))
 
 
-SPLIT = NEAR + """, sized AS (SELECT cluster, count(*) AS n, min(c.lang) AS stratum FROM clusters k JOIN corpus c USING (id) GROUP BY cluster),
+SPLIT = NEAR + """, sized AS (SELECT cluster, sum(n) AS n, max(lang) FILTER (WHERE k = 1) AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first) AS k
+  FROM (SELECT cluster, lang, count(*) AS n, min(id) AS first FROM clusters JOIN corpus USING (id) GROUP BY cluster, lang)) GROUP BY cluster),
 ran AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY stratum ORDER BY md5(CAST(cluster AS VARCHAR)), cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   sum(n) OVER (PARTITION BY stratum) AS total FROM sized),
 split AS (SELECT *, CASE WHEN before < 0.15 * total THEN 'test' WHEN before < 0.3 * total THEN 'validation' ELSE 'train' END AS split FROM ran)
@@ -188,11 +190,23 @@ split AS (SELECT *, CASE WHEN before < 0.15 * total THEN 'test' WHEN before < 0.
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, cluster, split): clusters are dealt whole, by strata of language, until a share is reached."""
-    k = clusters(spark, sf_dir).join(corpus(spark, sf_dir).select("id", "lang"), "id")
-    sized = k.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("lang").alias("stratum"))
-    w = Window.partitionBy("stratum").orderBy(F.md5(F.col("cluster").cast("string")), "cluster").rowsBetween(Window.unboundedPreceding, -1)
-    ran = sized.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("stratum")))
+    """(id, cluster, split): clusters are dealt whole, by strata of their most frequent language, until a share is reached.
+
+    The order is that of a hash; sums run inside slices of it and are offset by the
+    sums of the slices before.
+    """
+    stage = Staging(spark)
+    lang = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    k = stage.save(clusters(spark, sf_dir).join(lang, "id"), "clusters")
+    by_lang = k.groupBy("cluster", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    most = F.coalesce(F.max_by("lang", F.struct("n", -F.col("first"))), F.lit(""))
+    place = F.md5(F.col("cluster").cast("string"))
+    sized = stage.save(by_lang.groupBy("cluster").agg(F.sum("n").alias("n"), most.alias("stratum")).withColumns({"place": place, "slice": F.substring(place, 1, 3)}), "sized")
+    sums = sized.groupBy("stratum", "slice").agg(F.sum("n").alias("s"))
+    ahead = Window.partitionBy("stratum").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("stratum", "slice", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("skip"), F.sum("s").over(Window.partitionBy("stratum")).alias("total"))
+    inside = Window.partitionBy("stratum", "slice").orderBy("place", "cluster").rowsBetween(Window.unboundedPreceding, -1)
+    ran = sized.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["stratum", "slice"]).withColumn("before", F.col("inside") + F.col("skip"))
     dealt = ran.withColumn("split", F.when(F.col("before") < 0.15 * F.col("total"), "test").when(F.col("before") < 0.3 * F.col("total"), "validation").otherwise("train"))
     return k.select("id", "cluster").join(dealt.select("cluster", "split"), "cluster")
 
