@@ -25,6 +25,8 @@ from ringwarden.staging import Staging
 BROADCAST_ROWS = 200_000
 #: Lists that are intersected before the comparison with the text.
 RAREST = 2
+#: Blocks of positions are so many times as wide as a phrase with its slack, at least 2.
+BLOCK = 4
 #: Words that may stand between those of a phrase in a proximity match.
 SLACK = 5
 #: The term that stands behind the last word of every text; no word holds a space.
@@ -74,26 +76,26 @@ def candidates(wanted: DataFrame, index: DataFrame, slack: int, stage: Staging)
 
     starts: begins at which all of them are in their places; near: places of the
     rarest one with all others as near as the phrase is long, and ``slack`` words.
-    The lists of two terms meet by blocks of positions as wide as that, so a very
-    long document costs the length of its lists.
+    The lists of two terms meet by blocks of positions a few times as wide as that (a
+    place near an edge looks into two), so a very long document costs the length of its lists.
     """
     probes = maybe_broadcast(stage.save(rarest_terms(wanted, index, RAREST), "probes"), BROADCAST_ROWS * RAREST)
     reach = F.col("n_terms") - 1 + slack
+    block = lambda pos: F.floor(pos / (BLOCK * (reach + 1)))
 
     def posted(turn: int) -> DataFrame:
         own = probes.where(F.col("turn") == turn).select("phrase", "n_terms", "need", "term", "offset")
         return index.join(own, "term").select("row", "phrase", "n_terms", "need", "pos", (F.col("pos") - F.col("offset")).alias("start"),
-                                              F.floor(F.col("pos") / (reach + 1)).alias("block"))
+                                              block(F.col("pos")).alias("block"))
 
     found, done = posted(0).withColumn("exact", F.lit(True)), None
     for turn in range(1, RAREST):
         alone = found.where(F.col("need") <= turn)
         done = alone if done is None else done.unionByName(alone)
-        around = found.where(F.col("need") > turn).withColumn("block", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])))
+        around = found.where(F.col("need") > turn).withColumn("block", F.explode(F.sequence(block(F.col("pos") - reach), block(F.col("pos") + reach))))
         other = posted(turn).select("row", "phrase", "block", F.col("pos").alias("pos_k"), F.col("start").alias("start_k"))
         met = around.join(other, ["row", "phrase", "block"]).where(F.abs(F.col("pos") - F.col("pos_k")) <= reach)
-        own_block = F.floor(F.col("pos") / (reach + 1)).alias("block")
-        found = met.select("row", "phrase", "n_terms", "need", "pos", "start", own_block, (F.col("exact") & (F.col("start") == F.col("start_k"))).alias("exact"))
+        found = met.select("row", "phrase", "n_terms", "need", "pos", "start", block(F.col("pos")).alias("block"), (F.col("exact") & (F.col("start") == F.col("start_k"))).alias("exact"))
     both = found if done is None else found.unionByName(done)
     begin = F.when(F.col("exact") & (F.col("start") >= 0), F.col("start"))
     return both.groupBy("row", "phrase").agg(F.collect_set(begin).alias("starts"), F.collect_set("pos").alias("near"))
