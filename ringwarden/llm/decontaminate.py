@@ -4,10 +4,10 @@ The index stores one posting (term, row, pos) for every token of the training
 texts whose term a benchmark item uses, and one of the end mark for every row, whose
 position is the number of words; other postings could not be read by any phrase of
 the benchmark.  Postings lie beside the other postings of their document, so
-building the index moves no row.  A phrase is looked up from its rarest terms: in
+building the index moves no row.  A phrase is looked up from its two rarest terms: in
 every document that has them their lists, shifted by the terms' offsets in the phrase,
 are intersected (exact matches) and compared within the span of the phrase (proximity
-matches).  The few survivors are then compared with the words of their documents.
+matches); overlapping phrases share their pair of terms and so one intersection.  The few survivors are then compared with the words of their documents.
 A document is known by a hash of its id and text, so null and repeated ids do no
 harm, and where hashes clash the comparison still decides.  Main path: DataFrame
 operations only.
@@ -23,8 +23,6 @@ from ringwarden.staging import Staging
 
 #: A benchmark with more distinct terms or phrases than this is joined, not broadcast.
 BROADCAST_ROWS = 200_000
-#: Lists that are intersected before the comparison with the text.
-RAREST = 2
 #: Blocks of positions are so many times as wide as a phrase with its slack, at least 2.
 BLOCK = 4
 #: Words that may stand between those of a phrase in a proximity match.
@@ -56,49 +54,52 @@ def build_index(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return posted.join(maybe_broadcast(ended, BROADCAST_ROWS), "term").select("term", "row", "pos")
 
 
-def rarest_terms(wanted: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(phrase, n_terms, turn, need, term, offset): up to ``k`` positions of each phrase, rarest term first.
+def rarest_pairs(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """(phrase, n_terms, a, a_at, b, b_at, pair): the two rarest places of each phrase, ``a`` the rarer one.
 
-    A phrase with a term that has no posting occurs nowhere and is left out.
+    b is null for a phrase of one word.  A phrase with a term that has no posting
+    occurs nowhere and is left out.  Of equally rare terms the lesser comes first, so
+    that phrases which overlap share their pair.  ``pair`` is a hash of both terms;
+    a clash only brings more candidates.
     """
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     spots = wanted.select("phrase", F.posexplode("terms").alias("offset", "term"))
     ranked = (spots.join(counts, "term", "left").groupBy("phrase")
-              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("s"))
+              .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("s"))
               .where(F.col("s")[0]["n"] > 0))
-    first = F.slice("s", 1, k)
-    return ranked.select("phrase", F.size("s").alias("n_terms"), F.size(first).alias("need"), F.posexplode(first).alias("turn", "x")).select(
-        "phrase", "n_terms", "need", "turn", "x.term", "x.offset")
+    rare, next_rare = F.col("s")[0], F.get("s", 1)
+    return ranked.select("phrase", F.size("s").alias("n_terms"), rare["term"].alias("a"), rare["offset"].alias("a_at"),
+                         next_rare["term"].alias("b"), next_rare["offset"].alias("b_at")).withColumn("pair", F.hash("a", "b"))
 
 
-def candidates(wanted: DataFrame, index: DataFrame, slack: int, stage: Staging) -> DataFrame:
+def candidates(wanted: DataFrame, index: DataFrame, n: int, slack: int, stage: Staging) -> DataFrame:
     """(row, phrase, starts, near): where the rarest terms of a phrase stand in a document.
 
-    starts: begins at which all of them are in their places; near: places of the
-    rarest one with all others as near as the phrase is long, and ``slack`` words.
-    The lists of two terms meet by blocks of positions a few times as wide as that (a
-    place near an edge looks into two), so a very long document costs the length of its lists.
+    starts: begins at which both are in their places; near: places of the rarest
+    one with the other as near as the phrase is long, and ``slack`` words.  Lists
+    meet once for each pair of terms, whatever the number of phrases that share it,
+    by blocks of positions a few times as wide as that (a place near an edge looks
+    into two), so a very long document costs the length of its lists.
     """
-    probes = maybe_broadcast(stage.save(rarest_terms(wanted, index, RAREST), "probes"), BROADCAST_ROWS * RAREST)
-    reach = F.col("n_terms") - 1 + slack
-    block = lambda pos: F.floor(pos / (BLOCK * (reach + 1)))
-
-    def posted(turn: int) -> DataFrame:
-        own = probes.where(F.col("turn") == turn).select("phrase", "n_terms", "need", "term", "offset")
-        return index.join(own, "term").select("row", "phrase", "n_terms", "need", "pos", (F.col("pos") - F.col("offset")).alias("start"),
-                                              block(F.col("pos")).alias("block"))
-
-    found, done = posted(0).withColumn("exact", F.lit(True)), None
-    for turn in range(1, RAREST):
-        alone = found.where(F.col("need") <= turn)
-        done = alone if done is None else done.unionByName(alone)
-        around = found.where(F.col("need") > turn).withColumn("block", F.explode(F.sequence(block(F.col("pos") - reach), block(F.col("pos") + reach))))
-        other = posted(turn).select("row", "phrase", "block", F.col("pos").alias("pos_k"), F.col("start").alias("start_k"))
-        met = around.join(other, ["row", "phrase", "block"]).where(F.abs(F.col("pos") - F.col("pos_k")) <= reach)
-        found = met.select("row", "phrase", "n_terms", "need", "pos", "start", block(F.col("pos")).alias("block"), (F.col("exact") & (F.col("start") == F.col("start_k"))).alias("exact"))
-    both = found if done is None else found.unionByName(done)
-    begin = F.when(F.col("exact") & (F.col("start") >= 0), F.col("start"))
-    return both.groupBy("row", "phrase").agg(F.collect_set(begin).alias("starts"), F.collect_set("pos").alias("near"))
+    probes = stage.save(rarest_pairs(wanted, index), "probes")
+    pairs = probes.where("b is not null").select("a", "b", "pair").distinct()
+    reach = n - 1 + slack
+    block = lambda pos: F.floor(pos / (BLOCK * (reach + 1))).cast("int")
+
+    def posted(side: str) -> DataFrame:
+        own = maybe_broadcast(pairs.select(F.col(side).alias("term"), "pair"), BROADCAST_ROWS)
+        return index.join(own, "term").select("row", "pair", "pos")
+
+    around = posted("a").withColumn("block", F.explode(F.sequence(block(F.col("pos") - reach), block(F.col("pos") + reach))))
+    other = posted("b").select("row", "pair", F.col("pos").alias("pos_b"), block(F.col("pos")).alias("block"))
+    gap = F.col("pos_b") - F.col("pos")
+    met = around.join(other, ["row", "pair", "block"]).where(F.abs(gap) <= reach)
+    shared = met.join(maybe_broadcast(probes.select("phrase", "n_terms", "a_at", "b_at", "pair"), BROADCAST_ROWS), "pair").where(F.abs(gap) < F.col("n_terms") + slack)
+    start = F.col("pos") - F.col("a_at")
+    found = shared.select("row", "phrase", "pos", F.when((gap == F.col("b_at") - F.col("a_at")) & (start >= 0), start).alias("start"))
+    alone = probes.where("b is null").select("phrase", F.col("a").alias("term"))
+    single = index.join(maybe_broadcast(alone, BROADCAST_ROWS), "term").select("row", "phrase", "pos", F.col("pos").alias("start"))
+    return found.unionByName(single).groupBy("row", "phrase").agg(F.collect_set("start").alias("starts"), F.collect_set("pos").alias("near"))
 
 
 def holds_all(span: Column, terms: Column) -> Column:
@@ -107,15 +108,16 @@ def holds_all(span: Column, terms: Column) -> Column:
     return F.forall(F.array_distinct(terms), lambda t: often(span, t) >= often(terms, t))
 
 
-def matches(docs: DataFrame, wanted: DataFrame, index: DataFrame, slack: int, stage: Staging) -> DataFrame:
+def matches(docs: DataFrame, wanted: DataFrame, index: DataFrame, n: int, slack: int, stage: Staging) -> DataFrame:
     """(row, spans, item_ids, near_ids): documents with exact or proximity matches, compared with their words.
 
     spans lists start, length and phrase of each exact occurrence, item_ids the items
     of these phrases, near_ids those with a phrase whose words all stand within its
     length and ``slack`` words.  Only texts of documents with candidates are read again.
     """
-    found = stage.save(candidates(wanted, index, slack, stage), "candidates")
-    texts = docs.select(row_key().alias("row"), "text").join(found.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    found = stage.save(candidates(wanted, index, n, slack, stage), "candidates")
+    some = maybe_broadcast(found.select("row").distinct(), BROADCAST_ROWS * 5)
+    texts = docs.select(row_key().alias("row"), "text").join(some, "row", "left_semi")
     split = stage.save(texts.select("row", tokens().alias("w")), "texts")
     met = found.join(split, "row").join(wanted, "phrase")
     length = F.size("terms")
@@ -127,14 +129,14 @@ def matches(docs: DataFrame, wanted: DataFrame, index: DataFrame, slack: int, st
     hits = F.transform("exact", lambda s: F.struct(s.alias("start"), F.col("length").alias("length"), F.col("phrase").alias("phrase")))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     return told.where("occurs or close").groupBy("row").agg(
-        F.array_sort(F.flatten(F.collect_list(hits))).alias("spans"), union(F.when(F.col("occurs"), F.col("items"))).alias("item_ids"), union(F.col("items")).alias("near_ids"))
+        union(hits).alias("spans"), union(F.when(F.col("occurs"), F.col("items"))).alias("item_ids"), union(F.col("items")).alias("near_ids"))
 
 
 def look_up(docs: DataFrame, items: DataFrame, n: int, slack: int, stage: Staging) -> tuple[DataFrame, DataFrame]:
     """(index, matches) of ``docs(doc_id, text)``, both stored."""
     wanted = stage.save(phrases(items.select("item_id", "text"), n), "phrases")
     index = stage.save(build_index(docs, wanted), "index")
-    return index, stage.save(matches(docs, wanted, index, slack, stage), "matches")
+    return index, stage.save(matches(docs, wanted, index, n, slack, stage), "matches")
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
