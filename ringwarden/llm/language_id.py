@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 from ringwarden.llm.text import crc_mod, documents
 
 CELLS = 1 << 15
-#: At most so many languages are learned, the most frequent ones first.
-MAX_LANGUAGES = 200
-#: Bytes of text that one numpy step takes at once.
+#: Bytes of text that one numpy step takes at once with up to 64 languages; with more it takes less.
 STEP_BYTES = 1 << 20
 
 
 def letters_only(text: Column) -> Column:
-    """Lower-cased runs of letters, one space between them; '' for null."""
-    return F.coalesce(F.lower(F.trim(F.regexp_replace(text, r"[^\p{L}]+", " "))), F.lit(""))
+    """Lower-cased runs of letters with their combining marks, one space between them; '' for null."""
+    runs = F.regexp_replace(text, r"[^\p{L}\p{M}]+", " ")
+    spaced = F.concat(F.lit(" "), F.ltrim(runs))
+    owned = F.regexp_replace(F.regexp_replace(spaced, r" \p{M}+(?= |$)", ""), r" \p{M}+", " ")  # marks without a letter go
+    return F.coalesce(F.lower(F.trim(F.when(text.rlike(r"\p{M}"), owned).otherwise(runs))), F.lit(""))
 
 
 def trigram_cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,12 +47,12 @@ def trigram_cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return cell[use].astype(np.int64), word[use], starts
 
 
-def batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Slices of the list with about STEP_BYTES bytes."""
-    begin, size = 0, 0
+def batches(texts: list[bytes], languages: int = 1) -> Iterator[tuple[int, int]]:
+    """Slices of the list with about STEP_BYTES bytes, fewer with many languages."""
+    begin, size, step = 0, 0, STEP_BYTES * 64 // max(64, languages)
     for i, t in enumerate(texts):
         size += len(t) + 1
-        if size >= STEP_BYTES or i == len(texts) - 1:
+        if size >= step or i == len(texts) - 1:
             yield begin, i + 1
             begin, size = i + 1, 0
 
@@ -72,9 +73,8 @@ def count_trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of each cell by language) from rows (t, lang)."""
-    top = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    rows = labelled.where(F.col("lang").isin(top)) if len(top) == MAX_LANGUAGES else labelled
-    sums = rows.mapInPandas(count_trigrams, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    top = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # languages, not rows
+    sums = labelled.mapInPandas(count_trigrams, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = np.zeros((CELLS, len(top)))
     place = {lang: k for k, lang in enumerate(top)}
     for r in sums.toLocalIterator():  # CELLS x languages at most
@@ -131,6 +131,8 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     in training on a tie), score that proportion, languages the chosen set with
     its proportions, largest first.  Text that is null or has no letter gets
     ``und``, score 0 and no languages, as does all text if nothing was learned.
+    Every language of ``training`` is learned, however rare; the model has CELLS
+    numbers a language.  Very long texts are judged whole, in one numpy step each.
     Nothing but the text is an input of a prediction; repeated rows and extra
     columns are kept as they are; an empty table gives an empty result.
     """
@@ -147,7 +149,7 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
             out = [("und", 0.0, [])] * len(texts)
             where = [i for i, t in enumerate(texts) if t] if names else []
             there = [texts[i] for i in where]
-            for lo, hi in batches(there):
+            for lo, hi in batches(there, len(names)):
                 share = proportions(there[lo:hi], table)
                 order = np.argsort(-share, axis=1, kind="stable")
                 for j in range(hi - lo):

@@ -382,3 +382,60 @@ def test_revisits(spark):
     assert merged == {"etag": 'W/"1"', "date": "d3", "body": "k"}
     assert resolve_revisits(df.limit(0)).count() == 0
     assert df.limit(1).select(canonical_url(F.lit("HTTP://WWW.Example.com:80/a//?z=1&a=2#t"))).first()[0] == "example.com/a?a=2&z=1"
+
+
+def _plain_proportions(text, table, rounds=12):
+    """The mixture of one text by loops: EM over words, then the nested sets by penalised likelihood."""
+    import math
+
+    mask, n_lang, like = 0xFFFFFFFF, table.shape[1], []
+    for word in text.split(b" "):
+        b, logs = b" " + word + b" ", [0.0] * n_lang
+        for i in range(len(b) - 2):
+            code = (b[i] * 0x9E3779B1 & mask) ^ (b[i + 1] * 0x85EBCA77 & mask) ^ (b[i + 2] * 0xC2B2AE3D & mask)
+            cell = ((code ^ (code >> 15)) * 0x2C1B3C6D & mask) >> 17
+            logs = [x + float(table[cell, k]) for k, x in enumerate(logs)]
+        like.append([math.exp(max(x - max(logs), -30.0)) for x in logs])
+
+    def em(allowed, steps):
+        share = [a / sum(allowed) for a in allowed]
+        for _ in range(steps):
+            joint = [[w * s for w, s in zip(row, share)] for row in like]
+            share = [sum(row[k] / sum(row) for row in joint) / len(like) for k in range(n_lang)]
+        return share, sum(math.log(sum(w * s for w, s in zip(row, share))) for row in like)
+
+    order = sorted(range(n_lang), key=lambda k, full=em([1.0] * n_lang, rounds)[0]: -full[k])
+    best, chosen = -math.inf, None
+    for k in range(1, n_lang + 1):
+        share, total = em([(1.0 if j in order[:k] else 0.0) + 1e-12 for j in range(n_lang)], rounds if k > 1 else 1)
+        score = total - 0.5 * (k - 1) * math.log(len(like) + 1.0)
+        if score <= best:
+            break
+        best, chosen = score, share
+    return chosen
+
+
+def test_mixture_equals_plain_loops():
+    import numpy as np
+
+    from ringwarden.llm.language_id import CELLS, proportions
+
+    table = np.log(np.random.default_rng(3).dirichlet(np.full(4, 0.5), CELLS) + 1e-3)
+    texts = ["ab".encode(), "one two three four five six".encode(), "grün blau rot gelb".encode(), ("x y zz " * 40).strip().encode(),
+             "नमस्ते दुनिया यह एक वाक्य है".encode()]
+    found = proportions(texts, table)
+    for text, row in zip(texts, found):
+        assert np.allclose(row, _plain_proportions(text, table), atol=1e-9)
+
+
+def test_language_marks_and_many_languages(spark):
+    from ringwarden.llm.language_id import identify, letters_only
+
+    marked = spark.createDataFrame([("हिन्दी, भाषा 12",), ("\u0301 x\u0301y \u0301z",), ("1\u0301 \u0301",), (None,)], "text string")
+    assert [r[0] for r in marked.select(letters_only(marked["text"])).collect()] == ["हिन्दी भाषा", "x\u0301y z", "", ""]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: (letters[k % 26] + letters[k // 26 % 26] + letters[(7 * k + 3) % 26]) * 3
+    rows = [(k, " ".join([word(k)] * 6), f"l{k:03d}") for k in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    got = identify(docs.select("doc_id", "text"), docs.select("text", "lang")).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id']:03d}" for r in got) >= 228
