@@ -6,6 +6,7 @@ from ringwarden.llm.jaccard_join import ORACLE_OP7, op7_ngram_jaccard_join
 from ringwarden.llm.language_id import op6_language_id
 from ringwarden.llm.log_bilinear import op10_lm_score
 from ringwarden.llm.mixing import op3_mix_domains
+from ringwarden.llm.prefix_trie import ORACLE_OP13, op13_prefix_trie
 from ringwarden.llm.quality_knn import op4_quality_knn
 from ringwarden.llm.revisits import ORACLE_OP9, op9_resolve_revisits
 from ringwarden.llm.sharding import op2_balanced_shards
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_additive_quantisation": op8_additive_quantisation,
     "op9_resolve_revisits": op9_resolve_revisits,
     "op10_lm_score": op10_lm_score,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -29,4 +31,5 @@ ORACLES = {
     "op5_substring_dedup": ORACLE_OP5,
     "op7_ngram_jaccard_join": ORACLE_OP7,
     "op9_resolve_revisits": ORACLE_OP9,
+    "op13_prefix_trie": ORACLE_OP13,
 }

@@ -1,0 +1,69 @@
+"""Prefix trie, ranked search and secret scans against brute force, on odd rows and on empty tables."""
+
+import hashlib
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from ringwarden.llm import prefix_trie as trie
+
+
+def brute_trie(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, x) for _, _, r, x in sorted(v, key=lambda t: t[:2])] for c, v in own.items()}
+    whole = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        whole[c] = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, t in whole.items():
+        ends[t].append(c)
+        for d in range(len(t) + 1):
+            members[t[:d]].append(c)
+    children = defaultdict(set)
+    for p in members:
+        if p:
+            children[p[:-1]].add(p)
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for p in members:
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(members[p]) - 1) * len(p[-1][1]) if p else 0
+    sha = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return sorted((min(m), len(p), min(members[p[:-1]]) if p else -1, len(m), len(children[p]), leaves[p], saved[p], sha(ends[p])) for p, m in members.items())
+
+
+def got_trie(spark, rows):
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "conv_id long, turn long, role string, text string, depth int, p1 int, weight string")
+    out = trie.prefix_trie(df).collect()
+    assert all(r.leaf == (r.n_children == 0) for r in out)
+    return sorted((r.conv_id, r.depth, -1 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in out)
+
+
+def talk(conv, n, same=0):
+    return [(conv, t, "user" if t % 2 else "assistant", f"line {t}" if t < same else f"line {t} of {conv % 7}") for t in range(n)]
+
+
+ODD = [(5, None, None, "null turn first"), (5, 0, "user", None), (5, 1, None, ""), (6, 3, "a", "same"), (6, 3, "a", "same"), (None, 1, "user", "nobody"), (1234567, 0, "user", "x" * 200_000)]
+
+
+@pytest.mark.parametrize("width", [4096, 2])
+def test_trie_matches_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr(trie, "SLICE", width)
+    rows = [r for c in range(130) for r in talk(c, c % 9, same=c % 4)] + [r for c in range(300, 360) for r in talk(c, 7, same=7)] + ODD
+    assert got_trie(spark, rows) == brute_trie(rows)
+
+
+def test_long_conversation_and_many_ends(spark, monkeypatch):
+    monkeypatch.setattr(trie, "PIECE", 7)
+    rows = talk(100, 900, same=900) + talk(101, 450, same=450) + [r for c in range(200, 290) for r in talk(c, 6, same=6)]
+    assert got_trie(spark, rows) == brute_trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    assert got_trie(spark, []) == [] and got_trie(spark, [(None, 1, "a", "b")]) == []
+    assert got_trie(spark, [(7, 0, "a", "b")]) == brute_trie([(7, 0, "a", "b")])
