@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
 from ringwarden.plans import calls, corpus, evaluation, transcripts
-from ringwarden.streaming import live
+from ringwarden.streaming import live, sessions
 
 ENTRY = "top_suspected"
-QUERIES = {**calls.QUERIES, **corpus.QUERIES, **evaluation.QUERIES, **transcripts.QUERIES, **live.QUERIES}
-ORACLES = {**calls.ORACLES, **corpus.ORACLES, **evaluation.ORACLES, **transcripts.ORACLES, **live.ORACLES}
+QUERIES = {**calls.QUERIES, **corpus.QUERIES, **evaluation.QUERIES, **transcripts.QUERIES, **live.QUERIES, **sessions.QUERIES}
+ORACLES = {**calls.ORACLES, **corpus.ORACLES, **evaluation.ORACLES, **transcripts.ORACLES, **live.ORACLES, **sessions.ORACLES}
