@@ -80,21 +80,12 @@ def rebuilt_turns(conversations: DataFrame, stage: Staging) -> tuple[DataFrame,
     return stage.save(placed, "rebuilt"), convs.select("conv_id")
 
 
-def _runs(frame: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Stretches of rows with one key, in order."""
-    if len(frame):
-        change = (frame[KEY] != frame[KEY].shift()).any(axis=1).cumsum()
-        for _, rows in frame.groupby(change, sort=False):
-            yield tuple(int(x) for x in rows[KEY].iloc[0]), rows
-
-
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(key, first, ids): sorted ids written as text, a piece for each stretch of a key."""
     for frame in frames:
-        out = []
-        for key, rows in _runs(frame):
-            ids = rows["conv_id"].tolist()
-            out += [(*key, ids[i], ",".join(map(str, ids[i:i + PIECE]))) for i in range(0, len(ids), PIECE)]
+        keys, ids = list(zip(*[frame[c].tolist() for c in KEY])), frame["conv_id"].tolist()
+        cuts = [i for i in range(len(ids)) if not i or keys[i] != keys[i - 1]] + [len(ids)]
+        out = [(*keys[i], ids[i], ",".join(map(str, ids[i:min(i + PIECE, end)]))) for begin, end in zip(cuts, cuts[1:]) for i in range(begin, end, PIECE)]
         yield pd.DataFrame(out, columns=[*KEY, "first", "ids"])
 
 
