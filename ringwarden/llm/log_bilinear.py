@@ -178,11 +178,11 @@ def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
 
 
 def fit(encoded: DataFrame, unigram: np.ndarray, end: int) -> Parameters:
-    """Train on ``encoded(doc_id, classes)``: each round mixes what the tasks have learned from their own documents."""
+    """Train on ``encoded(row, classes)``: each round mixes what the tasks have learned from their own documents."""
     spark, k = encoded.sparkSession, len(unigram)
     p, done = Parameters.start(unigram), 0.0
     for number, share in enumerate(ROUNDS):
-        place = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(1000)) / 1000
+        place = F.pmod(F.xxhash64("row", F.lit("round")), F.lit(1000)) / 1000
         part = encoded.where((place >= done) & (place < done + share)).select("classes")
         sent = spark.sparkContext.broadcast((p.r, p.q, p.c1, p.c2, p.b))
 
@@ -221,11 +221,13 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     base_score is the smoothed unigram's log10 probability, score the model's.
     Null text counts as empty: its one token is the end mark.  With nothing to
     learn from, all tokens are unknown and both scores are their share of an empty
-    count.  Repeated rows are each scored, provided doc_id is unique and not null;
+    count.  Every row is scored by itself, rows with null or repeated ids and repeated rows
+    too; where ``training`` is null nothing is learned.  Texts of any length are read whole;
     extra columns are not read; an empty table gives an empty result.
     """
     stage = Staging(docs.sparkSession)
-    rows = docs.select("doc_id", "text", training.alias("training")).where("doc_id is not null")
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc"), "text", F.coalesce(training, F.lit(False)).alias("training"))
     split = rows.where("training").select(F.concat(words(ascii_lower(F.col("text"))), F.array(F.lit(END))).alias("w"))
     counts = stage.save(unnest(split, "w", "word").groupBy("word").agg(F.count(F.lit(1)).alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
@@ -248,29 +250,29 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     unigram = mass / mass.sum()
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks, held, np.log10((held + 0.5) / whole)))
-    ids = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks, held, log_base = shared.value
         encoder = Encoder(ranks)
         for frame in frames:
             out = []
-            for doc, training, text in zip(frame["doc_id"], frame["training"], frame["text"]):
+            for doc, training, text in zip(frame["doc"], frame["training"], frame["text"]):
                 tokens = tokens_of(text)
                 classes, rank = encoder(tokens)
                 known = rank[rank >= 0]
                 rare = Counter(tokens[i].decode() for i in np.flatnonzero(rank < 0))
                 out.append((doc, training, classes.tobytes(), int((held[known] > 0).sum()), float(log_base[known].sum()),
                             list(rare), np.fromiter(rare.values(), np.int32, len(rare))))
-            yield pd.DataFrame(out, columns=["doc_id", "training", "classes", "own_known", "own_base", "rare", "times"])
+            yield pd.DataFrame(out, columns=["doc", "training", "classes", "own_known", "own_base", "rare", "times"])
 
     encoded = stage.save(rows.mapInPandas(
-        encode, f"doc_id {ids}, training boolean, classes binary, own_known long, own_base double, rare array<string>, times array<int>"), "encoded")
-    p = fit(encoded.where("training").select("doc_id", "classes"), unigram, end)
+        encode, "doc string, training boolean, classes binary, own_known long, own_base double, rare array<string>, times array<int>")
+        .withColumn("row", F.monotonically_increasing_id()), "encoded")
+    p = fit(encoded.where("training").select("row", "classes"), unigram, end)
 
-    pairs = encoded.select("doc_id", F.arrays_zip("rare", "times").alias("x"))
-    rare = unnest(pairs, "x", "x", "doc_id").select("doc_id", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
-    known = rare.join(counts, "word", "left").groupBy("doc_id").agg(
+    pairs = encoded.select("row", F.arrays_zip("rare", "times").alias("x"))
+    rare = unnest(pairs, "x", "x", "row").select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
+    known = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("rare_base"))
     model = spark.sparkContext.broadcast((log_tables(p), np.log10(unigram)))
@@ -279,26 +281,26 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
         (a1, a2, z), log_class = model.value
         for frame in frames:
             out = []
-            for doc, raw, known, base in zip(frame["doc_id"], frame["classes"], frame["own_known"], frame["own_base"]):
+            for row, doc, raw, known, base in zip(frame["row"], frame["doc"], frame["classes"], frame["own_known"], frame["own_base"]):
                 c = np.frombuffer(raw, np.int16).astype(np.int64)
                 one, two = contexts(c, np.zeros(1, np.int64), end)
                 log_p = (a1[one, c] + a2[two, c] - z[one, two]).astype(float) / np.log(10)
-                out.append((doc, len(c), known, base, float((log_p - log_class[c]).sum())))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "own_known", "own_base", "gain"])
+                out.append((row, doc, len(c), known, base, float((log_p - log_class[c]).sum())))
+            yield pd.DataFrame(out, columns=["row", "doc", "n_tokens", "own_known", "own_base", "gain"])
 
     # The model's word probability is its class probability times the word's share of the class's unigram mass.
     scale = float(np.log10(whole / mass.sum()))
-    scored = encoded.select("doc_id", "classes", "own_known", "own_base").mapInPandas(
-        score, f"doc_id {ids}, n_tokens long, own_known long, own_base double, gain double")
-    both = scored.join(known, "doc_id", "left")
+    scored = encoded.select("row", "doc", "classes", "own_known", "own_base").mapInPandas(
+        score, "row long, doc string, n_tokens long, own_known long, own_base double, gain double")
+    both = scored.join(known, "row", "left")
     base = F.col("own_base") + F.coalesce("rare_base", F.lit(0.0))
-    return both.select("doc_id", "n_tokens", (F.col("own_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+    return both.select(F.col("doc").cast(ids).alias("doc_id"), "n_tokens", (F.col("own_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
                        base.alias("base_score"), (base + F.col("gain") + F.col("n_tokens") * scale).alias("score"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by models learned from those with crc32(doc_id) mod 5 other than 1."""
     docs = documents(spark, sf_dir)
-    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))  # rows without an id are learned from
     return score_texts(docs, ~held_out).withColumn("held_out", held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

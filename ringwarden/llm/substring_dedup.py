@@ -27,22 +27,23 @@ from pyspark.sql import functions as F
 from ringwarden.llm.text import documents, unnest
 from ringwarden.staging import Staging
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTES = np.random.default_rng(35).integers(1, 1 << 63, 256).astype(np.uint64)
+_ODDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(x, -1, 1 << 64) for x in _ODDS)
+_BYTES = np.random.default_rng(35).integers(1, 1 << 63, (2, 256)).astype(np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _ODDS]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the odd multiplier and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_ODD, _INVERSE)):
+def _power(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd multiplier and of its inverse, modulo 2**64."""
+    known = _powers[which]
+    if len(known[0]) < n:
+        for k, base in enumerate((_ODDS[which], _INVERSES[which])):
             steps = np.full(2 * n, base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+            known[k] = np.cumprod(steps)
+    return known[0][:n], known[1][:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,14 +52,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word (run without ASCII white space) of UTF-8 bytes."""
+def word_hashes(text: bytes, which: int = 0) -> np.ndarray:
+    """A 64-bit hash, of two, of every word (run without ASCII white space) of UTF-8 bytes."""
     raw = np.frombuffer(text, np.uint8)
     solid = np.concatenate([[False], ~_SPACE[raw], [False]])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     begin, end = edge[::2], edge[1::2]
-    power, inverse = _power(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * power[: len(raw)], dtype=np.uint64)])
+    power, inverse = _power(len(raw) + 1, which)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[which][raw] * power[: len(raw)], dtype=np.uint64)])
     return _mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
@@ -85,48 +86,43 @@ def anchors(h: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 def _scan(n: int, seed: int):
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(3)
         for frame in frames:
             out = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+            for doc, text in zip(frame["doc"], frame["text"]):
                 raw = text.encode() if text is not None else b""
                 words = raw.split()
                 h = word_hashes(raw) if len(words) >= n else np.zeros(0, np.uint64)
                 at = np.unique(anchors(h, n, seed))
                 out.append((doc, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), at.astype(np.int32),
-                            window_hashes(h, seed)[at].view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "sha", "pos", "hash"])
+                            window_hashes(h, seed)[at].view(np.int64), press.compress(raw)))
+            yield pd.DataFrame(out, columns=["doc", "n_words", "sha", "pos", "hash", "z"])
 
     return scan
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    press = zstandard.ZstdCompressor(3)
-    for frame in frames:
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "z": [press.compress((t or "").encode()) for t in frame["text"]]})
-
-
 def _texts(frame: pd.DataFrame) -> Iterator[bytes]:
     open_ = zstandard.ZstdDecompressor()
     return (open_.decompress(z) for z in frame["z"])
 
 
 def _table(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    """One frame of (doc_id, names...) from a document and its arrays in each row."""
+    """One frame of (row, names...) from a document and its arrays in each row."""
     size = [len(r[1]) for r in rows]
-    columns = {"doc_id": np.repeat([r[0] for r in rows], size)} if rows else {"doc_id": []}
+    columns = {"row": np.repeat([r[0] for r in rows], size)} if rows else {"row": []}
     for k, name in enumerate(names, 1):
         columns[name] = np.concatenate([r[k] for r in rows]) if rows else []
     return pd.DataFrame(columns)
 
 
 def _extend(n: int, seed: int):
-    """Rows (doc_id, pos, side, hash): surviving anchors extended to twice their length, to either side."""
+    """Rows (row, pos, side, hash): surviving anchors extended to twice their length, to either side."""
     twice = 2 * seed
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, text, pos in zip(frame["doc_id"], _texts(frame), frame["pos"]):
+            for doc, text, pos in zip(frame["row"], _texts(frame), frame["pos"]):
                 big = window_hashes(word_hashes(text), twice).view(np.int64)
                 at = np.asarray(pos, np.int64)
                 right, left = at[at < len(big)], at[(at >= seed) & (at - seed < len(big))]
@@ -138,11 +134,11 @@ def _extend(n: int, seed: int):
 
 
 def _windows(n: int, seed: int):
-    """Rows (doc_id, pos, hash): windows of ``n`` words all of whose extended anchors are repeated."""
+    """Rows (row, pos, hash, hash2): windows of ``n`` words all of whose extended anchors are repeated."""
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, text, sides in zip(frame["doc_id"], _texts(frame), frame["sides"]):
+            for doc, text, sides in zip(frame["row"], _texts(frame), frame["sides"]):
                 h = word_hashes(text)
                 anchor = anchors(h, n, seed)
                 start = np.arange(len(anchor))
@@ -152,18 +148,18 @@ def _windows(n: int, seed: int):
                 offset = anchor - start
                 good = ((offset > n - 2 * seed) | known[0, anchor]) & ((offset < seed) | known[1, anchor])
                 at = start[good]
-                rows.append((doc, at, window_hashes(h, n)[at].view(np.int64)))
-            yield _table(rows, ["pos", "hash"])
+                rows.append((doc, at, window_hashes(h, n)[at].view(np.int64), window_hashes(word_hashes(text, 1), n)[at].view(np.int64)))
+            yield _table(rows, ["pos", "hash", "hash2"])
 
     return windows
 
 
 def _cut(n: int):
-    """Rows (doc_id, n_removed, kept_sha256) of documents with repeated windows."""
+    """Rows (row, n_removed, kept_sha256) of documents with repeated windows."""
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, text, pos in zip(frame["doc_id"], _texts(frame), frame["pos"]):
+            for doc, text, pos in zip(frame["row"], _texts(frame), frame["pos"]):
                 words = text.split()
                 step = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(np.asarray(pos, np.int64))
@@ -172,7 +168,7 @@ def _cut(n: int):
                 gone = np.cumsum(step)[:-1] > 0
                 kept = b" ".join([w for w, g in zip(words, gone) if not g])
                 out.append((doc, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_removed", "kept_sha256", "kept"])
+            yield pd.DataFrame(out, columns=["row", "n_removed", "kept_sha256", "kept"])
 
     return cut
 
@@ -194,40 +190,42 @@ def remove_repeats(docs: DataFrame, n: int = 35) -> DataFrame:
     the input.  Returns (doc_id, n_words, n_removed, kept, kept_sha256): kept, the
     kept words joined by single spaces, is null where nothing was removed and the
     text stands; kept_sha256 is its hash in either case.  ``n`` is 4 or more.
+    Every row is a document of its own, whatever its doc_id: rows with null or repeated
+    ids are judged, counted and returned like others, once each.
     Null or empty texts have no words; a text of fewer than ``n`` words has no
-    window and stays, copies included; equal texts of ``n`` words or more all
-    lose every word.  doc_id must be unique and not null; other columns are not
-    read; an empty table gives an empty result.
+    window and stays, copies included; equal texts of ``n`` words or more, so also repeated
+    rows, all lose every word.  Texts of any length are read whole, one at a time.  Windows
+    are equal when 128 bits are; fewer bits decide only what is looked at again.  Other
+    columns are not read; an empty table gives an empty result.
     """
     stage = Staging(docs.sparkSession)
     seed = -(-n // 4)
-    read = docs.select("doc_id", "text").where("doc_id is not null")
-    ids = read.schema["doc_id"].dataType.simpleString()
-    scanned = stage.save(read.mapInPandas(
-        _scan(n, seed), f"doc_id {ids}, n_words long, sha string, pos array<int>, hash array<bigint>"), "scan")
-    classes = stage.save(scanned.where(f"n_words >= {n}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.select(F.col("doc_id").cast("string").alias("doc"), "text")
+    scanned = stage.save(read.mapInPandas(_scan(n, seed), "doc string, n_words long, sha string, pos array<int>, hash array<bigint>, z binary")
+                         .withColumn("row", F.monotonically_increasing_id()), "scan")
+    classes = stage.save(scanned.where(f"n_words >= {n}").groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
                          .where("copies > 1"), "classes")
-    info = stage.save(scanned.select("doc_id", "n_words", "sha").join(classes, "sha", "left"), "info")
-    later = info.where("doc_id <> first").select("doc_id")
-    first = scanned.select("doc_id", F.arrays_zip("pos", "hash").alias("a")).join(later, "doc_id", "left_anti")
-    seeds = stage.save(unnest(first, "a", "a", "doc_id").select("doc_id", "a.pos", "a.hash"), "seeds")
+    info = stage.save(scanned.select("row", "doc", "n_words", "sha").join(classes, "sha", "left"), "info")
+    later = info.where("row <> first").select("row")
+    first = scanned.select("row", F.arrays_zip("pos", "hash").alias("a")).join(later, "row", "left_anti")
+    seeds = stage.save(unnest(first, "a", "a", "row").select("row", "a.pos", "a.hash"), "seeds")
 
     def with_texts(found: DataFrame, texts: DataFrame) -> DataFrame:
-        return texts.join(found, "doc_id")
+        return texts.join(found, "row")
 
-    by_doc = stage.save(repeated(seeds, ["hash"], stage, "seed-counts").groupBy("doc_id").agg(F.collect_list("pos").alias("pos")), "seeded")
-    packed = read.mapInPandas(_pack, f"doc_id {ids}, z binary")
-    live = stage.save(with_texts(by_doc, packed), "live")
-    wider = stage.save(live.mapInPandas(_extend(n, seed), f"doc_id {ids}, pos int, side int, hash long"), "wider")
-    sides = (repeated(wider, ["hash", "side"], stage, "wider-counts").groupBy("doc_id")
+    by_row = stage.save(repeated(seeds, ["hash"], stage, "seed-counts").groupBy("row").agg(F.collect_list("pos").alias("pos")), "seeded")
+    live = stage.save(with_texts(by_row, scanned.select("row", "z")), "live")
+    wider = stage.save(live.mapInPandas(_extend(n, seed), "row long, pos int, side int, hash long"), "wider")
+    sides = (repeated(wider, ["hash", "side"], stage, "wider-counts").groupBy("row")
              .agg(F.collect_list(F.col("pos") * 2 + F.col("side")).alias("sides")))
-    texts = live.select("doc_id", "z")
-    full = stage.save(with_texts(sides, texts).mapInPandas(_windows(n, seed), f"doc_id {ids}, pos int, hash long"), "windows")
-    spots = repeated(full, ["hash"], stage, "window-counts").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    cut = with_texts(spots, texts).mapInPandas(_cut(n), f"doc_id {ids}, n_removed long, kept_sha256 string, kept string")
+    texts = live.select("row", "z")
+    full = stage.save(with_texts(sides, texts).mapInPandas(_windows(n, seed), "row long, pos int, hash long, hash2 long"), "windows")
+    spots = repeated(full, ["hash", "hash2"], stage, "window-counts").groupBy("row").agg(F.collect_list("pos").alias("pos"))
+    cut = with_texts(spots, texts).mapInPandas(_cut(n), "row long, n_removed long, kept_sha256 string, kept string")
     copy = F.col("copies").isNotNull()
-    return info.join(cut, "doc_id", "left").select(
-        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+    return info.join(cut, "row", "left").select(
+        F.col("doc").cast(ids).alias("doc_id"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
 

@@ -287,6 +287,22 @@ def test_repeats_match_brute_force(spark, odd_documents, n):
     assert remove_repeats(odd_documents.limit(0), n).count() == 0
 
 
+def test_repeats_of_rows_with_null_and_repeated_ids(spark):
+    fifty, other = " ".join(f"p{i}" for i in range(50)), " ".join(f"o{i}" for i in range(40))
+    rows = [(1, fifty + " end"), (None, "start " + fifty), (None, "start " + fifty), (2, other), (2, other + " more"), (3, "x y z"), (3, None), (4, " ".join(f"u{i}" for i in range(99)))]
+    want = Counter((d, *v) for (d, _), v in zip(rows, brute_repeats(list(enumerate(t for _, t in rows)), 35).values()))
+    out = remove_repeats(spark.createDataFrame([(*r, 7, "r") for r in rows], "doc_id long, text string, row int, doc string"))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()) == want
+    assert sorted(n for d, _, n, _ in want.elements() if d in (1, None)) == [50, 51, 51]
+
+
+def test_scores_of_rows_with_null_and_repeated_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c d"), (None, "a b"), (None, None), (2, "a b c"), (2, "a b c"), (2**60 + 1, "c")]
+    out = lbl.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.coalesce(F.col("doc_id") != 2, F.lit(True))).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter((d, len(spaced(t)) + 1) for d, t in rows)
+    assert all(r.train_tokens == 4 + 5 + 3 + 1 + 2 for r in out) and len({(r.base_score, r.score) for r in out if r.n_tokens == 4}) == 1
+
+
 def test_language_mixtures(spark, odd_documents):
     train = spark.createDataFrame([("the cat and the dog of the house", "en")] * 5 + [("der hund und die katze im haus", "de")] * 5 + [(None, "en"), ("x", None)], "text string, lang string")
     rows = [(1, "the dog and the cat"), (2, "die katze und der hund"), (3, "the dog of the house und der hund im haus die katze the cat and"), (4, "123 !!"), (5, None)]
