@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from ringwarden.plans import calls, corpus, evaluation, transcripts
+from ringwarden.plans import calls, corpus, evaluation, preparation, transcripts
 from ringwarden.streaming import live, services, sessions
 
 ENTRY = "top_suspected"
-QUERIES = {**calls.QUERIES, **corpus.QUERIES, **evaluation.QUERIES, **transcripts.QUERIES, **live.QUERIES, **sessions.QUERIES, **services.QUERIES}
-ORACLES = {**calls.ORACLES, **corpus.ORACLES, **evaluation.ORACLES, **transcripts.ORACLES, **live.ORACLES, **sessions.ORACLES, **services.ORACLES}
+QUERIES = {**calls.QUERIES, **corpus.QUERIES, **evaluation.QUERIES, **preparation.QUERIES, **transcripts.QUERIES, **live.QUERIES, **sessions.QUERIES, **services.QUERIES}
+ORACLES = {**calls.ORACLES, **corpus.ORACLES, **evaluation.ORACLES, **preparation.ORACLES, **transcripts.ORACLES, **live.ORACLES, **sessions.ORACLES, **services.ORACLES}
