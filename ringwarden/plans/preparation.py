@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwarden.functions.corrections import corrected
+from ringwarden.operators.baseline import choose_strength, fit_baseline
 from ringwarden.operators.intervals import in_ranges
+from ringwarden.operators.metrics import confusion
 from ringwarden.operators.overlap import similar_to_any
 from ringwarden.plans import corpus as texts
 from ringwarden.session import read_table
@@ -98,3 +100,33 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_committed(spark, folder, "indicators", f"{keys}, code string").groupBy("call_id", "line", "part_id", "supplier_id").agg(F.count(F.lit(1)).alias("indicators"))
     return results.join(found, ["call_id", "line", "part_id", "supplier_id"], "left").select(
         "call_id", "line", "part_id", "supplier_id", "risk_score", "risk_level", F.coalesce("indicators", F.lit(0)).cast("long").alias("indicators"))
+
+
+def labelled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, label, part): texts labelled toxic or not; a fifth each to choose and to test by, the rest to learn from."""
+    part = F.crc32(F.col("id").cast("string").cast("binary")) % 5
+    return texts.corpus(spark, sf_dir).where("label is not null").select("id", "text", "label", F.when(part == 0, "choose").when(part == 1, "test").otherwise("learn").alias("part"))
+
+
+def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and rates of the baseline on the rows to choose by and to test by, for every strength; the chosen one is marked."""
+    rows = Staging(spark).save(labelled_parts(spark, sf_dir), "labelled")
+    model = fit_baseline(rows.where("part = 'learn'"))
+    best, _ = choose_strength(model, rows.where("part = 'choose'"))
+    out = None
+    for c in model.weights:
+        scored = rows.where("part <> 'learn'").withColumn("predicted", (model.probability(F.col("text"), c) >= 0.5).cast("int"))
+        each = confusion(scored, ["part"]).where("part is not null").withColumns({"strength": F.lit(c), "chosen": F.lit(c == best)})
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen baseline's probability for every document."""
+    rows = Staging(spark).save(labelled_parts(spark, sf_dir), "labelled")
+    model = fit_baseline(rows.where("part = 'learn'"))
+    best, _ = choose_strength(model, rows.where("part = 'choose'"))
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.round(model.probability(F.col("text"), best), 6).alias("probability"))
+
+
+QUERIES |= {"baseline_metrics": baseline_metrics, "baseline_scores": baseline_scores}
