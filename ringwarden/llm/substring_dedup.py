@@ -216,11 +216,13 @@ def remove_repeats(docs: DataFrame, n: int = 35) -> DataFrame:
 
     by_row = stage.save(repeated(seeds, ["hash"], stage, "seed-counts").groupBy("row").agg(F.collect_list("pos").alias("pos")), "seeded")
     live = stage.save(with_texts(by_row, scanned.select("row", "z")), "live")
+    stage.drop(scanned, seeds, by_row)
     wider = stage.save(live.mapInPandas(_extend(n, seed), "row long, pos int, side int, hash long"), "wider")
     sides = (repeated(wider, ["hash", "side"], stage, "wider-counts").groupBy("row")
              .agg(F.collect_list(F.col("pos") * 2 + F.col("side")).alias("sides")))
     texts = live.select("row", "z")
     full = stage.save(with_texts(sides, texts).mapInPandas(_windows(n, seed), "row long, pos int, hash long, hash2 long"), "windows")
+    stage.drop(wider)
     spots = repeated(full, ["hash", "hash2"], stage, "window-counts").groupBy("row").agg(F.collect_list("pos").alias("pos"))
     cut = with_texts(spots, texts).mapInPandas(_cut(n), "row long, n_removed long, kept_sha256 string, kept string")
     copy = F.col("copies").isNotNull()
