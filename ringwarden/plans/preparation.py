@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwarden.functions.corrections import corrected
-from ringwarden.operators.baseline import choose_strength, fit_baseline
+from ringwarden.operators.baseline import choose_strength, fit_baseline, predictions
 from ringwarden.operators.intervals import in_ranges
 from ringwarden.operators.metrics import confusion
 from ringwarden.operators.overlap import similar_to_any
@@ -103,9 +103,9 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text, label, part): texts labelled toxic or not; a fifth each to choose and to test by, the rest to learn from."""
+    """(id, text, label, part): texts labelled by their quality; a fifth each to choose and to test by, the rest to learn from."""
     part = F.crc32(F.col("id").cast("string").cast("binary")) % 5
-    return texts.corpus(spark, sf_dir).where("label is not null").select("id", "text", "label", F.when(part == 0, "choose").when(part == 1, "test").otherwise("learn").alias("part"))
+    return texts.corpus(spark, sf_dir).where("quality is not null").select("id", "text", F.col("quality").alias("label"), F.when(part == 0, "choose").when(part == 1, "test").otherwise("learn").alias("part"))
 
 
 def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +113,11 @@ def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Staging(spark).save(labelled_parts(spark, sf_dir), "labelled")
     model = fit_baseline(rows.where("part = 'learn'"))
     best, _ = choose_strength(model, rows.where("part = 'choose'"))
-    out = None
-    for c in model.weights:
-        scored = rows.where("part <> 'learn'").withColumn("predicted", (model.probability(F.col("text"), c) >= 0.5).cast("int"))
-        each = confusion(scored, ["part"]).where("part is not null").withColumns({"strength": F.lit(c), "chosen": F.lit(c == best)})
-        out = each if out is None else out.unionByName(each)
-    return out
+    scored = Staging(spark).save(predictions(model, rows.where("part <> 'learn'")).select("i", "label", "predicted", F.concat_ws(":", "part", "i").alias("case")), "predictions")
+    strengths = F.array(*[F.lit(c) for c in model.weights])
+    part = F.split("case", ":")
+    return (confusion(scored, ["case"]).where("case is not null").withColumns({"part": F.get(part, 0), "strength": F.get(strengths, F.get(part, 1).cast("int"))})
+            .withColumn("chosen", F.col("strength") == F.lit(best)).drop("case"))
 
 
 def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
