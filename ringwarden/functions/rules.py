@@ -228,8 +228,10 @@ def conversation(turns: DataFrame, key: str = "id") -> tuple[DataFrame, DataFram
 
     One who only asks for an account number while another asks for money is about to
     be paid or to pay, so that hit goes.  Two speakers who put pressure on the person
-    called are coordinated.  speakers is (key, speaker, turns, codes).
+    called are coordinated.  speakers is (key, speaker, turns, codes).  A null speaker
+    counts as one without a name, the empty string.
     """
+    turns = turns.withColumn("speaker", F.coalesce("speaker", F.lit("")))
     hits = rule_hits(turns, key, "turn", "speaker")
     hits = hits.withColumn("clause", F.struct("turn", "clause"))
     asks = F.collect_set(F.when(F.col("code") == "SENSITIVE_INFORMATION", F.col("rule"))).alias("asks")

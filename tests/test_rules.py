@@ -65,3 +65,11 @@ def test_conversations(spark):
     assert (2, "SENSITIVE_INFORMATION") in {(r.id, r.code) for r in indicators(df).collect()}
     told = {(r.id, r.speaker): (r.turns, r.codes) for r in speakers.collect()}
     assert told[1, "B"] == (1, []) and told[1, "C"] == (2, ["OTP_REQUEST"]) and told[1, "A"][0] == 2
+
+
+def test_a_speaker_without_a_name(spark):
+    rows = [(2, 0, "A", "Chị chuyển khoản ngay cho shop."), (2, 1, None, "Cho em số tài khoản."), (3, 0, None, "Anh đọc mã OTP cho tôi.")]
+    whole, speakers = conversation(spark.createDataFrame(rows, "id int, turn int, speaker string, text string"))
+    codes = {(r.id, r.code) for r in whole.collect()}
+    assert (2, "SENSITIVE_INFORMATION") not in codes and (2, "MONEY_TRANSFER") in codes and (3, "OTP_REQUEST") in codes
+    assert {(r.id, r.speaker): r.turns for r in speakers.collect()} == {(2, "A"): 1, (2, ""): 1, (3, ""): 1}
