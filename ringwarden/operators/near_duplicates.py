@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringwarden.operators.components import connected_components
 from ringwarden.staging import Staging
 
+#: Central texts of a list grow by this factor each round.
+GROWTH = 4
+
 
 def gram_set(w: Column, n: int = 3) -> Column:
     """Distinct hashed n-grams of a column of words; a shorter list is one gram, an empty one has none.
@@ -19,13 +22,24 @@ def gram_set(w: Column, n: int = 3) -> Column:
             .otherwise(F.array().cast("array<bigint>")))
 
 
+def _open(posts: DataFrame) -> DataFrame:
+    """The rows of ``posts`` whose lists hold another cluster and, by their sizes, possibly a partner."""
+    lists = posts.groupBy("gram").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("size").alias("least"), F.max("most").alias("reach"))
+    return posts.join(lists.where("lo < hi"), "gram").where("size <= reach and least <= most").select(*posts.columns)
+
+
 def near_duplicate_clusters(rows: DataFrame, percent: int = 85, n: int = 3) -> DataFrame:
     """(id, cluster) for ``rows(id, key)``: clusters linked by Jaccard similarity of ``percent`` / 100, named by their least id.
 
     Equal keys are one text to begin with.  Among the rest, two texts that link
     share one of their rarest n-grams (a prefix by document frequency as long as
-    the misses that the similarity allows, plus one), so pairs come from an equal
-    join on those; their overlap is then counted exactly.
+    the misses that the similarity allows, plus one).  What a text holds from that
+    n-gram on bounds the sizes of its partners there.  The list of an n-gram meets
+    its most central texts (with the smallest share of n-grams of their own), fourfold
+    each round; clusters grow together in between, texts of one cluster don't meet
+    again, and a list of one cluster is closed.  So a group of n near copies costs
+    about n pairs; no link between clusters is lost, for a text has met all others of
+    a list, or is in their cluster, before the list closes.  Overlaps are counted exactly.
     """
     stage = Staging(rows.sparkSession)
     texts = stage.save(rows.groupBy("key").agg(F.min("id").alias("rep")), "texts")
@@ -36,16 +50,38 @@ def near_duplicate_clusters(rows: DataFrame, percent: int = 85, n: int = 3) -> D
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = stage.save(grams.join(df, "gram").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
                      .where(F.size("g") * 100 >= F.col("size") * percent), "repeated")
-    room = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("g"))
-    posts = stage.save(per.select("rep", "size", F.explode_outer(F.slice("g", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))["gram"]).alias("gram")).where("gram is not null"), "postings")
-    a = posts.withColumnsRenamed({"rep": "a", "size": "sa"})
-    b = posts.withColumnsRenamed({"rep": "b", "size": "sb"})
-    near = (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
-    pairs = a.join(b, "gram").where("a < b").where(near).select("a", "b", "sa", "sb").distinct()
-    whole = per.select("rep", F.transform("g", lambda x: x["gram"]).alias("g"))
-    both = (pairs.join(whole.withColumnsRenamed({"rep": "a", "g": "ga"}), "a").join(whole.withColumnsRenamed({"rep": "b", "g": "gb"}), "b")
-            .withColumn("n", F.size(F.array_intersect("ga", "gb"))))
-    links = both.where(F.col("n") * 100 >= percent * (F.col("sa") + F.col("sb") - F.col("n"))).select("a", "b")
-    groups = connected_components(links, stage)
-    named = texts.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("cluster"))
+    stage.drop(sets, grams)
+    alone = F.col("size") - F.size("g")
+    room = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    listed = per.select("rep", "size", alone.alias("alone"), F.posexplode_outer(F.slice("g", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))["gram"]).alias("i", "gram"))
+    rest = F.col("size") - F.col("alone") - F.col("i")
+    posts = stage.save(listed.where("gram is not null").select(
+        "gram", "rep", "size", (F.floor(rest * (100 + percent) / percent) - F.col("size")).alias("most"), (F.col("alone") / F.col("size")).alias("own"), F.col("rep").alias("cluster")), "postings")
+    whole = per.select("rep", "size", F.transform("g", lambda x: x["gram"]).alias("g"))
+    names, pivots = stage.save(per.select("rep", F.col("rep").alias("cluster")), "names"), 1
+    while True:
+        live = stage.save(_open(posts), "open")
+        stage.drop(posts)
+        if live.isEmpty():
+            break
+        central = Window.partitionBy("gram").orderBy("own", "rep")
+        pivot = stage.save(live.withColumn("k", F.row_number().over(central)).where(F.col("k") <= pivots)
+                           .select("gram", *[F.col(c).alias(f"p_{c}") for c in ("rep", "size", "most", "cluster")]), "pivots")
+        met = live.join(pivot, "gram").where("cluster <> p_cluster and size <= p_most and p_size <= most")
+        pairs = stage.save(met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"),
+                                      F.least("cluster", "p_cluster").alias("ca"), F.greatest("cluster", "p_cluster").alias("cb")).distinct(), "pairs")
+        both = (pairs.join(whole.withColumnsRenamed({"rep": "a", "g": "ga", "size": "sa"}), "a").join(whole.withColumnsRenamed({"rep": "b", "g": "gb", "size": "sb"}), "b")
+                .withColumn("n", F.size(F.array_intersect("ga", "gb"))))
+        links = stage.save(both.where(F.col("n") * 100 >= percent * (F.col("sa") + F.col("sb") - F.col("n"))).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        left = live.join(pivot.select("gram", F.col("p_rep").alias("rep")), ["gram", "rep"], "left_anti")
+        if not links.isEmpty():
+            # Clusters link, not texts: what was contracted before stays so.
+            grown = connected_components(links, stage).select(F.col("id").alias("cluster"), "component")
+            moved = F.coalesce("component", "cluster").alias("cluster")
+            names = stage.save(names.join(grown, "cluster", "left").select("rep", moved), "names")
+            left = left.join(grown, "cluster", "left").select("gram", "rep", "size", "most", "own", moved)
+        posts = stage.save(left, "postings")
+        stage.drop(live, pivot, pairs)
+        pivots *= GROWTH
+    named = texts.join(names, "rep", "left").select("key", F.coalesce("cluster", "rep").alias("cluster"))
     return rows.join(named, "key").select("id", "cluster")

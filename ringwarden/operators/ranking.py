@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringwarden.staging import Staging
+
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, buckets: int,
                 name: str = "rank") -> DataFrame:
@@ -25,3 +27,16 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     return (ranked.join(offsets, [*keys, "_bucket"])
             .withColumn(name, (F.col("_inside") + F.col("_before")).cast("long"))
             .drop("_bucket", "_inside", "_before"))
+
+
+def rank_by_range(df: DataFrame, keys: list[str], column: str, name: str = "rank") -> DataFrame:
+    """Number the rows of each key from 0 in the order of ``column``, nulls first; equal values in any order.
+
+    Rows are cut into ranges of about equal numbers of rows, whatever the values
+    are: small, sparse, negative or text.  So neither the span of the values nor the
+    size of a key decides how much a task sorts.
+    """
+    spark = df.sparkSession
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = Staging(spark).save(df.repartitionByRange(slices, column).withColumn("_slice", F.spark_partition_id()), "ranges")
+    return rank_within(cut, keys, [F.col(column)], F.col("_slice"), slices, name).drop("_slice")

@@ -306,11 +306,9 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT floor((row_number() OVER (ORDER BY id) - 1) / 100)::BIGINT AS batch, id FROM users""")
 def send_batches(spark: SparkSession, sf_dir: str, size: int = 100) -> DataFrame:
     """Users in batches of ``size`` by id."""
-    from ringwarden.operators.ranking import rank_within
+    from ringwarden.operators.ranking import rank_by_range
 
-    people = users(spark, sf_dir).select("id").withColumn("all", F.lit(0))
-    # Slices are ranges of ids, so that the order of slices is the order of ids.
-    ranked = rank_within(people, ["all"], [F.col("id")], F.floor(F.col("id") / 10_000), 1 << 30, "place")
+    ranked = rank_by_range(users(spark, sf_dir).select("id").withColumn("all", F.lit(0)), ["all"], "id", "place")
     return ranked.select(F.floor(F.col("place") / size).cast("long").alias("batch"), "id")
 
 

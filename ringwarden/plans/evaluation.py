@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ringwarden.operators.ranking import rank_within
+from ringwarden.operators.ranking import rank_by_range
 from ringwarden.plans import corpus as texts
 from ringwarden.session import read_table
 from ringwarden.sources import domain
@@ -107,15 +107,15 @@ def mode_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most.select("text_hash", "m.lang", "m.n")
 
 
-def by_id(rows: DataFrame, keys: list[str], slice_rows: int = 10_000) -> DataFrame:
-    """Number the rows of each key from 0 in order of ``id``, in slices of the range of ids."""
-    return rank_within(rows, keys, [F.col("id")], F.floor(F.col("id") / slice_rows), 1 << 30)
+def by_id(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Number the rows of each key from 0 in order of ``id``, in ranges of about equal numbers of rows."""
+    return rank_by_range(rows, keys, "id")
 
 
 @query(texts.DEDUP + "SELECT id, row_number() OVER (ORDER BY id) % 5 = 0 AS holdout FROM kept", texts.PRELUDE)
 def every_fifth(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     """Every ``n``-th text, in order of ids and without exact copies, is held out."""
-    kept = Staging(spark).save(texts.deduplicated(spark, sf_dir).select("id", F.lit(0).alias("all")), "kept")
+    kept = texts.deduplicated(spark, sf_dir).select("id", F.lit(0).alias("all"))
     return by_id(kept, ["all"]).select("id", ((F.col("rank") + 1) % n == 0).alias("holdout"))
 
 

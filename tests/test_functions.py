@@ -1,5 +1,6 @@
 """Scalar functions, scores and metrics on fixed cases."""
 
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,9 @@ from ringwarden.functions import scalar
 from ringwarden.functions.risk import call_probability, risk, token_windows
 from ringwarden.operators.components import connected_components
 from ringwarden.operators.metrics import nearest_rank, word_error_rate, word_errors
+from ringwarden.operators import near_duplicates as nd
 from ringwarden.operators.near_duplicates import near_duplicate_clusters
+from ringwarden.operators.ranking import rank_by_range
 from ringwarden.operators.ranking import rank_within
 from ringwarden.staging import Staging
 
@@ -90,3 +93,68 @@ def test_near_duplicates(spark):
     rows = [(1, base), (2, "quite another text of its own"), (3, base + " more"), (4, base)]
     out = {r.id: r.cluster for r in near_duplicate_clusters(spark.createDataFrame(rows, "id long, key string")).collect()}
     assert out == {1: 1, 2: 2, 3: 1, 4: 1}
+
+
+def test_near_copies_meet_about_once(spark, monkeypatch):
+    """Clusters equal brute force, chains and template texts too; twice the copies meet in about twice the pairs."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    base, blocks = [word() for _ in range(120)], [[word() for _ in range(8)] for _ in range(8)]
+
+    def copies(n):
+        out = []
+        for _ in range(n):
+            w = list(base)
+            w[rng.randrange(3, 117)] = word()
+            out.append(w)
+        return out
+
+    chain = [[word() for _ in range(60)]]
+    for k in range(6):
+        chain.append(chain[-1][2:] + [word(), word()])
+    templates = [sum(rng.sample(blocks, 4), []) + [word()] for _ in range(40)]
+    met = []
+
+    def counted(n, others):
+        texts = copies(n) + others
+        rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+        saved = nd.Staging.save
+
+        def save(self, df, name):
+            out = saved(self, df, name)
+            if name == "pairs":
+                met.append(out.count())
+            return out
+
+        monkeypatch.setattr(nd.Staging, "save", save)
+        got = {r.id: r.cluster for r in near_duplicate_clusters(spark.createDataFrame(rows, "id long, key string")).collect()}
+        monkeypatch.setattr(nd.Staging, "save", saved)
+        sets = [{tuple(w[i:i + 3]) for i in range(len(w) - 2)} for w in texts]
+        parent = list(range(len(texts)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(texts)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    x, y = sorted((root(i), root(j)))
+                    parent[y] = x
+        assert got == {i: root(i) for i in range(len(texts))}
+        pairs, met[:] = sum(met), []
+        return pairs
+
+    counted(30, chain + templates)
+    small, large = counted(100, []), counted(200, [])
+    assert small < 100 * 99 / 4 and large < 2.5 * small
+
+
+def test_ranks_by_range_of_any_values(spark):
+    ids = [-(10 ** 18), 5, 3 * 10 ** 18, 2 ** 62, 17, 16, None] + list(range(100, 400)) + [10 ** 15 * k for k in range(1, 200)]
+    rows = [(i, k % 2) for k, i in enumerate(ids)]
+    got = {(r.id, r.k): r["rank"] for r in rank_by_range(spark.createDataFrame(rows, "id long, k int"), ["k"], "id").collect()}
+    for k in (0, 1):
+        order = sorted((i for i, j in rows if j == k), key=lambda i: (i is not None, i or 0))
+        assert [got[i, k] for i in order] == list(range(len(order)))
