@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringwarden.functions.transcripts import normalised
+from ringwarden.staging import Staging
 
 #: Indicator codes in the order of reports.
 CODES = ["OTP_REQUEST", "MONEY_TRANSFER", "BANK_IMPERSONATION", "AUTHORITY_IMPERSONATION", "URGENCY", "ACCOUNT_LOCK_THREAT", "SENSITIVE_INFORMATION",
@@ -28,15 +29,20 @@ MOST_EVIDENCE = 3
 #: Words of the longest phrase of the lexicon.
 LONGEST = 4
 
-#: Kinds of phrases, in everyday Vietnamese.
+#: Kinds of phrases, in everyday Vietnamese, with tone marks where the normal form puts them.
 LEXICON = {
     "speaker": ["tôi", "em", "mình", "bên em", "bên tôi", "bên này", "chúng tôi", "chúng em", "đây là"],
     "calls from": ["gọi từ", "gọi đến từ", "là nhân viên", "nhân viên", "bên"],
     "officer of": ["gọi từ", "là cán bộ", "là điều tra viên", "bên"],
-    "bank": ["ngân hàng", "tổng đài ngân hàng", "vietcombank", "techcombank", "agribank", "bidv", "vietinbank"],
+    "bank": ["ngân hàng", "tổng đài ngân hàng", "vietcombank", "techcombank", "agribank", "bidv", "vietinbank", "acb", "sacombank"],
+    "staff": ["là nhân viên", "là chuyên viên", "là cán bộ"],
+    "bank desk": ["đây là tổng đài", "đây là phòng thẻ"],
     "police": ["công an", "cảnh sát", "viện kiểm sát", "tòa án", "cục thuế", "cơ quan điều tra"],
     "give": ["đọc", "cho", "gửi", "cung cấp", "nhắn", "báo", "nói", "đưa", "xác nhận"],
-    "code": ["otp", "mã otp", "mã xác thực", "mã xác nhận", "mã bảo mật", "mã code"],
+    "code": ["otp", "mã otp", "mã xác thực", "mã xác nhận", "mã bảo mật", "mã code", "ô tê pê", "o t p"],
+    "fresh code": ["mã vừa gửi", "mã vừa về", "một mã", "mã sáu số"],
+    "to me": ["cho em", "cho tôi", "cho cháu", "cho mình", "cho bên em", "cho chúng tôi", "giúp em", "giúp tôi", "giúp cháu"],
+    "read out": ["đọc", "đọc lại", "báo", "báo lại", "nhắn", "nhắn lại"],
     "type in": ["nhập"],
     "page": ["vào đường link", "vào link", "vào trang"],
     "password": ["mật khẩu", "mã pin", "số thẻ", "mã cvv", "tên đăng nhập"],
@@ -50,6 +56,34 @@ LEXICON = {
     "account": ["tài khoản", "thẻ", "sim", "số điện thoại"],
     "be": ["sẽ bị", "sắp bị", "bị", "sẽ không bị", "không bị", "chưa bị"],
     "locked": ["khóa", "phong tỏa", "đóng băng", "cắt"],
+    "photograph": ["chụp", "chụp ảnh", "quay"],
+    "bank card": ["thẻ ngân hàng", "thẻ atm", "thẻ tín dụng", "thẻ visa"],
+    "send": ["gửi"],
+    "digits on": ["số trên", "từng số trên", "dãy số trên"],
+    "film": ["quay video", "quay phim", "quay clip"],
+    "face": ["khuôn mặt", "gương mặt"],
+    "let me know": ["cho cháu biết", "cho em biết", "cho tôi biết", "kê khai", "khai báo"],
+    "holdings": ["còn bao nhiêu tiền", "có bao nhiêu tiền", "số dư"],
+    "bank sign-in": ["đăng nhập ngân hàng", "nhập tài khoản"],
+    "move": ["chuyển", "nộp", "gửi"],
+    "sum": ["triệu", "nghìn", "tỷ", "toàn bộ tiền", "toàn bộ số tiền"],
+    "into": ["vào tài khoản", "sang tài khoản", "qua tài khoản"],
+    "of theirs": ["của cán bộ", "của thầy", "của chúng tôi", "của bên em", "ký qũy", "tạm giữ", "an toàn"],
+    "unless": ["nếu không", "nếu anh không", "nếu chị không", "nếu bác không"],
+    "within": ["trong vòng", "trong"],
+    "time": ["phút", "giờ", "tiếng"],
+    "or none": ["kẻo hết suất", "kẻo hết hạn", "sắp hết suất"],
+    "between us": ["việc này kín", "chuyện này kín", "giữ kín chuyện này", "giữ kín việc này"],
+    "speak out": ["nói ra", "kể ra", "để lộ"],
+    "send people": ["cho người đến", "cho người tới", "cho người qua"],
+    "house": ["nhà", "tận nhà"],
+    "pictures": ["gửi hình", "gửi ảnh", "gửi clip"],
+    "contacts": ["hết danh bạ", "cả danh bạ", "toàn bộ danh bạ"],
+    "leak": ["tung ảnh", "tung clip", "tung video", "tung hình"],
+    "give back": ["chuyển lại", "nhận lại", "hoàn lại"],
+    "twice": ["gấp đôi", "gấp ba"],
+    "top up": ["nạp tiền"],
+    "as told": ["theo hướng dẫn"],
     "prosecution": ["lệnh bắt", "khởi tố", "truy tố", "lệnh truy nã", "bắt tạm giam"],
     "involved": ["liên quan", "dính"],
     "crime": ["rửa tiền", "ma túy", "vụ án", "đường dây"],
@@ -76,25 +110,48 @@ REQUEST = ["denied", "by speaker", "done", "own"]
 RULES = [
     ("read-code", "OTP_REQUEST", "HIGH", [("give", 0), ("code", 4)], 0, REQUEST),
     ("code-into-page", "OTP_REQUEST", "HIGH", [("type in", 0), ("code", 3), ("page", 4)], 0, REQUEST),
+    ("code-then-read", "OTP_REQUEST", "HIGH", [("code", 0), ("read out", 5), ("to me", 2)], 1, REQUEST),
+    ("fresh-code-then-read", "OTP_REQUEST", "HIGH", [("fresh code", 0), ("read out", 9), ("to me", 2)], 1, REQUEST),
+    ("ask-for-code", "OTP_REQUEST", "HIGH", [("to me", 0), ("code", 2)], 0, REQUEST),
+    ("move-to-theirs", "MONEY_TRANSFER", "HIGH", [("move", 0), ("sum", 4), ("into", 4), ("of theirs", 1)], 0, ["denied", "by speaker", "done"]),
+    ("move-to-safe", "MONEY_TRANSFER", "HIGH", [("move", 0), ("sum", 4), ("holding account", 2)], 0, ["denied", "by speaker", "done"]),
+    ("pay-or-else", "MONEY_TRANSFER", "MEDIUM", [("unless", 0), ("pay", 1)], 0, ["own", "asked"]),
     ("must-pay", "MONEY_TRANSFER", "MEDIUM", [("must", 0), ("pay", 3)], 1, ["denied", "by speaker", "done", "offer", "asked"]),
     ("pay-now", "MONEY_TRANSFER", "MEDIUM", [("pay", 0), ("now", 2)], 0, ["denied", "by speaker", "done", "offer", "asked"]),
     ("pay-to-holding", "MONEY_TRANSFER", "HIGH", [("pay", 0), ("holding account", 4)], 0, ["denied", "by speaker", "done"]),
     ("from-bank", "BANK_IMPERSONATION", "LOW", [("speaker", 0), ("calls from", 3), ("bank", 2)], 1, ["denied", "asked back"]),
+    ("staff-of-bank", "BANK_IMPERSONATION", "LOW", [("speaker", 0), ("staff", 1), ("bank", 6)], 1, ["denied", "asked back"]),
+    ("desk-of-bank", "BANK_IMPERSONATION", "LOW", [("bank desk", 0), ("bank", 1)], 0, ["denied", "asked"]),
+    ("must-within", "URGENCY", "LOW", [("must", 0), ("within", 4), ("time", 3)], 0, ["denied", "by speaker", "asked"]),
+    ("within-or-else", "URGENCY", "LOW", [("within", 0), ("time", 4), ("unless", 2)], 0, ["denied", "asked"]),
+    ("last-places", "URGENCY", "LOW", [("or none", 0)], 0, ["denied", "asked"]),
     ("hurry-pay", "URGENCY", "LOW", [("pay", 0), ("now", 2)], 0, ["denied", "by speaker", "done"]),
     ("hurry-do", "URGENCY", "LOW", [("do", 0), ("now", 3)], 0, ["denied", "by speaker", "done"]),
     ("account-locked", "ACCOUNT_LOCK_THREAT", "MEDIUM", [("account", 0), ("be", 5), ("locked", 2)], 0, ["own", "asked", "denied inside"]),
     ("read-password", "SENSITIVE_INFORMATION", "HIGH", [("give", 0), ("password", 4)], 0, REQUEST),
     ("read-papers", "SENSITIVE_INFORMATION", "MEDIUM", [("give", 0), ("papers", 4)], 0, REQUEST),
     ("give-account-number", "SENSITIVE_INFORMATION", "LOW", [("give", 0), ("account number", 4)], 0, [*REQUEST, "to pay"]),
+    ("photo-of-card", "SENSITIVE_INFORMATION", "HIGH", [("photograph", 0), ("bank card", 5), ("send", 3)], 0, REQUEST),
+    ("digits-on-card", "SENSITIVE_INFORMATION", "HIGH", [("read out", 0), ("digits on", 2), ("bank card", 1)], 0, REQUEST),
+    ("video-of-face", "SENSITIVE_INFORMATION", "MEDIUM", [("film", 0), ("face", 1), ("send", 6), ("to me", 0)], 0, REQUEST),
+    ("tell-holdings", "SENSITIVE_INFORMATION", "MEDIUM", [("let me know", 0), ("holdings", 9)], 0, REQUEST),
     ("from-police", "AUTHORITY_IMPERSONATION", "LOW", [("speaker", 0), ("officer of", 3), ("police", 3)], 1, ["denied", "asked back"]),
     ("prosecuted", "LEGAL_THREAT", "MEDIUM", [("prosecution", 0)], 0, ["denied", "asked"]),
     ("involved-in-crime", "LEGAL_THREAT", "MEDIUM", [("involved", 0), ("crime", 4)], 0, ["denied"]),
     ("tell-nobody", "SECRECY_DEMAND", "MEDIUM", [("do not", 0), ("tell", 2), ("others", 3)], 0, ["about secrets"]),
+    ("between-us", "SECRECY_DEMAND", "MEDIUM", [("between us", 0)], 0, ["denied", "asked"]),
+    ("not-speak-out", "SECRECY_DEMAND", "MEDIUM", [("do not", 0), ("speak out", 0)], 0, ["about secrets"]),
+    ("people-to-house", "HARM_THREAT", "MEDIUM", [("send people", 0), ("house", 1)], 0, ["denied just before", "asked"]),
+    ("pictures-to-contacts", "HARM_THREAT", "HIGH", [("pictures", 0), ("contacts", 4)], 0, ["denied just before", "asked"]),
+    ("leak-pictures", "HARM_THREAT", "HIGH", [("leak", 0)], 0, ["denied", "asked"]),
+    ("sign-in-by-link", "REMOTE_ACCESS_REQUEST", "HIGH", [("link", 0), ("bank sign-in", 6)], 0, ["denied", "by speaker", "done"]),
     ("remote-tool", "REMOTE_ACCESS_REQUEST", "HIGH", [("remote tool", 0)], 0, ["denied"]),
     ("install-app", "REMOTE_ACCESS_REQUEST", "MEDIUM", [("install", 0), ("app", 3)], 0, ["denied", "by speaker", "done"]),
     ("open-link", "REMOTE_ACCESS_REQUEST", "MEDIUM", [("open", 0), ("link", 3)], 0, ["denied", "by speaker", "done"]),
     ("share-screen", "REMOTE_ACCESS_REQUEST", "MEDIUM", [("share", 0), ("screen", 2)], 0, ["denied"]),
     ("prize", "FINANCIAL_BAIT", "MEDIUM", [("prize", 0)], 0, ["denied", "asked"]),
+    ("twice-back", "FINANCIAL_BAIT", "MEDIUM", [("give back", 0), ("twice", 2)], 0, ["denied", "asked"]),
+    ("top-up-as-told", "FINANCIAL_BAIT", "MEDIUM", [("top up", 0), ("as told", 1)], 0, ["denied", "by speaker", "done", "asked"]),
     ("sure-profit", "FINANCIAL_BAIT", "MEDIUM", [("profit", 0)], 0, ["denied"]),
     ("buy-cards", "UNUSUAL_PAYMENT", "MEDIUM", [("buy", 0), ("top-up card", 3)], 0, ["denied", "by speaker"]),
     ("handed-over", "CALL_HANDOFF", "LOW", [("hand over", 0), ("colleague", 3)], 0, ["denied"]),
@@ -138,6 +195,7 @@ def _denied() -> Column:
 #: Whether a hit does not count; of a hit with words (its clause), first, anchor, after and question.
 GUARDS: dict[str, Callable[[], Column]] = {
     "denied": _denied,
+    "denied just before": lambda: _in(_before(2), _DENIALS),
     "denied inside": lambda: _in(_matched(), ["không", "chưa"]),
     "by speaker": lambda: F.coalesce(F.element_at(F.filter(F.concat(F.array(F.lit("")), _before(4)), lambda w: ~w.isin(_MODAL)), -1).isin(_SELF), F.lit(False)),
     "done": lambda: _in(_before(1), ["đã", "vừa", "mới"]),
@@ -232,7 +290,7 @@ def conversation(turns: DataFrame, key: str = "id") -> tuple[DataFrame, DataFram
     counts as one without a name, the empty string.
     """
     turns = turns.withColumn("speaker", F.coalesce("speaker", F.lit("")))
-    hits = rule_hits(turns, key, "turn", "speaker")
+    hits = Staging(turns.sparkSession).save(rule_hits(turns, key, "turn", "speaker"), "hits")
     hits = hits.withColumn("clause", F.struct("turn", "clause"))
     asks = F.collect_set(F.when(F.col("code") == "SENSITIVE_INFORMATION", F.col("rule"))).alias("asks")
     each = hits.groupBy(key, "speaker").agg(asks, F.bool_or(F.col("code") == "MONEY_TRANSFER").alias("wants"))

@@ -28,6 +28,45 @@ MORE = [
     (None, set()),
 ]
 
+#: Published requests and threats with a code that they must give.
+ASKED = [
+    ("mã otp vừa về máy anh đọc cho em nhé", "OTP_REQUEST"), ("anh đọc mã ô tê pê cho em", "OTP_REQUEST"), ("đọc cho em mã o t p", "OTP_REQUEST"),
+    ("Chị cho em xin mã OTP vừa gửi về điện thoại.", "OTP_REQUEST"), ("Anh báo lại mã xác nhận cho bên em ạ.", "OTP_REQUEST"),
+    ("Có một mã sáu số gửi về máy chị, chị đọc cho em nhé.", "OTP_REQUEST"), ("mã vừa gửi về máy anh đọc lại giúp em", "OTP_REQUEST"),
+    ("Bên em vừa gửi về điện thoại bác một mã, bác đọc cho cháu.", "OTP_REQUEST"),
+    ("Nếu không chuyển tiền thì hồ sơ sẽ được gửi sang công an.", "MONEY_TRANSFER"), ("Chị chuyển mười hai triệu vào tài khoản của cán bộ thụ lý.", "MONEY_TRANSFER"),
+    ("Cô chuyển tám triệu tiền sắm lễ vào tài khoản của thầy.", "MONEY_TRANSFER"), ("Bác chuyển toàn bộ tiền sang tài khoản ký quỹ tạm thời.", "MONEY_TRANSFER"),
+    ("Anh chuyển toàn bộ tiền vào tài khoản an toàn của chúng tôi.", "MONEY_TRANSFER"),
+    ("Em là nhân viên chăm sóc khách hàng của ngân hàng Vietcombank.", "BANK_IMPERSONATION"), ("Đây là tổng đài ngân hàng Techcombank.", "BANK_IMPERSONATION"),
+    ("Chị phải xác nhận trong vòng 5 phút.", "URGENCY"), ("Trong vòng hai mươi bốn giờ nếu không xử lý tài khoản sẽ bị khóa.", "URGENCY"), ("Anh chuyển ngay kẻo hết suất.", "URGENCY"),
+    ("Anh chụp ảnh thẻ ATM gửi qua Zalo cho em.", "SENSITIVE_INFORMATION"), ("Chị đừng tắt máy, chị đọc từng số trên thẻ ATM cho em.", "SENSITIVE_INFORMATION"),
+    ("Anh quay video khuôn mặt nghiêng trái nghiêng phải gửi cho em để mở khóa tài khoản.", "SENSITIVE_INFORMATION"),
+    ("Chị cho em biết tài khoản chị có bao nhiêu tiền để em khoanh lại.", "SENSITIVE_INFORMATION"),
+    ("Bác bấm vào đường link cháu nhắn rồi đăng nhập ngân hàng để nhận tiền hoàn.", "REMOTE_ACCESS_REQUEST"),
+    ("Việc này kín, chị yên tâm.", "SECRECY_DEMAND"), ("Việc này tôi giúp riêng, đừng nói ra.", "SECRECY_DEMAND"),
+    ("Không trả thì chúng tôi cho người đến tận nhà.", "HARM_THREAT"), ("Em gửi hình chị cho hết danh bạ.", "HARM_THREAT"),
+    ("Chiều tôi chuyển lại gấp đôi.", "FINANCIAL_BAIT"), ("Chị vào nhóm rồi nạp tiền theo hướng dẫn để bé lên hạng.", "FINANCIAL_BAIT"),
+]
+#: Published sentences that ask for nothing.
+HARMLESS = [
+    "Tôi vừa nhận được mã OTP.", "Tôi sẽ đọc mã OTP cho anh.", "Ngân hàng đã gửi mã OTP cho tôi.", "Anh đã đọc mã OTP cho ai chưa?", "Mã OTP của tôi hết hạn rồi.",
+    "Tuyệt đối không cung cấp mã OTP cho bất kỳ ai.", "Đừng đọc mã OTP cho ai, kể cả nhân viên ngân hàng.", "Anh đọc báo đi. Mã OTP là gì vậy?",
+    "Anh đọc mã đơn hàng cho em để em tìm kiện hàng ạ.", "Ngân hàng dặn không đọc mã gửi về máy cho bất kỳ ai.",
+    "Hôm qua có người bảo tôi đọc mã vừa gửi về máy cho họ, tôi cúp máy luôn.", "Tôi chụp ảnh thẻ ngân hàng của tôi để lưu lại cho khỏi quên.",
+    "Đừng chụp thẻ ngân hàng gửi cho ai nhé mẹ.", "Em đọc số trên thẻ thư viện giúp cô để cô ghi sổ mượn sách.", "Tôi quay video khuôn mặt em bé gửi cho bà xem.",
+    "Em ơi cho chị biết tài khoản của tôi còn bao nhiêu tiền với.", "Ngân hàng không bao giờ yêu cầu khách kê khai số dư qua điện thoại.",
+    "Đừng bấm vào đường link lạ rồi đăng nhập ngân hàng nhé bố.", "Tôi đăng nhập ngân hàng và nhập OTP của chính tôi.", "Tôi là khách hàng của ngân hàng.",
+    "Anh là nhân viên ngân hàng à?", "Tôi không phải là nhân viên ngân hàng.", "Tôi sẽ chuyển tiền cho anh vào ngày mai.", "Tôi không chuyển tiền đâu.",
+    "Thông tin của anh được giữ kín theo quy định.", "Shipper giao hàng đến tận nhà cho chị nhé.",
+]
+
+
+def test_requests_and_harmless_sentences(spark):
+    out = found(spark, [t for t, _ in ASKED] + HARMLESS)
+    missed = [t for i, (t, code) in enumerate(ASKED) if code not in out[i]]
+    alarms = [(t, set(out[len(ASKED) + i])) for i, t in enumerate(HARMLESS) if out[len(ASKED) + i]]
+    assert (missed, alarms) == ([], [])
+
 
 def found(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
