@@ -247,46 +247,6 @@ def fail_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.count_if("changed").alias("changed"))
 
 
-REPORTS = """, submitted AS (SELECT id, user_id, caller_number AS phone_number, created_at FROM call_records WHERE id % 5 = 0),
-checked AS (SELECT s.*, row_number() OVER (PARTITION BY user_id, phone_number ORDER BY created_at, id) AS nth, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS pending,
-  EXISTS (SELECT 1 FROM blacklist_numbers b WHERE b.active AND b.phone_number = s.phone_number) AS listed FROM submitted s),
-reports AS (SELECT *, CASE WHEN phone_number IS NULL THEN 'NO_NUMBER' WHEN listed THEN 'ALREADY_BLACKLISTED' WHEN nth > 1 THEN 'ALREADY_REPORTED' WHEN pending > 20 THEN 'TOO_MANY_PENDING' ELSE 'ACCEPTED' END AS outcome FROM checked)
-"""
-
-
-def reports(spark: SparkSession, sf_dir: str, most_pending: int = 20) -> DataFrame:
-    """Submitted reports with the first rule that refuses them, or ACCEPTED."""
-    listed = blacklist_numbers(spark, sf_dir).where("active").select("phone_number", F.lit(True).alias("listed"))
-    sent = call_records(spark, sf_dir).where("id % 5 = 0").withColumnRenamed("caller_number", "phone_number").select("id", "user_id", "phone_number", "created_at")
-    nth = F.row_number().over(Window.partitionBy("user_id", "phone_number").orderBy("created_at", "id"))
-    pending = F.row_number().over(Window.partitionBy("user_id").orderBy("created_at", "id"))
-    return (sent.join(listed, "phone_number", "left").withColumn("nth", nth).withColumn("pending", pending)
-            .withColumn("outcome", F.when(F.col("phone_number").isNull(), "NO_NUMBER").when(F.col("listed"), "ALREADY_BLACKLISTED")
-                        .when(F.col("nth") > 1, "ALREADY_REPORTED").when(F.col("pending") > most_pending, "TOO_MANY_PENDING").otherwise("ACCEPTED")))
-
-
-@query(REPORTS + "SELECT id, user_id, phone_number, outcome FROM reports")
-def validate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every submitted report with its outcome."""
-    return reports(spark, sf_dir).select("id", "user_id", "phone_number", "outcome")
-
-
-@query(REPORTS + "SELECT phone_number, count(*) AS pending, count(DISTINCT user_id) AS reporters, max(created_at) AS last_report FROM reports WHERE outcome = 'ACCEPTED' GROUP BY 1")
-def report_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted reports by number, as reviewers see them."""
-    return (reports(spark, sf_dir).where("outcome = 'ACCEPTED'").groupBy("phone_number")
-            .agg(F.count(F.lit(1)).alias("pending"), F.countDistinct("user_id").alias("reporters"), F.max("created_at").alias("last_report")))
-
-
-@query(REPORTS + """, decided AS (SELECT phone_number, count(*) >= 3 AS approve, min(id) AS first FROM reports WHERE outcome = 'ACCEPTED' GROUP BY 1)
-SELECT r.id, r.phone_number, CASE WHEN d.approve THEN 'APPROVED' WHEN r.id = d.first THEN 'REJECTED' ELSE 'PENDING' END AS status FROM reports r JOIN decided d USING (phone_number) WHERE r.outcome = 'ACCEPTED'""")
-def apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews: approving a number settles all its reports, rejecting settles one."""
-    accepted = reports(spark, sf_dir).where("outcome = 'ACCEPTED'").select("id", "phone_number")
-    decided = accepted.groupBy("phone_number").agg((F.count(F.lit(1)) >= 3).alias("approve"), F.min("id").alias("first"))
-    return accepted.join(decided, "phone_number").select("id", "phone_number", F.when(F.col("approve"), "APPROVED").when(F.col("id") == F.col("first"), "REJECTED").otherwise("PENDING").alias("status"))
-
-
 @query("SELECT id, lower(trim(email)) AS email FROM (SELECT id, '  ' || upper(email) || ' ' AS email FROM users)")
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails in the form by which they are unique."""
