@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwarden.functions.scalar import duplicate_key
 
 
+def length_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, min, p5, p50, p95, max, mean) of a column: nearest ranks, the mean with one decimal; nulls are left out."""
+    ends = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 1).alias("mean"))
+    ranks = nearest_rank(df, keys, value, [0.05, 0.5, 0.95])
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return ends.alias("a").join(ranks.alias("b"), same).select(*[f"a.{k}" for k in keys], "n", "min", "p5", "p50", "p95", "max", "mean")
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """Per key the values at 0-based place ``min(n - 1, floor(q * n))`` of the sorted column, as p<q in percent>.
 
@@ -49,27 +53,28 @@ def confusion(df: DataFrame, groupings: list[str], label: str = "label", predict
                       F.round(f1, 4).alias("f1_1"), F.round(f0, 4).alias("f1_0"), F.round((f1 + f0) / 2, 4).alias("macro_f1"))
 
 
-def word_errors(reference: list[str], hypothesis: list[str]) -> int:
-    """The least number of substituted, deleted and inserted words."""
-    codes: dict[str, int] = {}
-    h = np.array([codes.setdefault(w, len(codes)) for w in hypothesis], np.int64)
-    row = np.arange(len(h) + 1)
-    step = np.arange(len(h) + 1)
-    for i, w in enumerate(reference, 1):
-        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (h != codes.get(w, -1)))])
-        row = np.minimum.accumulate(best - step) + step  # insertions run along the row
-    return int(row[-1])
+def word_errors(reference: Column, hypothesis: Column) -> Column:
+    """The least number of substituted, deleted and inserted words between two arrays of words.
+
+    Each different word of the two becomes a character of its own, in the order of
+    first use, and the edit distance of the two texts of such characters is the
+    answer; there are over a million characters to give.
+    """
+    words = F.array_distinct(F.concat(reference, hypothesis))
+    point = lambda w: F.array_position(words, w) + 255
+    sign = lambda w: F.lpad(F.hex(F.when(point(w) < 0xD800, point(w)).otherwise(point(w) + 0x800)), 8, "0")
+    coded = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, sign), "")), "UTF-32")
+    return F.levenshtein(coded(reference), coded(hypothesis))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Word errors over the number of reference words; null if there is no reference word."""
-    @F.pandas_udf("double")
-    def rate(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ref, hyp in pairs:
-            out = []
-            for a, b in zip(ref, hyp):
-                r = (a or "").split()
-                out.append(word_errors(r, (b or "").split()) / len(r) if r else None)
-            yield pd.Series(out, dtype=float)
-
-    return rate(duplicate_key(reference), duplicate_key(hypothesis))
+    """Word errors over the number of reference words; null if there is no reference word, a null hypothesis has no words."""
+    none = F.array().cast("array<string>")
+    words = lambda t: F.filter(F.coalesce(F.split(duplicate_key(t), " "), none), lambda w: w != "")
+    r, h = words(reference), words(hypothesis)
+    return F.when(F.size(r) > 0, word_errors(r, h) / F.size(r))
+
+
+def mean_word_error(files: DataFrame, keys: list[str], wer: str = "wer") -> DataFrame:
+    """(keys, files, with_reference, mean_wer): files without a rate count as files alone; the mean has 4 decimals, null without any."""
+    return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.count(wer).alias("with_reference"), F.round(F.avg(wer), 4).alias("mean_wer"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringwarden.functions.risk import call_probability, risk, suspicious, token_windows
 from ringwarden.functions.scalar import clean_text, duplicate_key, personal_data, tidy_dots, transcript_style
-from ringwarden.operators.metrics import confusion, nearest_rank, word_error_rate
+from ringwarden.operators.metrics import confusion, length_summary, mean_word_error, word_error_rate
 from ringwarden.operators.near_duplicates import near_duplicate_clusters
 from ringwarden.session import read_table
 from ringwarden.staging import Staging
@@ -164,14 +164,14 @@ def metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion(rows, ["lang", "source"])
 
 
-@query(r""", n AS (SELECT lang, CASE WHEN key = '' THEN 0 ELSE len(string_split(key, ' ')) END AS words FROM corpus),
+@query(r""", n AS (SELECT lang, CASE WHEN key = '' THEN 0 ELSE len(string_split(key, ' ')) END AS words FROM corpus WHERE key IS NOT NULL),
 o AS (SELECT lang, words, row_number() OVER (PARTITION BY lang ORDER BY words) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM n)
-SELECT lang, max(words) FILTER (WHERE i = least(n - 1, CAST(floor(0.05 * n) AS BIGINT))) AS p5, max(words) FILTER (WHERE i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT))) AS p50,
-max(words) FILTER (WHERE i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT))) AS p95 FROM o GROUP BY lang""")
+SELECT lang, count(*) AS n, min(words) AS min, max(words) FILTER (WHERE i = least(n - 1, CAST(floor(0.05 * n) AS BIGINT))) AS p5, max(words) FILTER (WHERE i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT))) AS p50,
+max(words) FILTER (WHERE i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT))) AS p95, max(words) AS max, round(avg(words), 1) AS mean FROM o GROUP BY lang""")
 def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles of words by language."""
-    rows = corpus(spark, sf_dir).select("lang", F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", " "))).alias("words"))
-    return nearest_rank(rows, ["lang"], "words", [0.05, 0.5, 0.95])
+    """Words by language: least, nearest-rank percentiles, most and mean."""
+    rows = corpus(spark, sf_dir).select("lang", F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", " "))).alias("words")).where(F.col("key").isNotNull())
+    return length_summary(rows, ["lang"], "words")
 
 
 @query("""SELECT lang, source, count(*) FILTER (WHERE label = 0) AS normal, count(*) FILTER (WHERE label = 1) AS phishing, count(*) AS total FROM corpus WHERE label IS NOT NULL GROUP BY GROUPING SETS ((), (lang), (source))""")
@@ -263,12 +263,32 @@ def speaker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.size(F.split(F.trim("text"), " "))).cast("long").alias("pieces"))
 
 
-@query()
+WORD_ERRORS = r""", t AS (SELECT conv_id, turn, role, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM conversations),
+p AS (SELECT row_number() OVER () AS pair, h.conv_id, h.turn, h.role, r.text IS NOT NULL AS given, coalesce(r.w, []) AS r, coalesce(h.w, []) AS h FROM t h LEFT JOIN t r ON r.conv_id = h.conv_id AND r.turn = h.turn + 1),
+dp(pair, i, j, v) AS (SELECT pair, 0, unnest(range(len(h) + 1)), unnest(range(len(h) + 1)) FROM p WHERE len(r) > 0
+  UNION ALL SELECT pair, i + 1, j, j + min(best - j) OVER (PARTITION BY pair ORDER BY j) FROM (
+    SELECT d.pair, d.i, d.j, least(d.v + 1, CASE WHEN d.j > 0 THEN lag(d.v) OVER (PARTITION BY d.pair ORDER BY d.j) + (p.h[d.j] <> p.r[d.i + 1])::INT END) AS best FROM dp d JOIN p USING (pair) WHERE d.i < len(p.r))),
+rates AS (SELECT p.conv_id, p.turn, p.role, d.v / len(p.r) AS wer FROM p LEFT JOIN dp d ON d.pair = p.pair AND d.i = len(p.r) AND d.j = len(p.h) AND len(p.r) > 0)
+"""
+
+
+def turn_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, role, wer): every turn against the next as its reference; the last turn has none."""
+    t = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    return t.join(nxt, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", word_error_rate(F.col("reference"), F.col("text")).alias("wer"))
+
+
+@query(WORD_ERRORS + "SELECT conv_id, turn, round(wer, 6) AS wer FROM rates")
 def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word error rate of the first of two turns of a conversation against the second."""
-    t = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
-    return t.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", word_error_rate(F.col("text"), F.col("other")).alias("wer"))
+    """Word error rate of every turn against the next."""
+    return turn_errors(spark, sf_dir).select("conv_id", "turn", F.round("wer", 6).alias("wer"))
+
+
+@query(WORD_ERRORS + "SELECT role, count(*) AS files, count(wer) AS with_reference, round(avg(wer), 4) AS mean_wer FROM rates GROUP BY role")
+def mean_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean word error rate by role, with the turns that have a reference and all turns."""
+    return mean_word_error(turn_errors(spark, sf_dir), ["role"])
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN regexp_full_match(t, '[.\s]*') THEN '' ELSE t END AS tidy FROM (SELECT conv_id, turn, trim(regexp_replace(replace(text, ',', ' ...'), '(\s*\.){3,}', '.', 'g')) AS t FROM conversations)""")

@@ -81,6 +81,11 @@ d AS (SELECT doc_id AS id, string_split(trim(regexp_replace(regexp_replace(regex
 s AS (SELECT * FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] || ' ' || w[i + 1] IN ('the of', 'the and', 'and the', 'der die')),
 m AS (SELECT s.id, p.phrase_id, string_split(array_to_string(w[greatest(i - 6, 1):i - 1], ' '), '|')[-1] AS before FROM s JOIN p ON array_to_string(w[i:i + len(string_split(p.phrase, ' ')) - 1], ' ') = p.phrase)
 SELECT DISTINCT id, phrase_id FROM m WHERE NOT list_has_any(string_split(before, ' '), ['không', 'đừng', 'chớ', 'chưa', 'never', 'not'])""",
+    "stand_in_scores": r"""WITH d AS (SELECT doc_id AS id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), '|', ' '), '[.!…]*\?[.!?…]*', ' || ', 'g'), '[.!…]+', ' | ', 'g'), '[^\p{L}\p{M}\p{N}_|]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT id, w, unnest(range(greatest(0, CAST(ceil((len(w) - 256) / 192.0) AS INTEGER)) + 1)) AS k FROM d),
+p AS (SELECT id, k, pow(len(list_filter(w[192 * k + 1:192 * k + 256], lambda x: len(x) <= 3)) / greatest(1, len(w[192 * k + 1:192 * k + 256])), 2) AS p FROM k),
+t AS (SELECT id, list_reverse_sort(list(p)) AS t FROM p GROUP BY id)
+SELECT id, len(t) AS chunks, round(CASE WHEN len(t) = 1 THEN t[1] ELSE (t[1] + t[2]) / 2 END, 6) AS probability FROM t""",
     "rule_codes": """SELECT doc_id AS id,
 CASE doc_id % 6 WHEN 1 THEN 'OTP_REQUEST,BANK_IMPERSONATION' WHEN 2 THEN 'MONEY_TRANSFER,URGENCY,ACCOUNT_LOCK_THREAT' WHEN 3 THEN 'AUTHORITY_IMPERSONATION,LEGAL_THREAT' WHEN 5 THEN 'SECRECY_DEMAND' ELSE '' END AS codes,
 CASE doc_id % 6 WHEN 1 THEN 'HIGH,LOW' WHEN 2 THEN 'MEDIUM,LOW,MEDIUM' WHEN 3 THEN 'LOW,MEDIUM' WHEN 5 THEN 'MEDIUM' ELSE '' END AS severities FROM documents""",

@@ -1,6 +1,7 @@
 """Scalar functions, scores and metrics on fixed cases."""
 
 import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,8 +66,20 @@ def test_risk_is_monotone_and_bounded(spark):
 
 
 def test_word_errors(spark):
-    assert word_errors("a b c".split(), "a x c d".split()) == 2
-    assert word_errors(["a", "b"], []) == 2
+    def plain(r, h):
+        row = list(range(len(h) + 1))
+        for i, w in enumerate(r, 1):
+            new = [i]
+            for j, x in enumerate(h, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != x)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    pairs = [([rng.choice("abcdefgh") for _ in range(rng.randrange(9))], [rng.choice("abcdefgh") for _ in range(rng.randrange(9))]) for _ in range(200)]
+    pairs += [(["a", "b"], []), ([f"w{i}" for i in range(400)], [f"w{i + i // 50}" for i in range(400)])]
+    df = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(pairs)], "i int, r array<string>, h array<string>")
+    assert {x.i: x.n for x in df.select("i", word_errors(F.col("r"), F.col("h")).alias("n")).collect()} == {i: plain(r, h) for i, (r, h) in enumerate(pairs)}
     assert one(spark, word_error_rate(F.lit("Xin chào anh"), F.lit("xin chào em"))) == pytest.approx(1 / 3)
     assert one(spark, word_error_rate(F.lit(""), F.lit("a"))) is None
 
