@@ -1,4 +1,4 @@
-"""Queries on text corpora: audit, duplicates, splits, scoring, metrics, augmentation, live turns."""
+"""Queries on text corpora: audit, duplicates, splits, scoring, metrics, live turns."""
 
 from __future__ import annotations
 
@@ -295,15 +295,3 @@ def mean_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tidied_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with runs of dots collapsed."""
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", tidy_dots(F.replace("text", F.lit(","), F.lit(" ..."))).alias("tidy"))
-
-
-@query()
-def augmented_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A copy of the texts with words dropped, doubled or followed by a filler, by hashes of place and id; labels stay."""
-    w = F.split("key", " ")
-    roll = lambda i, salt: F.pmod(F.xxhash64(F.col("id"), i, F.lit(salt)), F.lit(1000))
-    noisy = F.flatten(F.transform(w, lambda x, i: F.when(roll(i, "drop") < 70, F.array().cast("array<string>")).when(roll(i, "repeat") < 50, F.array(x, x))
-                                  .when(roll(i, "fill") < 100, F.array(x, F.lit("um"))).otherwise(F.array(x))))
-    chosen = F.pmod(F.xxhash64("id", F.lit("copy")), F.lit(100)) < 45
-    out = corpus(spark, sf_dir).where(F.col("key") != "").where(chosen).select("id", "label", F.size(w).alias("before"), noisy.alias("x"))
-    return out.select("id", "label", "before", F.size("x").alias("after"), F.array_join("x", " ").alias("augmented"))
