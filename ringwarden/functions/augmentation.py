@@ -1,6 +1,7 @@
 """Copies of texts with small changes, as column expressions on arrays of words.
 
-Chance is a hash of a row's key, a purpose and a place, so a copy is the same in every
+Words are a stored column where a function reads them more than once: a lambda computes
+an expression again at every place.  Chance is a hash of a row's key, a purpose and a place, so a copy is the same in every
 run, on every executor and in SQL.  Texts are never changed in their first row.
 """
 
@@ -88,10 +89,9 @@ def toneless(words: Column, key: Column) -> Column:
     return F.transform(words, lambda w, i: F.when(chance(key, F.lit("tone"), i) < BARE, bare(w)).otherwise(w))
 
 
-def with_fillers(text: Column, key: Column) -> Column:
-    """A filler before about 45 % of the sentences; a text of one sentence counts every ten words as one."""
+def with_fillers(text: Column, words: Column, key: Column) -> Column:
+    """A text (and its words) with a filler before about 45 % of the sentences; a text of one sentence counts every ten words as one."""
     sentences = F.split(F.trim(text), r"(?<=[.!?])\s+")
-    words = split_words(text)
     tens = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / SENTENCE), F.lit(0)).cast("int")), lambda k: F.array_join(F.slice(words, k * SENTENCE + 1, SENTENCE), " "))
     parts = F.when(F.size(sentences) < 2, tens).otherwise(sentences)
     said = F.transform(parts, lambda s, i: F.when(chance(key, F.lit("filler"), i) < FILLED, F.concat_ws(" ", pick(FILLERS, key, F.lit("phrase"), i), s)).otherwise(s))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,11 @@ def confusion(df: DataFrame, groupings: list[str], label: str = "label", predict
                       F.round(f1, 4).alias("f1_1"), F.round(f0, 4).alias("f1_0"), F.round((f1 + f0) / 2, 4).alias("macro_f1"))
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression used inside a lambda would be computed at every place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_errors(reference: Column, hypothesis: Column) -> Column:
     """The least number of substituted, deleted and inserted words between two arrays of words.
 
@@ -60,19 +67,22 @@ def word_errors(reference: Column, hypothesis: Column) -> Column:
     first use, and the edit distance of the two texts of such characters is the
     answer; there are over a million characters to give.
     """
-    words = F.array_distinct(F.concat(reference, hypothesis))
-    point = lambda w: F.array_position(words, w) + 255
-    sign = lambda w: F.lpad(F.hex(F.when(point(w) < 0xD800, point(w)).otherwise(point(w) + 0x800)), 8, "0")
-    coded = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, sign), "")), "UTF-32")
-    return F.levenshtein(coded(reference), coded(hypothesis))
+    def distance(pair: Column, words: Column) -> Column:
+        point = lambda w: F.array_position(words, w) + 255
+        sign = lambda w: F.lpad(F.hex(F.when(point(w) < 0xD800, point(w)).otherwise(point(w) + 0x800)), 8, "0")
+        coded = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, sign), "")), "UTF-32")
+        return F.levenshtein(coded(pair["r"]), coded(pair["h"]))
+
+    both = F.struct(reference.alias("r"), hypothesis.alias("h"))
+    return _with(both, lambda p: _with(F.array_distinct(F.concat(p["r"], p["h"])), lambda v: distance(p, v)))
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Word errors over the number of reference words; null if there is no reference word, a null hypothesis has no words."""
     none = F.array().cast("array<string>")
     words = lambda t: F.filter(F.coalesce(F.split(duplicate_key(t), " "), none), lambda w: w != "")
-    r, h = words(reference), words(hypothesis)
-    return F.when(F.size(r) > 0, word_errors(r, h) / F.size(r))
+    both = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
+    return _with(both, lambda p: F.when(F.size(p["r"]) > 0, word_errors(p["r"], p["h"]) / F.size(p["r"])))
 
 
 def mean_word_error(files: DataFrame, keys: list[str], wer: str = "wer") -> DataFrame:

@@ -153,6 +153,6 @@ CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(list_transform(parts, lambda x
 array_to_string(list_transform(w, lambda x, i: CASE WHEN {_chance('id', "'tone'", '(i - 1)')} < {aug.BARE} THEN strip_accents(replace(replace(x, 'đ', 'd'), 'Đ', 'D')) ELSE x END), ' ') AS toneless FROM e""")
 def perturbed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with neighbours swapped, with fillers before sentences, and with tones that were not heard."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    w, key = aug.split_words(F.col("text")), F.col("id")
-    return d.select("id", F.array_join(aug.swapped(w, key), " ").alias("swapped"), aug.with_fillers(F.col("text"), key).alias("filled"), F.array_join(aug.toneless(w, key), " ").alias("toneless"))
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", aug.split_words(F.col("text")).alias("w"))
+    w, key = F.col("w"), F.col("id")  # split once: a lambda would split again at every place
+    return d.select("id", F.array_join(aug.swapped(w, key), " ").alias("swapped"), aug.with_fillers(F.col("text"), w, key).alias("filled"), F.array_join(aug.toneless(w, key), " ").alias("toneless"))

@@ -28,7 +28,7 @@ def test_words_change_within_their_rates(spark):
 def test_short_and_empty_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "  ", "a", "a b", "a b c"] * 40)], "k long, t string")
     w = aug.split_words(F.col("t"))
-    for row in df.select("t", aug.dropped(w, F.col("k")).alias("d"), aug.swapped(w, F.col("k")).alias("s"), aug.with_fillers(F.col("t"), F.col("k")).alias("f")).collect():
+    for row in df.select("t", aug.dropped(w, F.col("k")).alias("d"), aug.swapped(w, F.col("k")).alias("s"), aug.with_fillers(F.col("t"), w, F.col("k")).alias("f")).collect():
         own = (row.t or "").split()
         assert row.d == own and sorted(row.s) == own and (row.f.split()[-len(own):] == own if own else row.f == "")
 
