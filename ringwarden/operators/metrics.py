@@ -55,6 +55,27 @@ def confusion(df: DataFrame, groupings: list[str], label: str = "label", predict
                       F.round(f1, 4).alias("f1_1"), F.round(f0, 4).alias("f1_0"), F.round((f1 + f0) / 2, 4).alias("macro_f1"))
 
 
+def risk_summary(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by label and level, and what the score, the model alone and the rules alone miss and flag wrongly.
+
+    ``df`` holds label (0 or 1), level, probability, flagged and capped.  A level above
+    LOW, a probability from 0.5 and a flag are detections.  Rates have 4 decimals and
+    are null without a denominator; f1 comes from the rounded rates, null if one is 0.
+    """
+    bad, fine = F.col("label") == 1, F.col("label") == 0
+    out = [F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("scam"), F.count_if(fine).alias("normal"), F.count_if("capped").alias("capped")]
+    out += [F.count_if(c & (F.col("level") == x)).alias(f"{n}_{x.lower()}") for n, c in (("scam", bad), ("normal", fine)) for x in ("HIGH", "MEDIUM", "LOW")]
+    for name, said in (("model", F.col("probability") >= 0.5), ("rules", F.col("flagged"))):
+        out += [F.count_if(bad & ~said).alias(f"{name}_missed"), F.count_if(fine & said).alias(f"{name}_flagged")]
+    n = df.groupBy(*keys).agg(*out)
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))
+    caught, wrong = F.col("scam") - F.col("scam_low"), F.col("normal") - F.col("normal_low")
+    n = n.withColumns({"precision": ratio(caught, caught + wrong), "recall": ratio(caught, F.col("scam")), "accuracy": ratio(caught + F.col("normal_low"), F.col("rows")),
+                       "model_accuracy": ratio(F.col("rows") - F.col("model_missed") - F.col("model_flagged"), F.col("rows"))})
+    p, r = F.col("precision"), F.col("recall")
+    return n.withColumn("f1", F.when((p > 0) & (r > 0), F.round(2 * p * r / (p + r), 4)))
+
+
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once: an expression used inside a lambda would be computed at every place."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

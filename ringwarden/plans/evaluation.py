@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ringwarden.functions.risk import risk, suspicious
+from ringwarden.operators.audit import audit_report, audited
+from ringwarden.operators.metrics import risk_summary
 from ringwarden.operators.ranking import rank_by_range
 from ringwarden.plans import corpus as texts
 from ringwarden.session import read_table
@@ -227,3 +230,47 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Staging(spark).base}/lines.json"
     d.write.json(path)
     return read_json_lines(spark, path, d.schema).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), row_digest(*d.columns).alias("digest"))
+
+
+@query(texts.SCORED + """, rated AS (SELECT *, call_id % 2 AS label, CASE WHEN score >= 60 THEN 'HIGH' WHEN score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS level,
+  list_contains(severities, 'HIGH') OR (len(severities) >= 2 AND len(list_filter(severities, lambda s: s <> 'LOW')) > 0) AS flagged, 'set' || (supplier_id % 5) AS of FROM result),
+grouped AS (SELECT *, of AS part FROM rated UNION ALL SELECT *, 'TOTAL tuning' FROM rated WHERE of IN ('set0', 'set1') UNION ALL SELECT *, 'TOTAL final' FROM rated WHERE of NOT IN ('set0', 'set1') UNION ALL SELECT *, 'TOTAL' FROM rated),
+n AS (SELECT part, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS scam, count(*) FILTER (WHERE label = 0) AS normal, count(*) FILTER (WHERE capped) AS capped,
+  count(*) FILTER (WHERE label = 1 AND level = 'HIGH') AS scam_high, count(*) FILTER (WHERE label = 1 AND level = 'MEDIUM') AS scam_medium, count(*) FILTER (WHERE label = 1 AND level = 'LOW') AS scam_low,
+  count(*) FILTER (WHERE label = 0 AND level = 'HIGH') AS normal_high, count(*) FILTER (WHERE label = 0 AND level = 'MEDIUM') AS normal_medium, count(*) FILTER (WHERE label = 0 AND level = 'LOW') AS normal_low,
+  count(*) FILTER (WHERE label = 1 AND p < 0.5) AS model_missed, count(*) FILTER (WHERE label = 0 AND p >= 0.5) AS model_flagged,
+  count(*) FILTER (WHERE label = 1 AND NOT flagged) AS rules_missed, count(*) FILTER (WHERE label = 0 AND flagged) AS rules_flagged FROM grouped GROUP BY part),
+r AS (SELECT *, round((scam - scam_low) / nullif(scam - scam_low + normal - normal_low, 0), 4) AS precision, round((scam - scam_low) / nullif(scam, 0), 4) AS recall,
+  round((scam - scam_low + normal_low) / rows, 4) AS accuracy, round((rows - model_missed - model_flagged) / rows, 4) AS model_accuracy FROM n)
+SELECT *, CASE WHEN precision > 0 AND recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) END AS f1 FROM r""", texts.PRELUDE)
+def risk_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and rates of scored rows for each set and for the totals that sets belong to; a row is counted once in each."""
+    of = F.concat(F.lit("set"), (F.col("supplier_id") % 5).cast("string"))
+    s = texts.scored(spark, sf_dir).withColumns({"r": risk(F.col("codes"), F.col("severities"), F.col("p"), F.col("words")), "of": of})
+    tuning = F.col("of").isin("set0", "set1")
+    rated = s.select((F.col("call_id") % 2).alias("label"), F.col("p").alias("probability"), suspicious(F.col("severities")).alias("flagged"), "r.level", "r.capped",
+                     F.explode(F.array("of", F.when(tuning, "TOTAL tuning").otherwise("TOTAL final"), F.lit("TOTAL"))).alias("part"))
+    return risk_summary(rated, ["part"])
+
+
+CHECKED = texts.PRELUDE + r""", cleaned AS (SELECT id, source, text, label, key, trim(regexp_replace(regexp_replace(text, chr(65279), '', 'g'), '\s+', ' ', 'g')) AS clean FROM corpus),
+early AS (SELECT *, CASE WHEN text IS NULL THEN 'missing_text' WHEN clean = '' THEN 'empty_text' WHEN label IS NULL OR label NOT IN (0, 1) THEN 'invalid_label' END AS early FROM cleaned),
+copies AS (SELECT *, min(id) OVER w AS first, min(label) OVER w <> max(label) OVER w AS differ FROM early WHERE early IS NULL WINDOW w AS (PARTITION BY source, key)),
+checked AS (SELECT id, source, text, clean, early AS reason FROM early WHERE early IS NOT NULL UNION ALL
+  SELECT id, source, text, clean, CASE WHEN differ THEN 'conflicting_label' WHEN id <> first THEN 'exact_duplicate' END FROM copies)
+"""
+
+
+@query("SELECT id, source, reason FROM checked WHERE reason IS NOT NULL", CHECKED)
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a clean corpus leaves out, each with its reason."""
+    return audited(texts.corpus(spark, sf_dir).drop("key")).where("reason is not null").select("id", "source", "reason")
+
+
+@query(f"""SELECT source, count(*) AS rows, count(*) FILTER (WHERE reason = 'missing_text') AS missing_text, count(*) FILTER (WHERE reason = 'empty_text') AS empty_text,
+count(*) FILTER (WHERE reason = 'invalid_label') AS invalid_label, count(*) FILTER (WHERE reason = 'conflicting_label') AS conflicting_label, count(*) FILTER (WHERE reason = 'exact_duplicate') AS exact_duplicate,
+count(*) FILTER (WHERE reason IS NULL) AS kept, count(*) FILTER (WHERE reason IS NULL AND len(string_split(clean, ' ')) < 3) AS short, count(*) FILTER (WHERE reason IS NULL AND len(string_split(clean, ' ')) > 1500) AS long,
+count(*) FILTER (WHERE reason IS NULL AND NOT regexp_matches(text, '{MARKED}')) AS without_marks FROM checked GROUP BY source""", CHECKED)
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit of each source counts."""
+    return audit_report(audited(texts.corpus(spark, sf_dir).drop("key")), MARKED)
