@@ -33,8 +33,8 @@ numbered AS (SELECT *, min(place) OVER (PARTITION BY reporter_id, phone_number)
 outcomes AS (SELECT id, reporter_id, call_id, phone_number, reason, created_at, CASE WHEN number_place > 20 THEN 'TOO_MANY_PENDING_REPORTS' WHEN nth = 1 THEN 'ACCEPTED' ELSE 'NUMBER_ALREADY_REPORTED' END AS outcome FROM numbered
   UNION ALL SELECT id, reporter_id, call_id, phone_number, reason, created_at, refusal FROM checked WHERE refusal IS NOT NULL),
 reports AS (SELECT id, reporter_id, call_id, phone_number, reason, created_at FROM outcomes WHERE outcome = 'ACCEPTED'),
-decisions AS (SELECT 2 * id AS decision_id, id AS report_id, CASE WHEN id % 3 = 0 THEN 'APPROVE' ELSE 'REJECT' END AS verdict, CASE WHEN id % 2 = 0 THEN 'seen ' || id END AS reason, id * 7919 % 10007 AS moment FROM outcomes WHERE id % 3 < 2
-  UNION ALL SELECT 2 * id + 1, id, 'APPROVE', NULL, id * 104729 % 10007 FROM outcomes WHERE id % 7 = 0),
+decisions AS (SELECT 2 * id AS decision_id, id AS report_id, CASE WHEN id % 57 = 0 THEN 'APPROVE' ELSE 'REJECT' END AS verdict, CASE WHEN id % 2 = 0 THEN 'seen ' || id END AS reason, id * 7919 % 10007 AS moment FROM outcomes WHERE id % 3 < 2
+  UNION ALL SELECT 2 * id + 1, id, 'APPROVE', NULL, id * 104729 % 10007 FROM outcomes WHERE id % 133 = 0),
 each AS (SELECT d.*, r.phone_number, r.reason AS reported, row_number() OVER (PARTITION BY report_id ORDER BY moment, decision_id) AS nth FROM decisions d JOIN reports r ON r.id = d.report_id),
 won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phone_number ORDER BY moment, decision_id) AS k FROM each WHERE nth = 1 AND verdict = 'APPROVE') WHERE k = 1),
 states AS (SELECT r.*, CASE WHEN e.verdict = 'REJECT' AND (w.moment IS NULL OR (e.moment, e.decision_id) < (w.moment, w.decision_id)) THEN 'REJECTED' WHEN w.moment IS NOT NULL THEN 'APPROVED' ELSE 'PENDING' END AS status
@@ -71,9 +71,9 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of reviewers by the ids of calls, some on reports that were never taken, some twice on one report."""
     i = F.col("id")
-    one = F.when(i % 3 < 2, F.struct((2 * i).alias("decision_id"), i.alias("report_id"), F.when(i % 3 == 0, "APPROVE").otherwise("REJECT").alias("verdict"),
+    one = F.when(i % 3 < 2, F.struct((2 * i).alias("decision_id"), i.alias("report_id"), F.when(i % 57 == 0, "APPROVE").otherwise("REJECT").alias("verdict"),
                                      F.when(i % 2 == 0, F.concat(F.lit("seen "), i.cast("string"))).alias("reason"), (i * 7919 % 10007).alias("at")))
-    two = F.when(i % 7 == 0, F.struct((2 * i + 1).alias("decision_id"), i.alias("report_id"), F.lit("APPROVE").alias("verdict"), F.lit(None).cast("string").alias("reason"), (i * 104729 % 10007).alias("at")))
+    two = F.when(i % 133 == 0, F.struct((2 * i + 1).alias("decision_id"), i.alias("report_id"), F.lit("APPROVE").alias("verdict"), F.lit(None).cast("string").alias("reason"), (i * 104729 % 10007).alias("at")))
     return call_records(spark, sf_dir).select(F.inline(F.array_compact(F.array(one, two))))
 
 
