@@ -171,3 +171,12 @@ def test_ranks_by_range_of_any_values(spark):
     for k in (0, 1):
         order = sorted((i for i, j in rows if j == k), key=lambda i: (i is not None, i or 0))
         assert [got[i, k] for i in order] == list(range(len(order)))
+
+
+def test_the_oldest_phrases_that_fit_are_in_use(spark):
+    from ringwarden.functions.transcripts import usable_phrases
+
+    rows = [(1, "a b", True, "X", 5), (2, "a b c", True, "X", 3), (3, "one", True, "X", 1), (4, "c d", False, "X", 1), (5, "c d", True, "Z", 1), (6, "e f", True, "Y", 3), (7, "g " * 101, True, "X", 0), (8, None, True, "X", 0)]
+    df = spark.createDataFrame(rows, "phrase_id int, phrase string, active boolean, code string, created_at int")
+    assert [r.phrase_id for r in usable_phrases(df, ["X", "Y"], 2).collect()] == [2, 6]
+    assert [r.phrase_id for r in usable_phrases(df.select("phrase_id", "phrase")).collect()] == [1, 2, 4, 5, 6]
