@@ -1,10 +1,10 @@
 """Explainable indicators of fraud in Vietnamese call transcripts.
 
 A transcript is cut into clauses (rows with an array of words).  A lexicon names
-kinds of phrases; where a phrase stands in a clause is found by a join of word groups
-with the lexicon.  A rule is a row too: kinds that follow each other within so many
-words.  Its hits come from joins of these places clause by clause, its guards are
-expressions over the words around a hit.  Hits are merged by groupBy: the highest
+kinds of phrases; where they stand in a clause is an array beside its words.  A rule
+is a row too: kinds that follow each other within so many words.  Rules meet
+clauses by their first kind, each further kind is looked for among the clause's places,
+guards are expressions over the words around a hit.  Hits are merged by groupBy: the highest
 severity of an indicator, up to three pieces of evidence, the rules' names.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwarden.functions.transcripts import normalised
@@ -210,50 +210,53 @@ GUARDS: dict[str, Callable[[], Column]] = {
 
 def clauses(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, clause, words, question): the clauses of ``texts(keys, text)`` in their normal form."""
-    marked = texts.select(*keys, F.regexp_extract_all(normalised(F.col("text")), F.lit(r"[^|]+(\|\||\||$)"), F.lit(0)).alias("c"))
-    cut = marked.select(*keys, F.posexplode("c").alias("clause", "c"))
-    return cut.select(*keys, "clause", F.split(F.trim(F.regexp_replace("c", r"\|", "")), " ").alias("words"), F.col("c").endswith("||").alias("question")).where("words[0] <> ''")
-
-
-def places(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, kind, first, after): where phrases of the lexicon stand; the lexicon is a table of fixed size."""
-    spark = parts.sparkSession
-    lexicon = spark.createDataFrame([(kind, p) for kind, some in LEXICON.items() for p in some], "kind string, phrase string")
-    leads = sorted({p.split()[0] for some in LEXICON.values() for p in some})
+    marked = texts.select(*keys, F.posexplode_outer(F.regexp_extract_all(normalised(F.col("text")), F.lit(r"[^|]+(\|\||\||$)"), F.lit(0))).alias("clause", "c"))
+    cut = marked.where("c is not null").select(*keys, "clause", F.trim(F.rtrim("c", F.lit("|"))).alias("said"), F.col("c").endswith("||").alias("question"))
+    return cut.where("said <> ''").select(*keys, "clause", F.split("said", " ").alias("words"), "question")
+
+
+def with_places(parts: DataFrame) -> DataFrame:
+    """``parts`` with places, an array of (kind, first, after): where phrases of the lexicon stand.  Clauses without a word that begins a phrase go."""
+    kinds: dict[str, list[str]] = {}
+    for kind, some in LEXICON.items():
+        for p in some:
+            kinds.setdefault(p, []).append(kind)
+    leads = sorted({p.split()[0] for p in kinds})
+    of = F.create_map(*[c for p, some in kinds.items() for c in (F.lit(p), F.array(*[F.lit(k) for k in some]))])
     starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(leads))
     groups = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("words") - i)), lambda n: F.struct(
         i.alias("first"), (i + n).alias("after"), F.array_join(F.slice("words", i + 1, n), " ").alias("phrase")))))
-    return parts.select(*keys, F.explode(groups).alias("g")).select(*keys, "g.*").join(F.broadcast(lexicon), "phrase").select(*keys, "kind", "first", "after")
+    known = F.filter(groups, lambda g: g["phrase"].isin(list(kinds)))
+    found = F.flatten(F.transform(known, lambda g: F.transform(F.element_at(of, g["phrase"]), lambda k: F.struct(k.alias("kind"), g["first"].alias("first"), g["after"].alias("after")))))
+    return parts.where(F.exists("words", lambda w: w.isin(leads))).withColumn("places", found)
 
 
 def rule_hits(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, rule, code, severity, evidence): hits of the rules in ``texts(keys, text)`` that no guard takes back.
 
     Of the hits of a rule that begin at one word the shortest counts.  A null text has none.
+    A clause is a row with its places, so a text is put into its normal form once and
+    only hits are shuffled.
     """
     spark = texts.sparkSession
-    at = [*keys, "clause"]
-    parts = clauses(texts, *keys)
-    found = places(parts, at)
-    steps = [(r[0], k, kind, gap, k == r[4], len(r[3]) == k + 1) for r in RULES for k, (kind, gap) in enumerate(r[3])]
-    table = spark.createDataFrame(steps, "rule string, step int, kind string, gap int, anchored boolean, last boolean")
-    so_far = found.join(F.broadcast(table.where("step = 0")), "kind").select(*at, "rule", "last", "first", "after", F.when(F.col("anchored"), F.col("first")).alias("anchor"))
-    whole = so_far.where("last").drop("last")
+    table = spark.createDataFrame([(r[3][0][0], r[0], r[1], r[2], [k for k, _ in r[3]], [n for _, n in r[3]], r[4], r[5]) for r in RULES],
+                                  "kind string, rule string, code string, severity string, kinds array<string>, gaps array<int>, mark int, guards array<string>")
+    about = [*keys, "clause", "words", "question", "places", "rule", "code", "severity", "kinds", "gaps", "mark", "guards"]
+    placed = with_places(clauses(texts, *keys)).select(*keys, "clause", "words", "question", "places", F.explode_outer("places").alias("p")).where("p is not null")
+    so_far = placed.select("*", F.col("p.kind").alias("kind")).join(F.broadcast(table), "kind").select(
+        *about, F.col("p.first").alias("first"), F.col("p.after").alias("after"), F.when(F.col("mark") == 0, F.col("p.first")).alias("anchor"))
     for k in range(1, max(len(r[3]) for r in RULES)):
-        nxt = found.join(F.broadcast(table.where(F.col("step") == k)), "kind").select(
-            *at, "rule", "gap", "anchored", F.col("last").alias("ends"), F.col("first").alias("then"), F.col("after").alias("until"))
-        met = so_far.where("not last").join(nxt, [*at, "rule"]).where("then >= after and then - after <= gap")
-        so_far = met.select(*at, "rule", F.col("ends").alias("last"), "first", F.col("until").alias("after"), F.when(F.col("anchored"), F.col("then")).otherwise(F.col("anchor")).alias("anchor"))
-        whole = whole.unionByName(so_far.where("last").drop("last"))
-    shortest = Window.partitionBy(*at, "rule", "first").orderBy("after", "anchor")
-    one = whole.withColumn("n", F.row_number().over(shortest)).where("n = 1").drop("n").join(parts, at)
-    about = spark.createDataFrame([(r[0], r[1], r[2], r[5]) for r in RULES], "rule string, code string, severity string, guards array<string>")
-    told = one.join(F.broadcast(about), "rule")
-    back = [F.array_contains("guards", name) & guard() for name, guard in GUARDS.items()]
-    refused = back[0]
-    for other in back[1:]:
-        refused = refused | other
-    return told.where(~refused).select(*keys, "rule", "code", "severity", F.array_join(_matched(), " ").alias("evidence"), "clause", "first")
+        kind, gap, marked = F.get("kinds", F.lit(k)), F.get("gaps", F.lit(k)), F.col("mark") == k
+        then = F.filter("places", lambda p: (p["kind"] == kind) & (p["first"] >= F.col("after")) & (p["first"] - F.col("after") <= gap))  # noqa: B023
+        step = lambda p: F.struct(p["after"].alias("after"), F.when(marked, p["first"]).otherwise(F.col("anchor")).alias("anchor"))  # noqa: B023, E731
+        on = F.when(F.size("kinds") > k, F.transform(then, step)).otherwise(F.array(F.struct("after", "anchor")))
+        so_far = so_far.select(*about, "first", F.explode_outer(on).alias("p")).where("p is not null").select(*about, "first", "p.after", "p.anchor")
+    refused = F.lit(False)
+    for name, guard in GUARDS.items():
+        refused = refused | (F.array_contains("guards", name) & guard())
+    judged = so_far.select(*keys, "clause", "rule", "code", "severity", "first", F.struct("after", "anchor", refused.alias("refused"), F.array_join(_matched(), " ").alias("evidence")).alias("hit"))
+    one = judged.groupBy(*keys, "clause", "rule", "code", "severity", "first").agg(F.min("hit").alias("hit"))
+    return one.where("not hit.refused").select(*keys, "rule", "code", "severity", "hit.evidence", "clause", "first")
 
 
 def _rank(severity: Column) -> Column:
@@ -278,7 +281,7 @@ def merged(hits: DataFrame, *keys: str) -> DataFrame:
 
 def indicators(texts: DataFrame, key: str = "id") -> DataFrame:
     """(key, code, severity, evidence, rules) of texts without speakers, ``texts(key, text)``."""
-    return merged(rule_hits(texts, key), key)
+    return merged(Staging(texts.sparkSession).save(rule_hits(texts, key), "hits"), key)
 
 
 def conversation(turns: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

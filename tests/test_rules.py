@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ringwarden.functions.rules import CODES, GUARDS, LEXICON, LONGEST, RULES, conversation, indicators
+from ringwarden.functions.rules import CODES, GUARDS, LEXICON, LONGEST, RULES, conversation, indicators, rule_hits
 from ringwarden.functions.transcripts import speaker_turns
 
 #: Sentences and the codes that they must give.
@@ -112,3 +112,9 @@ def test_a_speaker_without_a_name(spark):
     codes = {(r.id, r.code) for r in whole.collect()}
     assert (2, "SENSITIVE_INFORMATION") not in codes and (2, "MONEY_TRANSFER") in codes and (3, "OTP_REQUEST") in codes
     assert {(r.id, r.speaker): r.turns for r in speakers.collect()} == {(2, "A"): 1, (2, ""): 1, (3, ""): 1}
+
+
+def test_a_text_is_read_once(spark):
+    df = spark.createDataFrame([(1, CASES[3][0])], "id int, text string")
+    plan = rule_hits(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("Exchange hashpartitioning") == 1
