@@ -205,9 +205,10 @@ def phone_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT call_id, bool_or(status = 'COMPLETED') AS completed, coalesce(arg_min(status, (created_at, line)) FILTER (WHERE status IN ('COMPLETED', 'FAILED')),
 CASE WHEN bool_or(status = 'PROCESSING') THEN 'PROCESSING' ELSE 'PENDING' END) AS state FROM analyses GROUP BY call_id""")
 def call_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state that a call's status events lead to; the first of COMPLETED and FAILED, by time, is final."""
-    final = F.when(F.col("status").isin("COMPLETED", "FAILED"), F.struct("created_at", "line", "status"))
-    grouped = analyses(spark, sf_dir).groupBy("call_id").agg(F.bool_or(F.col("status") == "COMPLETED").alias("completed"), F.min(final)["status"].alias("final"),
+    """The state that a call's status events lead to; the first of COMPLETED and FAILED, by time, is final; at one time and line, the one stored first."""
+    stored = F.struct("_metadata.file_path", "_metadata.row_index").alias("stored")
+    final = F.when(F.col("status").isin("COMPLETED", "FAILED"), F.struct("created_at", "line", "stored", "status"))
+    grouped = analyses(spark, sf_dir, stored).groupBy("call_id").agg(F.bool_or(F.col("status") == "COMPLETED").alias("completed"), F.min(final)["status"].alias("final"),
                                                              F.bool_or(F.col("status") == "PROCESSING").alias("working"))
     return grouped.select("call_id", "completed", F.coalesce("final", F.when(F.col("working"), "PROCESSING").otherwise("PENDING")).alias("state"))
 

@@ -38,8 +38,8 @@ def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                     source.alias("source"), F.col("o_orderdate").alias("created_at"))
 
 
-def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(call_id, created_at, status, risk_score, risk_level, codes, ...); score and level are null unless completed."""
+def analyses(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """(call_id, created_at, status, risk_score, risk_level, codes, ...); score and level are null unless completed.  ``more`` are columns over the stored rows."""
     li = read_table(spark, sf_dir, "lineitem")
     done = F.col("l_linestatus") == "F"
     status = F.when(done, "COMPLETED").when(F.col("l_returnflag") == "A", "FAILED").when(F.col("l_returnflag") == "R", "PROCESSING").otherwise("PENDING")
@@ -51,7 +51,7 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("call_id"), F.col("l_shipdate").alias("created_at"), status.alias("status"), score.alias("risk_score"),
         F.when(score >= 60, "HIGH").when(score >= 30, "MEDIUM").when(score.isNotNull(), "LOW").alias("risk_level"),
         F.when(done, codes).alias("codes"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"),
-        F.col("l_suppkey").alias("supplier_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+        F.col("l_suppkey").alias("supplier_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), *more)
 
 
 def blacklist_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

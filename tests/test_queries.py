@@ -43,3 +43,11 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_events_of_one_time(spark, tmp_path):
+    rows = [(k, 7, s, f) for k, order in ((1, "FO"), (2, "OF")) for s, f in ((s, "A") for s in order)]
+    day = "cast('1997-01-22' as timestamp_ntz)"
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_linestatus string, l_returnflag string").coalesce(1)
+    df.selectExpr("*", f"{day} as l_shipdate", "1D as l_quantity", "0D as l_discount", "1L as l_partkey", "1L as l_suppkey", "1D as l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.call_id: r.state for r in QUERIES["call_states"](spark, str(tmp_path)).collect()} == {1: "COMPLETED", 2: "FAILED"}
