@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ringwarden.session import read_table
 from ringwarden.sources import domain
 from ringwarden.staging import Staging
-from ringwarden.streaming.sessions import as_stream, keyed_state, table, write_batches
+from ringwarden.streaming.sessions import Bucketed, as_stream, in_buckets, keyed_state, table, write_batches
 
 #: Fixed values of the protocol: bytes of a binary frame, patterns of a start message, seconds that a ticket holds.
 MOST_BYTES = 1 << 20
@@ -38,44 +34,33 @@ def frame_fault(data: Column, message: Column) -> Column:
 GUARDED = "call_id long, seq long, at timestamp, binary boolean, bytes long, message string, fault string"
 
 
-class ProtocolGuard(StatefulProcessor):
+class ProtocolGuard(Bucketed):
     """Adds what only the frames before tell: a start after sound is a fault, and after a fault or the end no frame is taken."""
 
+    keys, order, schema, times = ("call_id",), ("at", "seq"), GUARDED, ("at",)
+
     def __init__(self, idle: float):
         self.idle = int(idle * 1000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "sound boolean, over boolean, timer long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sound, over, timer = self.state.get() if self.state.exists() else (False, False, -1)
-        frame = pd.concat(list(rows)).sort_values(["at", "seq"])
-        faults = []
-        for r in frame.itertuples():
+    def take(self, key, rows, held):
+        sound, over, due = held or (False, False, -1)
+        out = []
+        for r in rows:
             fault = r.fault if isinstance(r.fault, str) else None
             if over:
                 fault = "SESSION_OVER"
             elif fault is None and not r.binary and r.start and sound:
                 fault = "INVALID_MESSAGE"
             over = over or fault is not None or bool(r.end)
-            sound = sound or (r.binary and fault is None and r.bytes > 1)
-            faults.append(fault)
-        last = int(frame["at"].max().timestamp() * 1000) + self.idle
-        if last > timer:
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last)
-            timer = last
-        self.state.update((bool(sound), bool(over), timer))
-        yield frame.assign(call_id=key[0], fault=faults)[[c.split()[0] for c in GUARDED.split(", ")]]
+            sound = sound or bool(r.binary and fault is None and r.bytes > 1)
+            out.append((*key, r.seq, r.at, r.binary, r.bytes, r.message, fault))
+        return out, (sound, over, max(due, rows[-1].at // 1000 + self.idle))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame(columns=[c.split()[0] for c in GUARDED.split(", ")])
+    def due(self, held):
+        return held[2]
 
-    def close(self) -> None:
-        pass
+    def expire(self, key, held):
+        return [], None
 
 
 def guard_frames(frames: DataFrame, stage: Staging, idle: float = 30, late: str = "10 seconds") -> tuple[DataFrame, DataFrame]:
@@ -90,7 +75,7 @@ def guard_frames(frames: DataFrame, stage: Staging, idle: float = 30, late: str
         told = frames.withWatermark("at", late).where(F.when(F.col("at").isNull(), False).otherwise(F.col("call_id").isNotNull())).select(
             "call_id", "seq", "at", F.col("data").isNotNull().alias("binary"), F.octet_length("data").cast("long").alias("bytes"), "message",
             F.coalesce(kind == "start", F.lit(False)).alias("start"), F.coalesce(kind == "end", F.lit(False)).alias("end"), frame_fault(F.col("data"), F.col("message")).alias("fault"))
-        rows = told.groupBy("call_id").transformWithStateInPandas(ProtocolGuard(idle), GUARDED, "append", "eventTime")
+        rows = in_buckets(told, ProtocolGuard(idle), "eventTime")
         folder, _ = write_batches(rows, stage, "guard", {"good": (GUARDED, lambda r: r.where("fault is null")), "errors": (GUARDED, lambda r: r.where("fault is not null"))})
     return table(spark, folder["good"], GUARDED), table(spark, folder["errors"], GUARDED)
 
@@ -118,51 +103,35 @@ def guarded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 TICKETS = "ticket long, kind string, at timestamp, outcome string"
 
 
-class Tickets(StatefulProcessor):
+class Tickets(Bucketed):
     """A ticket is issued, used once before it expires, or expires unused by a timer."""
 
+    keys, order, schema, times = ("ticket",), ("at", "seq"), TICKETS, ("at",)
+
     def __init__(self, seconds: float):
         self.life = int(seconds * 1000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.expires = handle.getValueState("expires", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expires = self.expires.get()[0] if self.expires.exists() else None
-        had, out = expires, []
-        expire = lambda: out.append((key[0], "expired", pd.Timestamp(expires, unit="ms", tz="UTC"), "ANALYSIS_FAILED"))
-        for r in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
-            at = int(r.at.timestamp() * 1000)
+    def take(self, key, rows, held):
+        expires = held[0] if held else None
+        out = []
+        for r in rows:
+            at = r.at // 1000
             if expires is not None and at >= expires:
-                expire()
+                out += self.expire(key, (expires,))[0]
                 expires = None
             if r.kind == "issue":
                 expires = at + self.life
-                out.append((key[0], "issue", r.at, "ISSUED"))
+                out.append((*key, "issue", r.at, "ISSUED"))
             else:
-                out.append((key[0], "use", r.at, "REJECTED" if expires is None else "ACCEPTED"))
+                out.append((*key, "use", r.at, "REJECTED" if expires is None else "ACCEPTED"))
                 expires = None
-        if expires != had:
-            if had is not None:
-                self.handle.deleteTimer(had)
-            if expires is None:
-                self.expires.clear()
-            else:
-                self.expires.update((expires,))
-                self.handle.registerTimer(expires)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = self.expires.get()[0]
-        self.expires.clear()
-        yield self._frame([(key[0], "expired", pd.Timestamp(at, unit="ms", tz="UTC"), "ANALYSIS_FAILED")])
+        return out, None if expires is None else (expires,)
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["ticket", "kind", "at", "outcome"])
+    def due(self, held):
+        return held[0]
 
-    def close(self) -> None:
-        pass
+    def expire(self, key, held):
+        return [(*key, "expired", held[0] * 1000, "ANALYSIS_FAILED")], None
 
 
 def use_tickets(requests: DataFrame, stage: Staging, seconds: float = TICKET_SECONDS, late: str = "10 seconds") -> DataFrame:
@@ -174,7 +143,7 @@ def use_tickets(requests: DataFrame, stage: Staging, seconds: float = TICKET_SEC
     """
     with keyed_state(stage.spark):
         keyed = requests.withWatermark("at", late).where(F.when(F.col("at").isNull(), False).otherwise(F.col("ticket").isNotNull()))
-        rows = keyed.groupBy("ticket").transformWithStateInPandas(Tickets(seconds), TICKETS, "append", "eventTime")
+        rows = in_buckets(keyed, Tickets(seconds), "eventTime")
         folder, _ = write_batches(rows, stage, "tickets", {"outcomes": (TICKETS, lambda r: r)})
     return table(stage.spark, folder["outcomes"], TICKETS)
 

@@ -11,9 +11,12 @@ when a call is over.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,8 @@ from ringwarden.staging import Staging
 #: Seconds without a frame that end a call, and of sound that do.
 IDLE, LONGEST = 30, 1800
 LEVELS = ["LOW", "MEDIUM", "HIGH"]
+#: Buckets that keys are dealt into; a batch writes the buckets it meets anew, so there are many.
+BUCKETS = 4096
 FRAMES = "call_id long, seq long, at timestamp, kind string, speaker string, start double, end double, text string"
 TURNS = "array<struct<speaker:string,start:double,end:double,text:string>>"
 SNAPSHOTS = f"call_id long, since long, n long, kind string, speaker string, start double, end double, text string, turns {TURNS}, probability double, scored long, ended_by string, heard double"
@@ -58,19 +63,106 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+class Bucketed(StatefulProcessor):
+    """Keys are dealt into buckets, the keys of a stream; what is held for the keys of a bucket is one value with one timer.
+
+    So a batch costs a bucket a few calls of the state store and a frame, however many keys it has.  What is
+    held for a key is plain values; ``take`` adds a key's rows, in order, ``expire`` is
+    asked when time has passed ``due`` (milliseconds, -1: never).  Both return rows and what is held from now on, None for nothing.
+    """
+
+    name = "held"
+    keys: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+    schema = ""
+    times: tuple[str, ...] = ()  # columns of ``schema`` given in microseconds
+
+    def take(self, key: tuple, rows: list, held: tuple | None) -> tuple[list[tuple], tuple | None]:
+        raise NotImplementedError
+
+    def expire(self, key: tuple, held: tuple) -> tuple[list[tuple], tuple | None]:
+        raise NotImplementedError
+
+    def due(self, held: tuple) -> int:
+        return -1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState(self.name, "held binary, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, timer = self._load()
+        frame = pd.concat(list(rows)).sort_values([*self.keys, *self.order])
+        if "at" in frame:
+            frame["at"] = pd.to_datetime(frame["at"], utc=True).dt.tz_localize(None).to_numpy("datetime64[us]").astype("int64")
+        out = []
+        for k, some in groupby(frame.itertuples(index=False), key=lambda r: tuple(getattr(r, c) for c in self.keys)):
+            new, state = self.take(k, list(some), held.pop(k, None))
+            out += new
+            if state is not None:
+                held[k] = state
+        self._save(held, timer, timer)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, timer = self._load()
+        now, out = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1), []
+        for k in [k for k, s in held.items() if 0 <= self.due(s) <= now]:
+            new, state = self.expire(k, held.pop(k))
+            out += new
+            if state is not None:
+                held[k] = state
+        self._save(held, timer, -1)
+        yield self._frame(out)
+
+    def _load(self) -> tuple[dict, int]:
+        packed, timer = self.bucket.get() if self.bucket.exists() else (None, -1)
+        return (pickle.loads(packed) if packed else {}), timer
+
+    def _save(self, held: dict, before: int, timer: int) -> None:
+        """Hold ``held`` and wait for what is due first; a timer that has gone off needs no deletion (``timer`` is -1)."""
+        first = min((d for s in held.values() if (d := self.due(s)) >= 0), default=-1)
+        if first != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            if first >= 0:
+                self.handle.registerTimer(first)
+        if held:
+            self.bucket.update((pickle.dumps(held), first))
+        else:
+            self.bucket.clear()
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=re.findall(r"(\w+) (?:array<.*?>+|\w+)(?:, |$)", self.schema))
+        return frame.assign(**{c: pd.to_datetime(frame[c].astype("int64"), unit="us", utc=True) for c in self.times})
+
+    def close(self) -> None:
+        pass
+
+
+def in_buckets(rows: DataFrame, step: Bucketed, time: str) -> DataFrame:
+    """The rows that ``step`` makes of a stream."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*step.keys), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(step, step.schema, "append", time)
+
+
 @dataclass
 class Open:
-    """A call that goes on, or (closed) one whose late frames are ignored: first and last frame, turns, seconds heard, timer."""
+    """A call that goes on, or (closed) one whose late frames are ignored: first and last frame, rows sent, seconds heard, turns, probabilities of windows."""
 
     since: int
     last: int
     n: int = 0
     heard: float = 0.0
     closed: bool = False
-    timer: int = -1
+    turns: list = field(default_factory=list)
+    chunks: dict = field(default_factory=dict)
+
+    def plain(self) -> tuple:
+        return tuple(vars(self).values())
 
 
-class LiveCall(StatefulProcessor):
+class LiveCall(Bucketed):
     """Snapshots of a call: one row for each turn with all turns so far in spoken order, and a final row.
 
     ``scorer`` gives the probabilities of windows; each different window of a call is
@@ -78,53 +170,44 @@ class LiveCall(StatefulProcessor):
     the same id; frames after a call's end are ignored until then.
     """
 
+    name, keys, order, schema = "call", ("call_id",), ("at", "seq"), SNAPSHOTS
+
     def __init__(self, scorer: Callable[[list[str]], list[float]], cut: Callable[[str], list[str]], idle: float = IDLE, longest: float = LONGEST):
         self.scorer, self.cut, self.idle, self.longest = scorer, cut, int(idle * 1000), longest
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.call = handle.getValueState("call", "since long, last long, n long, heard double, closed boolean, timer long")
-        self.turns = handle.getListState("turns", "start double, speaker string, end double, text string")
-        self.chunks = handle.getMapState("chunks", "window string", "p double")
-
-    def _probability(self, text: str) -> tuple[float, int]:
-        keys = [(hashlib.md5(w.encode()).hexdigest(), w) for w in self.cut(text)]
+    def _probability(self, call: Open, text: str) -> tuple[float, int]:
+        keys = [(hashlib.md5(w.encode()).digest(), w) for w in self.cut(text)]
         windows = dict(keys)
-        new = [k for k in windows if not self.chunks.containsKey((k,))]
-        for k, p in zip(new, self.scorer([windows[k] for k in new]) if new else []):
-            self.chunks.updateValue((k,), (float(p),))
-        return top_two([self.chunks.getValue((k,))[0] for k, _ in keys]), len(new)
+        new = [k for k in windows if k not in call.chunks]
+        call.chunks.update(zip(new, map(float, self.scorer([windows[k] for k in new]) if new else [])))
+        return top_two([call.chunks[k] for k, _ in keys]), len(new)
 
-    def _row(self, key, call: Open, kind: str, turn=(None,) * 4, turns=(), scored=(None, 0), ended=None) -> tuple:
+    def _row(self, key, call: Open, kind: str, turn=(None,) * 4, scored=(None, 0), ended=None) -> tuple:
         start, speaker, end, text = turn
-        return (key[0], call.since, call.n, kind, speaker, start, end, text, [dict(zip(("start", "speaker", "end", "text"), t)) for t in turns], *scored, ended, call.heard)
+        return (key[0], call.since, call.n, kind, speaker, start, end, text, [dict(zip(("start", "speaker", "end", "text"), t)) for t in call.turns], *scored, ended, call.heard)
 
     def _add(self, key, call: Open, turn: tuple) -> tuple:
-        turns = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
-        if turns and turn[:2] < turns[-1][:2]:  # spoken before one that came earlier
-            turns = sorted([*turns, turn], key=lambda t: t[:2])
-            self.turns.put(turns)
-        else:
-            turns.append(turn)
-            self.turns.appendValue(turn)
+        late = call.turns and turn[:2] < call.turns[-1][:2]  # spoken before one that came earlier
+        call.turns.append(turn)
+        if late:
+            call.turns.sort(key=lambda t: t[:2])
         call.n += 1
-        return self._row(key, call, "turn", turn, turns, self._probability(" ".join(t[3] for t in turns)))
+        return self._row(key, call, "turn", turn, self._probability(call, " ".join(t[3] for t in call.turns)))
 
     def _close(self, key, call: Open, ended: str) -> tuple:
-        turns = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
         call.n, call.closed = call.n + 1, True
-        self.turns.clear()
-        self.chunks.clear()
-        return self._row(key, call, "final", turns=turns, ended=ended)
+        row = self._row(key, call, "final", ended=ended)
+        call.turns, call.chunks = [], {}
+        return row
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        call = Open(*self.call.get()) if self.call.exists() else None
+    def take(self, key, rows, held):
+        call = Open(*held) if held else None
         out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
-            at = int(r.at.timestamp() * 1000)
+        for r in rows:
+            at = r.at // 1000
             if call and at - call.last >= self.idle:
                 out += [] if call.closed else [self._close(key, call, "IDLE_TIMEOUT")]
-                call = Open(at, at, timer=call.timer)
+                call = Open(at, at)
             call = call or Open(at, at)
             if call.closed:
                 continue
@@ -137,43 +220,31 @@ class LiveCall(StatefulProcessor):
                 out.append(self._add(key, call, (r.start, r.speaker, r.end, r.text.strip())))
             if call.heard >= self.longest:
                 out.append(self._close(key, call, "MAX_DURATION"))
-        if call.timer != call.last + self.idle:
-            if call.timer >= 0:
-                self.handle.deleteTimer(call.timer)
-            call.timer = call.last + self.idle
-            self.handle.registerTimer(call.timer)
-        self.call.update(astuple(call))
-        yield self._frame(out)
+        return out, call.plain()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        call = Open(*self.call.get())
-        out = [] if call.closed else [self._close(key, call, "IDLE_TIMEOUT")]
-        self.call.clear()
-        yield self._frame(out)
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SNAPSHOTS.replace(TURNS, "x").split(", ")])
+    def due(self, held):
+        return held[1] + self.idle
 
-    def close(self) -> None:
-        pass
+    def expire(self, key, held):
+        call = Open(*held)
+        return [] if call.closed else [self._close(key, call, "IDLE_TIMEOUT")], None
 
 
-class LiveEvents(StatefulProcessor):
+class LiveEvents(Bucketed):
     """What is sent out for a call's scored snapshots: transcript, risk, alert and final rows under one running number."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", "seq long, alerted int, score int, level string, confidence double, probability double, codes array<string>")
+    keys, order, schema = ("call_id", "since"), ("n",), EVENTS
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, alerted, *told = self.sent.get() if self.sent.exists() else (0, 0, None, None, None, None, [])
+    def take(self, key, rows, held):
+        seq, alerted, *told = held or (0, 0, None, None, None, None, [])
         out, over = [], False
 
         def send(kind, speaker=None, at=None, text=None, fields=(None, None, None, None, []), new=(), ended=None, heard=None):
             nonlocal seq
             seq += 1
-            out.append((key[0], key[1], seq, kind, speaker, at, text, *fields, list(new), ended, heard))
+            out.append((*key, seq, kind, speaker, at, text, *fields, list(new), ended, heard))
 
-        for r in pd.concat(list(rows)).sort_values("n").itertuples():
+        for r in rows:
             if r.kind == "final":
                 send("final", text=" ".join(t["text"] for t in r.turns), fields=told, ended=r.ended_by, heard=r.heard)
                 over = True
@@ -186,15 +257,10 @@ class LiveEvents(StatefulProcessor):
             if LEVELS.index(r.level) > alerted:
                 alerted, last = LEVELS.index(r.level), r.turns[-1]
                 send("alert", last["speaker"], last["end"], last["text"], told)
-        if over:
-            self.sent.clear()
-        else:
-            self.sent.update((seq, alerted, *told))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
-        yield frame.astype({"score": "Int32"})
+        return out, None if over else (seq, alerted, *told)
 
-    def close(self) -> None:
-        pass
+    def _frame(self, rows):
+        return super()._frame(rows).astype({"score": "Int32"})
 
 
 def by_rules(snapshots: DataFrame) -> DataFrame:
@@ -270,10 +336,10 @@ def score_calls(frames: DataFrame, stage: Staging, scorer: Callable[[list[str]],
     with keyed_state(spark):
         # Written with the time, the condition stays above the watermark, which frames without a call move on.
         keyed = frames.withWatermark("at", late).where(F.when(F.col("at").isNull(), False).otherwise(F.col("call_id").isNotNull()))
-        shots = keyed.groupBy("call_id").transformWithStateInPandas(LiveCall(scorer, cut or character_windows(), idle, longest), SNAPSHOTS, "append", "eventTime")
+        shots = in_buckets(keyed, LiveCall(scorer, cut or character_windows(), idle, longest), "eventTime")
         rated, _ = write_batches(shots, stage, "calls", {"scored": (SCORED, lambda rows: scored_snapshots(rows, indicators).select(*_names(spark, SCORED)))})
         again = spark.readStream.schema(SCORED).option("recursiveFileLookup", "true").parquet(rated["scored"])
-        sent = again.groupBy("call_id", "since").transformWithStateInPandas(LiveEvents(), EVENTS, "append", "none")
+        sent = in_buckets(again, LiveEvents(), "none")
         events, _ = write_batches(sent, stage, "events", {"events": (EVENTS, lambda rows: rows)})
     return table(spark, events["events"], EVENTS), table(spark, rated["scored"], SCORED)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringwarden.staging import Staging
-from ringwarden.streaming import services
+from ringwarden.streaming import services, sessions
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -85,3 +85,13 @@ def test_fan_out(spark):
     notes, missing = services.fan_out(calls, finished, listed, spark.createDataFrame([(10,)], "user_id long"), stage, late="40 days")
     assert sorted((r.call_id, r.user_id, r.kind) for r in notes.collect()) == [(1, 10, "BLACKLISTED_CALLER"), (1, 10, "HIGH_RISK_CALL"), (5, 10, "SUSPICIOUS_CALL")]
     assert sorted((r.call_id, r.user_id, r.score) for r in missing.collect()) == [(3, None, 80), (4, None, 70), (8, None, 40)]
+
+
+def test_tickets_share_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "BUCKETS", 1)
+    stage, n = Staging(spark), 50
+    rows = [(i, 0, at(i % 3), "issue") for i in range(n)] + [(i, 1, at(10), "use") for i in range(0, n, 2)]
+    out = services.use_tickets(batches(spark, stage, "in", "ticket long, seq long, at timestamp, kind string", [rows]), stage)
+    assert {(r.ticket, r.outcome) for r in out.where("kind = 'use'").collect()} == {(i, "ACCEPTED") for i in range(0, n, 2)}
+    with sessions.keyed_state(spark):
+        assert spark.read.format("statestore").option("stateVarName", "held").load(f"{stage.base}/tickets/marks").count() == 1
