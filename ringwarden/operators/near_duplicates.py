@@ -10,6 +10,8 @@ from ringwarden.staging import Staging
 
 #: Central texts of a list grow by this factor each round.
 GROWTH = 4
+#: Rows that may go to every task, as numbers.
+BROADCAST_ROWS = 1_000_000
 
 
 def gram_set(w: Column, n: int = 3) -> Column:
@@ -22,6 +24,44 @@ def gram_set(w: Column, n: int = 3) -> Column:
             .otherwise(F.array().cast("array<bigint>")))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """(row, id, t, key) of ``rows(id, key)``: a number of the row and 128 bits of its key.  To be stored, as numbers are by partition."""
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", F.unhex(F.md5("key")).alias("t"), "key")
+
+
+def key_grams(texts: DataFrame, n: int, *columns: str) -> DataFrame:
+    """``columns`` of texts(key) and the n-grams of each."""
+    split = texts.select(*columns, F.filter(F.split("key", " "), lambda x: x != "").alias("w"))
+    return split.select(*columns, gram_set(F.col("w"), n).alias("grams"))
+
+
+def with_partners(sets: DataFrame, percent: int, low: Column, high: Column) -> DataFrame:
+    """The rows of ``sets(row, grams)`` that may link to another: (row).
+
+    N-grams are ordered by their hash.  A text of s n-grams misses at most m of them in a
+    partner, so of the n-grams that two partners share the first k stand among the first
+    m + k of each.  k is half of m, plus one; counted by the smallest
+    partner possible, a row needs k of its first n-grams in other texts as well, which rows without partner seldom have.  An
+    n-gram is in another text if ``low`` < ``high`` among its rows.  Only the first n-grams are shuffled, once.
+    """
+    def least(size: Column) -> Column:
+        return F.ceil(size * percent / 100)
+
+    def k(size: Column) -> Column:
+        return F.ceil((size - least(size)) / 2) + 1
+
+    size, same = F.size("grams"), Window.partitionBy("gram")
+    first = F.slice(F.array_sort("grams"), F.lit(1), F.least(size - least(size) + k(size), size).cast("int"))
+    posts = sets.select(*[c for c in sets.columns if c != "grams"], F.least(k(least(size)), least(size)).alias("need"), F.explode_outer(first).alias("gram")).where("gram is not null")
+    shared = posts.select("row", "need", low.over(same).alias("low"), high.over(same).alias("high")).where("low < high")
+    return shared.groupBy("row", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("row")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, a stored table, marked to go to every task if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _open(posts: DataFrame) -> DataFrame:
     """The rows of ``posts`` whose lists hold another cluster and, by their sizes, possibly a partner."""
     lists = posts.groupBy("gram").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("size").alias("least"), F.max("most").alias("reach"))
@@ -31,7 +71,8 @@ def _open(posts: DataFrame) -> DataFrame:
 def near_duplicate_clusters(rows: DataFrame, percent: int = 85, n: int = 3) -> DataFrame:
     """(id, cluster) for ``rows(id, key)``: clusters linked by Jaccard similarity of ``percent`` / 100, named by their least id.
 
-    Equal keys are one text to begin with.  Among the rest, two texts that link
+    Equal keys are one text to begin with, and rows that by ``with_partners`` link to no
+    other stand alone.  Among the rest, two texts that link
     share one of their rarest n-grams (a prefix by document frequency as long as
     the misses that the similarity allows, plus one).  What a text holds from that
     n-gram on bounds the sizes of its partners there.  The list of an n-gram meets
@@ -42,15 +83,17 @@ def near_duplicate_clusters(rows: DataFrame, percent: int = 85, n: int = 3) -> D
     a list, or is in their cluster, before the list closes.  Overlaps are counted exactly.
     """
     stage = Staging(rows.sparkSession)
-    texts = stage.save(rows.groupBy("key").agg(F.min("id").alias("rep")), "texts")
-    split = texts.where("key <> ''").select("rep", F.filter(F.split("key", " "), lambda x: x != "").alias("w"))
-    sets = stage.save(split.select("rep", gram_set(F.col("w"), n).alias("grams")), "sets")
+    all_ = stage.save(numbered(rows.where("key is not null")), "texts")
+    texts = stage.save(all_.groupBy("t").agg(F.min("id").alias("rep"), F.min("row").alias("row")), "keys")
+    h = F.col("h")
+    maybe = with_partners(key_grams(all_.withColumn("h", F.xxhash64("t")), n, "row", "h"), percent, F.min(h), F.max(h))
+    live = stage.save(texts.select("row", "rep").join(maybe, "row"), "live")
+    sets = stage.save(key_grams(all_.select("row", "key").join(few(live), "row"), n, "rep"), "sets")
     size = F.size("grams")
-    grams = stage.save(sets.select("rep", size.alias("size"), F.explode_outer("grams").alias("gram")).where("gram is not null"), "grams")
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    per = stage.save(grams.join(df, "gram").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    grams = sets.select("rep", size.alias("size"), F.explode_outer("grams").alias("gram")).where("gram is not null")
+    per = stage.save(grams.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("df > 1").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
                      .where(F.size("g") * 100 >= F.col("size") * percent), "repeated")
-    stage.drop(sets, grams)
+    stage.drop(sets)
     alone = F.col("size") - F.size("g")
     room = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
     listed = per.select("rep", "size", alone.alias("alone"), F.posexplode_outer(F.slice("g", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))["gram"]).alias("i", "gram"))
@@ -83,5 +126,5 @@ def near_duplicate_clusters(rows: DataFrame, percent: int = 85, n: int = 3) -> D
         posts = stage.save(left, "postings")
         stage.drop(live, pivot, pairs)
         pivots *= GROWTH
-    named = texts.join(names, "rep", "left").select("key", F.coalesce("cluster", "rep").alias("cluster"))
-    return rows.join(named, "key").select("id", "cluster")
+    named = texts.join(names, "rep", "left").select("t", F.coalesce("cluster", "rep").alias("cluster"))
+    return all_.select("id", "t").join(named, "t").select("id", "cluster")

@@ -180,3 +180,28 @@ def test_the_oldest_phrases_that_fit_are_in_use(spark):
     df = spark.createDataFrame(rows, "phrase_id int, phrase string, active boolean, code string, created_at int")
     assert [r.phrase_id for r in usable_phrases(df, ["X", "Y"], 2).collect()] == [2, 6]
     assert [r.phrase_id for r in usable_phrases(df.select("phrase_id", "phrase")).collect()] == [1, 2, 4, 5, 6]
+
+
+@pytest.mark.parametrize("percent", [85, 60])
+def test_texts_without_partner_are_left_out(spark, percent, monkeypatch):
+    """No linked text is left out, chains, copies and short texts included; of unrelated texts no n-gram is stored."""
+    rng = random.Random(percent)
+    texts = [[f"w{rng.randrange(10 ** 6)}" for _ in range(60)] for _ in range(60)]
+    for size in (1, 2, 3, 4, 7, 12, 40, 80, 160):
+        base = [f"b{size}-{i}" for i in range(size)]
+        texts += [base, list(base)]
+        for k in range(12):
+            w = list(base) + [f"m{rng.randrange(99)}" for _ in range(rng.randrange(1 + size // 20))]
+            for _ in range(k // 6):
+                w[rng.randrange(len(w))] = f"c{rng.randrange(4)}"
+            texts.append(w)
+    sets = [{tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))} for w in texts]
+    linked = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if texts[i] != texts[j] and len(a & b) * 100 >= percent * len(a | b)}
+    df = spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(texts)], "row long, id long, key string").withColumn("h", F.xxhash64("key"))
+    kept = {r.row for r in nd.with_partners(nd.key_grams(df, 3, "row", "h"), percent, F.min("h"), F.max("h")).collect()}
+    assert linked <= kept and kept.isdisjoint(range(60)) and len(linked) > 30
+    saved, stored = nd.Staging.save, []
+    monkeypatch.setattr(nd.Staging, "save", lambda self, df, name: stored.append((name, saved(self, df, name))) or stored[-1][1])
+    monkeypatch.setattr(nd.Staging, "drop", lambda *a: None)
+    near_duplicate_clusters(df.select("id", "key"), percent).collect()
+    assert all(t.where("rep < 60").isEmpty() for name, t in stored if "grams" in t.columns) and any("grams" in t.columns for _, t in stored)
