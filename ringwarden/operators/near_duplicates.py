@@ -24,9 +24,9 @@ def gram_set(w: Column, n: int = 3) -> Column:
             .otherwise(F.array().cast("array<bigint>")))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """(row, id, t, key) of ``rows(id, key)``: a number of the row and 128 bits of its key.  To be stored, as numbers are by partition."""
-    return rows.select(F.monotonically_increasing_id().alias("row"), "id", F.unhex(F.md5("key")).alias("t"), "key")
+def numbered(rows: DataFrame, *more: str) -> DataFrame:
+    """(row, id, t, key, ...) of ``rows(id, key, ...)``: a number of the row and 128 bits of its key.  To be stored, as numbers are by partition."""
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", F.unhex(F.md5("key")).alias("t"), "key", *more)
 
 
 def key_grams(texts: DataFrame, n: int, *columns: str) -> DataFrame:
